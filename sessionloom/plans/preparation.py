@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.operators import timestamps
+from sessionloom.operators import hierarchy, timestamps
 from sessionloom.runtime import materialise, table
 
 
@@ -40,3 +40,17 @@ def p1_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = line_instants(spark, sf_dir, dictionary).select(F.lit("transcript_lines").alias("tbl"), "id", "instant", "stamp_status")
     notes = episode_instants(spark, sf_dir, dictionary).select(F.lit("episodes").alias("tbl"), "id", "instant", "stamp_status")
     return lines.unionByName(notes).distinct()
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that lie on a cycle of parent links or whose parents lead into one."""
+    lines = table(spark, sf_dir, "transcript_lines")
+    places = hierarchy.nested_sets(lines, "session_id", "id", "parent_id", "seq")
+    return places.where("link in ('cycle', 'below-cycle')").select(F.col("node").alias("id")).distinct()
+
+
+def p3_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path, depth, root and range of descendants of each record within its session."""
+    lines = table(spark, sf_dir, "transcript_lines")
+    places = hierarchy.nested_sets(lines, "session_id", "id", "parent_id", "seq", paths=True)
+    return places.withColumnsRenamed({"grp": "session_id", "node": "id"})
