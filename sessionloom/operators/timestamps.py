@@ -217,34 +217,3 @@ def normalise(rows: DataFrame, stamp: str, zone: str | None, source: str, dictio
     )
     found = keyed.join(entries, (F.col("__raw") == F.col("__r")) & (F.coalesce("__zone", F.lit("")) == F.col("__z")), "left")
     return found.drop("__raw", "__zone", "__r", "__z").withColumn("stamp_status", F.coalesce("stamp_status", F.lit("missing")))
-
-
-#: Rows of one key that are ordered together; a key with more is ordered in several tasks.
-BLOCK_ROWS = 8192
-
-
-def with_previous(rows: DataFrame, key: str, order: str, value: str, out: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The last non-null ``value`` before each row, within ``key`` by ``order`` (bigint).
-
-    Rows of one key are cut into blocks of the order column, so a key that holds
-    a large part of the table is spread over tasks; the last value of each block
-    is carried to the next through a table of one row per block.
-    """
-    from pyspark.sql import Window
-
-    blocked = rows.withColumn("__block", F.floor(F.coalesce(F.col(order), F.lit(0)) / block_rows))
-    within = Window.partitionBy(key, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    inner = blocked.withColumn("__prev", F.last(value, ignorenulls=True).over(within))
-    # Only keys of several blocks have anything to carry.
-    ends = blocked.groupBy(key, "__block").agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(order))).alias("__end"))
-    over = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        ends.withColumn("__carry", F.last("__end", ignorenulls=True).over(over))
-        .where("__carry is not null")
-        .select(key, "__block", "__carry")
-    )
-    return (
-        inner.join(carried, [key, "__block"], "left")
-        .withColumn(out, F.coalesce("__prev", "__carry"))
-        .drop("__block", "__prev", "__carry")
-    )

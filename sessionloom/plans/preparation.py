@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.operators import hierarchy, timestamps
+from sessionloom.operators import hierarchy, ordering, timestamps
 from sessionloom.runtime import materialise, table
 
 
@@ -29,7 +29,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         line_instants(spark, sf_dir, dictionary).where("session_id is not null and seq is not null").select("session_id", "id", "seq", "instant"),
         "line-instants",
     )
-    back = timestamps.with_previous(lines, "session_id", "seq", "instant", "previous").where("instant < previous")
+    back = ordering.with_previous(lines, "session_id", ["seq"], "instant", "previous", F.floor(F.col("seq") / ordering.BLOCK_ROWS)).where("instant < previous")
     late = episode_instants(spark, sf_dir, dictionary).where(F.unix_micros("instant") > F.col("updated_at") * 1e6)
     return back.select(F.lit("transcript_lines").alias("tbl"), "id").unionByName(late.select(F.lit("episodes").alias("tbl"), "id")).distinct()
 
