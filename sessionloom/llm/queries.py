@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import pii
+from sessionloom.llm import conversations, pii, splitting
+from sessionloom.operators import timestamps
 from sessionloom.runtime import table
 
 #: The key of the pseudonyms in these queries. Real corpora need a secret one.
@@ -32,8 +33,58 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("tbl", "id", "pii.redacted", F.size("pii.findings").alias("n_findings"))
 
 
+def _limit(spark: SparkSession, sf_dir: str, name: str) -> tuple[int, int]:
+    row = table(spark, sf_dir, "size_limits").where(F.col("limit_name") == name).select("max_size", "overlap_size").first()
+    if row is None:
+        raise ValueError(f"size_limits has no row {name}")
+    return row[0], row[1]
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Oversized contents, and whether they hold a run without whitespace that no natural boundary can cut."""
+    size, overlap = _limit(spark, sf_dir, "msg_content")
+    lines = table(spark, sf_dir, "transcript_lines").select("id", "msg_content")
+    large = splitting.oversized(lines, "msg_content", size, overlap)
+    return large.select("id", F.when(F.col("split.longest_run") > size, "forced").otherwise("clean").alias("cut_kind")).distinct()
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every record's content, in order."""
+    size, overlap = _limit(spark, sf_dir, "msg_content")
+    lines = table(spark, sf_dir, "transcript_lines").select("line_id", "id", "msg_content")
+    return splitting.split(lines, "msg_content", size, overlap).select("line_id", "id", F.explode("split.pieces").alias("p")).select("line_id", "id", "p.*")
+
+
+def _ordered_turns(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    zones = table(spark, sf_dir, "sessions").groupBy("session_id").agg(F.first("tz_name", ignorenulls=True).alias("tz_name"))
+    turns = conversations.messages(lines).join(zones, "session_id", "left")
+    dictionary = timestamps.StampDictionary(spark)
+    timed = timestamps.normalise(turns, "event_timestamp", "tz_name", "lines", dictionary)
+    return conversations.in_order(timed.select("session_id", "id", "line_id", "seq", "speaker", "instant"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that are no whole conversation, and why."""
+    lines = table(spark, sf_dir, "transcript_lines")
+    return conversations.faults(table(spark, sf_dir, "sessions"), lines, _ordered_turns(spark, sf_dir, lines))
+
+
+def p6_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of all whole conversations, in order."""
+    lines = table(spark, sf_dir, "transcript_lines")
+    ordered = _ordered_turns(spark, sf_dir, lines)
+    return conversations.conversations(lines, ordered, conversations.faults(table(spark, sf_dir, "sessions"), lines, ordered))
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_redacted": p2_redacted}
+    return {
+        "p2_found": p2_found,
+        "p2_redacted": p2_redacted,
+        "p4_found": p4_found,
+        "p4_pieces": p4_pieces,
+        "p6_found": p6_found,
+        "p6_conversations": p6_conversations,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
