@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.operators import hierarchy, ordering, timestamps
+from sessionloom.operators import drift, hierarchy, nested, ordering, timestamps
 from sessionloom.runtime import materialise, table
 
 
@@ -54,3 +54,50 @@ def p3_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "transcript_lines")
     places = hierarchy.nested_sets(lines, "session_id", "id", "parent_id", "seq", paths=True)
     return places.withColumnsRenamed({"grp": "session_id", "node": "id"})
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change of the payload's fields between consecutive files of a stream."""
+    return drift.changes(table(spark, sf_dir, "rollout_records"))
+
+
+def p5_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All payloads in one table whose schema is the union of all files' schemas."""
+    records = table(spark, sf_dir, "rollout_records")
+    log = materialise(drift.changes(records), "changes")
+    return drift.unify(records, log, ["rec_id", "stream_id", "event_type", "file_no", "line_no"])
+
+
+def _message_nodes(spark: SparkSession, sf_dir: str, only: str | None = None) -> DataFrame:
+    return nested.label(table(spark, sf_dir, "transcript_lines"), "message", ["id"], only)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every element of the content lists in the messages, by its path."""
+    return nested.content_elements(_message_nodes(spark, sf_dir, nested.CONTENT)).select("id", "block_path").distinct()
+
+
+def p7_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per readable message, with the scalar members of its root."""
+    return nested.table_of(_message_nodes(spark, sf_dir, "^$"), "^$").select("id", "node_kind", F.col("fields")["role"].alias("role")).distinct()
+
+
+def p7_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content elements with their parent element and scalar members."""
+    f = F.col("fields")
+    text = F.coalesce("node_value", f["text"], f["thinking"])
+    return (
+        nested.content_elements(_message_nodes(spark, sf_dir, nested.CONTENT))
+        .select("id", "block_path", "parent_path", F.coalesce(f["type"], F.lit("text")).alias("element_type"), text.alias("text"), f["name"].alias("name"), f["mime"].alias("mime"), f["ref"].alias("ref"), f["uri"].alias("uri"))
+        .distinct()
+    )
+
+
+def p7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls and tool results among the content elements, linked to their element."""
+    f = F.col("fields")
+    calls = nested.content_elements(_message_nodes(spark, sf_dir, nested.CONTENT)).where(F.lower(f["type"]).rlike("tool"))
+    return calls.select(
+        "id", "block_path", F.coalesce(f["id"], f["toolCallId"]).alias("call_id"), f["type"].alias("element_type"), f["name"].alias("name"),
+        f["intent"].alias("intent"), f["arguments"].alias("arguments"), f["isError"].alias("is_error"),
+    ).distinct()

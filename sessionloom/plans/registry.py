@@ -11,6 +11,12 @@ def queries() -> dict:
         "p1_instants": preparation.p1_instants,
         "p3_found": preparation.p3_found,
         "p3_hierarchy": preparation.p3_hierarchy,
+        "p5_found": preparation.p5_found,
+        "p5_unified": preparation.p5_unified,
+        "p7_found": preparation.p7_found,
+        "p7_messages": preparation.p7_messages,
+        "p7_elements": preparation.p7_elements,
+        "p7_tool_calls": preparation.p7_tool_calls,
     }
 
 
