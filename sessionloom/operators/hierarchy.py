@@ -97,8 +97,8 @@ def _solve_group(g: pd.DataFrame, paths: bool, separator: str) -> Iterator[pd.Da
     kind = np.where(~placed, np.where(cyclic, 3, 4), np.where(parent >= 0, 1, np.where(has, 2, 0)))
     out = pd.DataFrame(
         {
-            "grp": g["grp"].to_numpy(object), "node": ids, "link": [_KIND[k] for k in kind],
-            "root": [ids[x] if x >= 0 else None for x in r["root"]],
+            "grp": pd.Series(g["grp"].to_numpy(object), dtype=object), "node": pd.Series(ids, dtype=object), "link": pd.Series([_KIND[k] for k in kind], dtype=object),
+            "root": pd.Series([ids[x] if x >= 0 else None for x in r["root"]], dtype=object),
             "depth": pd.array(np.where(placed, r["depth"], 0), "Int64"),
             "range_start": pd.array(r["start"], "Int64"),
             "n_descendants": pd.array(np.maximum(r["size"] - 1, 0), "Int64"),
@@ -118,10 +118,10 @@ def _solve_group(g: pd.DataFrame, paths: bool, separator: str) -> Iterator[pd.Da
         text.append(separator.join(reversed(walk)) if placed[i] else None)
         held += len(text[-1] or "")
         if held >= _BATCH_BYTES:
-            yield out.iloc[begun : i + 1].assign(path=text)
+            yield out.iloc[begun : i + 1].assign(path=np.array(text, object))
             text, begun, held = [], i + 1, 0
     if text:
-        yield out.iloc[begun:].assign(path=text)
+        yield out.iloc[begun:].assign(path=np.array(text, object))
 
 
 _SCHEMA = "grp string, node string, link string, root string, depth bigint, range_start bigint, n_descendants bigint"

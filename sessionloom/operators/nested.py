@@ -13,7 +13,7 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +23,7 @@ from sessionloom import runtime
 ITEM = "[]"
 _BATCH = 20_000
 _ENCODINGS = 4
+_TYPES = [pa.list_(pa.int32()), pa.list_(pa.string()), pa.string(), pa.string(), pa.map_(pa.string(), pa.string())]
 NODES = "dewey array<int>, schema_path array<string>, node_kind string, node_value string, fields map<string,string>"
 
 
@@ -76,7 +77,7 @@ def walk(value, only: re.Pattern | None = None) -> Iterator[tuple]:
         label, path, v = todo.pop()
         kind = _kind(v)
         if only is None or only.search("".join(path)):
-            fields = {str(k): _scalar(x) for k, x in v.items() if _kind(x) not in ("object", "array")} if kind == "object" else None
+            fields = list({str(k): _scalar(x) for k, x in v.items() if _kind(x) not in ("object", "array")}.items()) if kind == "object" else None
             yield label, path, kind, _scalar(v) if kind not in ("object", "array") else None, fields
         if kind == "object":
             todo += [((*label, i), (*path, f".{k}"), x) for i, (k, x) in reversed(list(enumerate(v.items())))]
@@ -96,24 +97,32 @@ def label(rows: DataFrame, text: str, keys: list[str], only: str | None = None)
     kept = rows.select(*(F.col(f"`{k}`") for k in keys), F.col(f"`{text}`").cast("string").alias("__record")).where("__record is not null")
     names = [*keys, "dewey", "schema_path", "node_kind", "node_value", "fields"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = re.compile(only) if only else None
-        out: list[tuple] = []
         for b in batches:
-            for *key, record in b.itertuples(index=False, name=None):
+            *values, records = b.columns
+            at, out = [], []
+
+            def send() -> pa.RecordBatch:
+                columns = zip(*out) if out else [()] * len(_TYPES)
+                taken = [v.take(pa.array(at, pa.int32())) for v in values]
+                return pa.RecordBatch.from_arrays([*taken, *(pa.array(c, t) for c, t in zip(columns, _TYPES))], names)
+
+            for i, record in enumerate(records.to_pylist()):
                 try:
                     value = decode(record)
                 except ValueError:
                     continue
-                out += [(*key, list(a), list(p), k, v, f) for a, p, k, v, f in walk(value, wanted)]
+                for node in walk(value, wanted):
+                    at.append(i)
+                    out.append(node)
                 if len(out) >= _BATCH:
-                    yield pd.DataFrame(out, columns=names)
-                    out = []
-        if out:
-            yield pd.DataFrame(out, columns=names)
+                    yield send()
+                    at, out = [], []
+            yield send()
 
     schema = ", ".join(f"`{k}` {kept.schema[k].dataType.simpleString()}" for k in keys) + ", " + NODES
-    return kept.mapInPandas(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def dewey_text(dewey: Column) -> Column:

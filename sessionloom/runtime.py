@@ -89,6 +89,8 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def require_columns(df: DataFrame, *names: str) -> None:
+    """Every operator's first call: its input must have the columns, and its workers this package."""
+    ship(df.sparkSession)
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
