@@ -245,7 +245,7 @@ def pseudonymise(rows: DataFrame, text: str, key: bytes, parts: DataFrame, recor
         @F.pandas_udf(_RESULT)
         def scan(texts: pd.Series) -> pd.DataFrame:
             known = shared.value
-            return _frame([None if t is None else replace(t, known, key) for t in texts])
+            return _frame([replace(t, known, key) if isinstance(t, str) else None for t in texts])
 
         return rows.withColumn("pii", scan.asNondeterministic()(F.col(f"`{text}`").cast("string")))
 
@@ -254,7 +254,7 @@ def pseudonymise(rows: DataFrame, text: str, key: bytes, parts: DataFrame, recor
 
     @F.pandas_udf(_RESULT)
     def scan_own(texts: pd.Series, known: pd.Series) -> pd.DataFrame:
-        return _frame([None if t is None else replace(t, frozenset(fold(x) for x in k) if k is not None else (), key) for t, k in zip(texts, known)])
+        return _frame([replace(t, frozenset(fold(x) for x in k) if k is not None else (), key) if isinstance(t, str) else None for t, k in zip(texts, known)])
 
     t = F.col(f"`{text}`").cast("string")
     words = rows.select(F.col(f"`{record}`").alias("__rec"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(r"(\p{Lu}[\p{L}'’]+)"), F.lit(1)), F.lower))).alias("part"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import conversations, pii, splitting
+from sessionloom.llm import conversations, mixing, packing, pii, splitting, tokens, truncation
 from sessionloom.operators import timestamps
 from sessionloom.runtime import table
 
@@ -76,6 +76,51 @@ def p6_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.conversations(lines, ordered, conversations.faults(table(spark, sf_dir, "sessions"), lines, ordered))
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capacity, _ = _limit(spark, sf_dir, "documents_text")
+    return packing.pack(tokens.sized(table(spark, sf_dir, "documents"), "text", ["doc_id"]), capacity)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the packing had to split."""
+    return _packed(spark, sf_dir).where("n_pieces > 1").select("doc_id").distinct()
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every piece of every document."""
+    return _packed(spark, sf_dir)
+
+
+def p8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.usage(_packed(spark, sf_dir), _limit(spark, sf_dir, "documents_text")[0])
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = tokens.sized(table(spark, sf_dir, "documents"), "text", ["doc_id", "source"])
+    return mixing.mix(sizes, table(spark, sf_dir, "mix_targets"))
+
+
+def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix and how often each is used."""
+    return _mixed(spark, sf_dir)
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixing.shares(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that were cut off."""
+    return truncation.detect(table(spark, sf_dir, "documents")).where("truncated").select("doc_id").distinct()
+
+
+def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source cuts its documents."""
+    return truncation.by_source(truncation.detect(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     return {
         "p2_found": p2_found,
@@ -84,6 +129,13 @@ def queries() -> dict:
         "p4_pieces": p4_pieces,
         "p6_found": p6_found,
         "p6_conversations": p6_conversations,
+        "p8_found": p8_found,
+        "p8_containers": p8_containers,
+        "p8_usage": p8_usage,
+        "p9_selection": p9_selection,
+        "p9_shares": p9_shares,
+        "p10_found": p10_found,
+        "p10_sources": p10_sources,
     }
 
 

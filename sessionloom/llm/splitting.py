@@ -97,7 +97,7 @@ def split(rows: DataFrame, text: str, max_size: int, overlap: int) -> DataFrame:
     def bisect(texts: pd.Series) -> pd.DataFrame:
         runs, lists = [], []
         for t in texts:
-            if t is None:
+            if not isinstance(t, str):
                 runs.append(None)
                 lists.append(None)
                 continue
