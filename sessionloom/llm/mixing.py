@@ -23,7 +23,7 @@ from sessionloom import runtime
 #: A source's documents are walked in so many strands, whatever their number.
 STRANDS = 64
 #: Documents per source that are rounded together at the end.
-LAST = 12
+LAST = 14
 _EPS = 1e-9
 
 
@@ -100,16 +100,19 @@ def _flight(batches: Iterator[pd.DataFrame], seed: int) -> Iterator[pd.DataFrame
 def _landing(key: tuple, rows: pd.DataFrame, seed: int) -> pd.DataFrame:
     """At most two documents for each strand of one source.
 
-    The large ones are walked once more; of all ways to round the last few the
-    one nearest to the totals of tokens and of documents is taken.
+    All but a few of every size are walked once more; of all ways to round the
+    rest the one nearest to the totals of tokens and of documents is taken. The
+    walk hardly moves a document far larger than the others, so those few must
+    be able to make up for it.
     """
     rows = rows.sort_values(["n_tokens", "doc_id"], ascending=False)
     todo = list(zip(rows["doc_id"], rows["source"], rows["n_tokens"], rows["base"], rows["p"]))
     walk, out = Walk(f"{seed}|{key[0]}|landing"), []
-    cut = max(0, len(todo) - LAST)
-    for doc, source, size, base, p in todo[:cut]:
-        out += [(*item, float(d), d) for item, d in walk.add((doc, source, size, base), size, p)]
-    left = [(tuple(x[0]), x[1], x[2]) for x in walk.active] + [(t[:4], t[2], t[4]) for t in todo[cut:]]
+    kept = {round(i) for i in np.linspace(0, len(todo) - 1, min(LAST, len(todo)))} if todo else set()
+    for i, (*item, p) in enumerate(todo):
+        if i not in kept:
+            out += [(*x, float(d), d) for x, d in walk.add(tuple(item), item[2], p)]
+    left = [(tuple(x[0]), x[1], x[2]) for x in walk.active] + [(t[:4], t[2], t[4]) for i, t in enumerate(todo) if i in kept]
     ways = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
     size, p = np.array([x[1] for x in left], float), np.array([x[2] for x in left], float)
     miss = np.abs(ways @ size - size @ p) / max(1.0, size.mean() if len(left) else 1.0) + 0.1 * np.abs(ways.sum(1) - p.sum())
