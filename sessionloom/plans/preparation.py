@@ -101,3 +101,31 @@ def p7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", "block_path", F.coalesce(f["id"], f["toolCallId"]).alias("call_id"), f["type"].alias("element_type"), f["name"].alias("name"),
         f["intent"].alias("intent"), f["arguments"].alias("arguments"), f["isError"].alias("is_error"),
     ).distinct()
+
+
+SQL = {
+    # What a walk down from the heads of all trees doesn't reach is on a cycle or below one.
+    "p3_found": """WITH RECURSIVE n AS (SELECT DISTINCT session_id, id, parent_id FROM transcript_lines WHERE session_id IS NOT NULL AND id IS NOT NULL),
+ ok AS (SELECT session_id, id FROM n WHERE NOT EXISTS (SELECT 1 FROM n p WHERE p.session_id = n.session_id AND p.id = n.parent_id)
+  UNION SELECT n.session_id, n.id FROM n JOIN ok ON ok.session_id = n.session_id AND ok.id = n.parent_id)
+ SELECT DISTINCT id FROM n WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.session_id = n.session_id AND ok.id = n.id)""",
+    "p5_found": """WITH f AS (SELECT DISTINCT stream_id, event_type, file_no, payload FROM rollout_records WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+ k AS (SELECT *, unnest(json_keys(payload)) AS field FROM f),
+ v AS (SELECT stream_id, event_type, file_no, field, json_extract(payload, concat('$."', field, '"')) AS value FROM k),
+ t AS (SELECT *, CASE json_type(value) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS kind FROM v),
+ h AS (SELECT stream_id, event_type, file_no, field, string_agg(DISTINCT kind, '|' ORDER BY kind) AS kind FROM t GROUP BY ALL),
+ s AS (SELECT *, lag(file_no) OVER (PARTITION BY stream_id, event_type ORDER BY file_no) AS was FROM (SELECT DISTINCT stream_id, event_type, file_no FROM h) QUALIFY was IS NOT NULL),
+ o AS (SELECT s.*, h.field, h.kind FROM s JOIN h ON h.stream_id = s.stream_id AND h.event_type = s.event_type AND h.file_no = s.was),
+ n AS (SELECT s.*, h.field, h.kind FROM s JOIN h USING (stream_id, event_type, file_no)),
+ gone AS (SELECT * FROM o ANTI JOIN n USING (stream_id, event_type, file_no, field)),
+ come AS (SELECT * FROM n ANTI JOIN o USING (stream_id, event_type, file_no, field)),
+ pair AS (SELECT g.stream_id, g.event_type, g.file_no, g.field AS old_field, c.field AS new_field,
+   (SELECT count(*) FROM (SELECT CAST(value AS VARCHAR) FROM t WHERE t.stream_id = g.stream_id AND t.event_type = g.event_type AND t.file_no = g.was AND t.field = g.field AND kind IS NOT NULL INTERSECT
+    SELECT CAST(value AS VARCHAR) FROM t WHERE t.stream_id = g.stream_id AND t.event_type = g.event_type AND t.file_no = g.file_no AND t.field = c.field AND kind IS NOT NULL)) AS common
+  FROM gone g JOIN come c ON c.stream_id = g.stream_id AND c.event_type = g.event_type AND c.file_no = g.file_no AND c.kind = g.kind),
+ renamed AS (SELECT * FROM pair WHERE common > 0 QUALIFY row_number() OVER (PARTITION BY stream_id, event_type, file_no, old_field ORDER BY common DESC, new_field) = 1 AND row_number() OVER (PARTITION BY stream_id, event_type, file_no, new_field ORDER BY common DESC, old_field) = 1)
+ SELECT stream_id, file_no, event_type, 'renamed' AS change_kind, old_field, new_field FROM renamed
+ UNION ALL SELECT stream_id, file_no, event_type, 'removed', field, '' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.stream_id = g.stream_id AND r.event_type = g.event_type AND r.file_no = g.file_no AND r.old_field = g.field)
+ UNION ALL SELECT stream_id, file_no, event_type, 'added', '', field FROM come g WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.stream_id = g.stream_id AND r.event_type = g.event_type AND r.file_no = g.file_no AND r.new_field = g.field)
+ UNION ALL SELECT o.stream_id, o.file_no, o.event_type, 'retyped', o.field, o.field FROM o JOIN n USING (stream_id, event_type, file_no, field) WHERE o.kind <> n.kind""",
+}

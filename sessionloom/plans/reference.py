@@ -1,0 +1,695 @@
+"""Queries of the engine's operators over the test tables, each with the SQL it is checked against."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sessionloom.functions import redact as R
+from sessionloom.functions import text as T
+from sessionloom.operators import episodes as E
+from sessionloom.operators import eventlog as L
+from sessionloom.operators import recall as Q
+from sessionloom.operators import rollups as U
+from sessionloom.plans import views as V
+from sessionloom.runtime import table
+from sessionloom.sources import archive as A
+from sessionloom.sources import manifests as M
+from sessionloom.sources import transcripts as X
+
+QUERIES: dict[str, Callable] = {}
+SQL: dict[str, str] = {}
+AS_OF = V.AS_OF
+WORDS = "snapshot marker qualità"
+NAMES = "Gap budget"
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f: Callable) -> Callable:
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+def _words(sql_text: str) -> str:
+    return f"regexp_extract_all(strip_accents(lower({sql_text})), '[\\p{{L}}\\p{{N}}]+')"
+
+
+_TEXT = "concat_ws(' ', title, body, category)"
+_VISIBLE = f"(expires_at IS NULL OR expires_at > {AS_OF} OR coalesce(pinned, false))"
+
+
+def _bm25_sql(words: list[str], combine: str, where: str = _VISIBLE) -> str:
+    terms = [("qualita" if w == "qualità" else w) for w in words]
+    tf = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS f{i}" for i, t in enumerate(terms))
+    n = range(len(terms))
+    df = ", ".join(f"count(*) FILTER (f{i} > 0) AS d{i}" for i in n)
+    idf = lambda i: f"CASE WHEN (nn - d{i} + 0.5e0) / (d{i} + 0.5e0) <= 1 THEN 1e-6 ELSE ln((nn - d{i} + 0.5e0) / (d{i} + 0.5e0)) END"
+    score = " + ".join(f"{idf(i)} * f{i} * 2.2e0 / (f{i} + 1.2e0 * (0.25e0 + 0.75e0 * wl / av))" for i in n)
+    cond = f" {combine} ".join(f"f{i} > 0" for i in n)
+    return f"""w AS (SELECT *, {_words(_TEXT)} AS w FROM e), c AS (SELECT *, len(w) AS wl, {tf} FROM w),
+ s AS (SELECT count(*) AS nn, avg(wl) AS av, {df} FROM c),
+ b AS (SELECT id, round({score}, 6) AS bm25 FROM c, s WHERE ({cond}) AND {where})"""
+
+
+# Recall
+
+
+@query("tokenize_fold", f"WITH {V.EPISODES} SELECT id, array_to_string({_words('title')}, ' ') AS tokens FROM e")
+def tokenize_fold(spark, d) -> DataFrame:
+    return V.episodes(spark, d).select("id", F.array_join(T.tokens(F.col("title")), " ").alias("tokens"))
+
+
+@query(
+    "inverted_index",
+    f"WITH {V.EPISODES}, t AS (SELECT id, unnest({_words('title')}) AS term, generate_subscripts({_words('title')}, 1) - 1 AS pos FROM e) SELECT term, id, count(*) AS tf, array_to_string(list_sort(list(pos)), ',') AS positions FROM t GROUP BY term, id",
+)
+def inverted_index(spark, d) -> DataFrame:
+    index = Q.inverted_index(V.episodes(spark, d), "id", F.col("title"))
+    return index.select("term", "id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+@query("recall_bm25", f"WITH {V.EPISODES}, {_bm25_sql(WORDS.split()[:2], 'AND')} SELECT id, bm25 FROM b")
+def recall_bm25(spark, d) -> DataFrame:
+    words = " ".join(WORDS.split()[:2])
+    return Q.bm25(V.episodes(spark, d), "id", F.concat_ws(" ", "title", "body", "category"), words, "AND", Q.visible(AS_OF)).select("id", F.round("bm25", 6).alias("bm25"))
+
+
+@query("recall_bm25_or", f"WITH {V.EPISODES}, {_bm25_sql(WORDS.split(), 'OR')} SELECT id, bm25 FROM b")
+def recall_bm25_or(spark, d) -> DataFrame:
+    return Q.bm25(V.episodes(spark, d), "id", F.concat_ws(" ", "title", "body", "category"), WORDS, "OR", Q.visible(AS_OF)).select("id", F.round("bm25", 6).alias("bm25"))
+
+
+_ENTITY_ROWS = f"SELECT DISTINCT id, created_at, lower(x) AS entity_lower FROM (SELECT id, created_at, unnest(entities) AS x FROM e WHERE {_VISIBLE}) WHERE starts_with(lower(x), 'gap') OR starts_with(lower(x), 'budget')"
+_AUTHORITY_ROWS = f"SELECT id, created_at FROM e WHERE {_VISIBLE} AND pinned AND (contains(lower(CAST(to_json(entities) AS VARCHAR)), 'gap') OR contains(lower(CAST(to_json(entities) AS VARCHAR)), 'budget'))"
+
+
+@query("recall_entities", f"WITH {V.EPISODES} SELECT id, entity_lower FROM ({_ENTITY_ROWS})")
+def recall_entities(spark, d) -> DataFrame:
+    return Q.entity_hits(V.episodes(spark, d), NAMES, Q.visible(AS_OF)).select("id", "entity_lower")
+
+
+@query("recall_authority", f"WITH {V.EPISODES} SELECT id FROM ({_AUTHORITY_ROWS})")
+def recall_authority(spark, d) -> DataFrame:
+    return Q.authority_hits(V.episodes(spark, d), NAMES, Q.visible(AS_OF)).select("id")
+
+
+def _fused_sql(words: list[str], combine: str, limit: int, depth: int) -> str:
+    # The streams by name: authority 0, bm25 1, entities 2.
+    return f"""WITH {V.EPISODES}, {_bm25_sql(words, combine)},
+ st AS (SELECT id, 1 AS stream, row_number() OVER (ORDER BY bm25 DESC, id) - 1 AS place FROM b
+  UNION ALL SELECT id, 2, row_number() OVER (ORDER BY created_at DESC, id, entity_lower) - 1 FROM ({_ENTITY_ROWS})
+  UNION ALL SELECT id, 0, row_number() OVER (ORDER BY created_at DESC, id) - 1 FROM ({_AUTHORITY_ROWS})),
+ g AS (SELECT id, sum(1e0 / (61 + place)) AS score, min({{'s': stream, 'p': place}}) AS f FROM st WHERE place < {depth} GROUP BY id),
+ r AS (SELECT id, score FROM g ORDER BY round(score, 9) DESC, f.s, f.p, id LIMIT {limit})"""
+
+
+@query("rrf_fuse", _fused_sql(["gap", "budget"], "OR", 20, 120) + " SELECT id, round(score, 6) AS score FROM r")
+def rrf_fuse(spark, d) -> DataFrame:
+    return Q.fused(V.episodes(spark, d), NAMES, AS_OF, combine="OR").select("id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "recall",
+    _fused_sql(["gap", "budget"], "OR", 20, 120) + " SELECT e.id, e.project_id, e.kind, e.title, left(e.body, 400) AS preview, round(score, 6) AS score FROM r JOIN e USING (id)",
+)
+def recall(spark, d) -> DataFrame:
+    return Q.recall(V.episodes(spark, d), NAMES, AS_OF, combine="OR")
+
+
+@query(
+    "synthesize_citations",
+    _fused_sql(["gap", "budget"], "OR", 20, 120) + " SELECT e.id, e.title, left(trim(regexp_replace(e.body, '\\s+', ' ', 'g')), 200) AS excerpt FROM r JOIN e USING (id)",
+)
+def synthesize_citations(spark, d) -> DataFrame:
+    rows = V.episodes(spark, d)
+    best = Q.fused(rows, NAMES, AS_OF, combine="OR")
+    return rows.join(F.broadcast(best), "id").select("id", "title", F.left(F.trim(F.regexp_replace("body", r"\s+", " ")), F.lit(200)).alias("excerpt"))
+
+
+@query(
+    "synthesize_gaps",
+    _fused_sql(["gap", "budget"], "OR", 20, 120)
+    + " SELECT term FROM (VALUES ('budget'), ('zzyzx'), ('marker')) t(term) WHERE NOT EXISTS (SELECT 1 FROM r JOIN e USING (id) WHERE contains(lower(concat_ws(chr(10), title, body)), term))",
+)
+def synthesize_gaps(spark, d) -> DataFrame:
+    rows = V.episodes(spark, d)
+    hits = rows.join(F.broadcast(Q.fused(rows, NAMES, AS_OF, combine="OR").select("id")), "id", "left_semi")
+    return Q.gaps(hits, "gap budget zzyzx marker Budget")
+
+
+@query("entity_index", f"WITH {V.EPISODES} SELECT DISTINCT lower(x) AS entity_lower, id, project_id FROM (SELECT id, project_id, unnest(entities) AS x FROM e)")
+def entity_index(spark, d) -> DataFrame:
+    return Q.entity_index(V.episodes(spark, d))
+
+
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+
+
+@query(
+    "heuristic_entities",
+    # RE2 knows no Unicode word boundary, so acronyms and compounds are cut out by splitting; names of several words need none here.
+    f"""WITH {V.EPISODES}, w AS (SELECT id, regexp_extract_all(concat(coalesce(title, ''), chr(10), coalesce(body, '')), '[\\p{{L}}\\p{{N}}_]+') AS t FROM e),
+ c AS (SELECT id, list_filter(t, lambda x: regexp_full_match(x, '[A-Z][a-z0-9]+([A-Z][a-z0-9]+)+') OR regexp_full_match(x, '[A-Z][A-Z0-9]{{2,}}')) AS t FROM w),
+ f AS (SELECT id, x FROM (SELECT id, unnest(t) AS x FROM c) WHERE lower(x) NOT IN ({_STOP})),
+ r AS (SELECT id, x, row_number() OVER (PARTITION BY id ORDER BY -length(x), x) AS k FROM (SELECT DISTINCT id, x FROM f))
+ SELECT id, string_agg(x, ' ' ORDER BY k) AS entities FROM r WHERE k <= 5 GROUP BY id""",
+)
+def heuristic_entities(spark, d) -> DataFrame:
+    # The comparison leaves names of several words aside; a unit test covers them.
+    found = T.entities(F.col("title"), F.col("body"), cap=10_000)
+    single = F.slice(F.filter(found, lambda s: ~s.rlike(r"\s")), 1, 5)
+    return V.episodes(spark, d).select("id", F.array_join(single, " ").alias("entities")).where("entities <> ''")
+
+
+# Reading and filtering
+
+
+@query("episodes_point_lookup", f"WITH {V.EPISODES} SELECT id, project_id, kind, title FROM e WHERE id = (SELECT min(id) FROM episodes)")
+def episodes_point_lookup(spark, d) -> DataFrame:
+    ident = table(spark, d, "episodes").agg(F.min("id")).first()[0]
+    return E.latest(table(spark, d, "episodes").where(F.col("id") == ident)).select("id", "project_id", "kind", "title")
+
+
+@query("episodes_recent", f"WITH {V.EPISODES} SELECT id, project_id, created_at FROM e ORDER BY created_at DESC, id LIMIT 100")
+def episodes_recent(spark, d) -> DataFrame:
+    return E.newest(V.episodes(spark, d), 100).select("id", "project_id", "created_at")
+
+
+@query("episodes_filter", f"WITH {V.EPISODES} SELECT id, project_id, kind, confidence FROM e WHERE {_VISIBLE} AND project_id = 'lantern-core' AND kind = 'episodic' AND confidence >= 0.4 AND created_at >= {AS_OF - 200 * 86400}")
+def episodes_filter(spark, d) -> DataFrame:
+    where = Q.conditions(AS_OF, "lantern-core", "episodic", 0.4, AS_OF - 200 * 86400)
+    return V.episodes(spark, d).where(where).select("id", "project_id", "kind", "confidence")
+
+
+@query("ttl_visible", f"WITH {V.EPISODES} SELECT id, pinned, expires_at FROM e WHERE {_VISIBLE}")
+def ttl_visible(spark, d) -> DataFrame:
+    return V.episodes(spark, d).where(Q.visible(AS_OF)).select("id", "pinned", "expires_at")
+
+
+@query("events_recent", f"WITH {V.LOG} SELECT event_id, project_id, source_type, CAST(payload->>'$.k' AS BIGINT) AS k FROM lg WHERE source_type = 'transcript' ORDER BY captured_at DESC, event_id LIMIT 100")
+def events_recent(spark, d) -> DataFrame:
+    rows = V.log(spark, d).where("source_type = 'transcript'").orderBy(F.col("captured_at").desc(), "event_id").limit(100)
+    return rows.select("event_id", "project_id", "source_type", F.get_json_object("payload", "$.k").cast("bigint").alias("k"))
+
+
+@query("json_extract", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, json_keys(props)[1] AS first_key FROM events")
+def json_extract(spark, d) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.element_at(F.json_object_keys("props"), 1).alias("first_key"))
+
+
+# Counts and reports
+
+
+@query("stats_by_kind", f"WITH {V.EPISODES} SELECT kind, count(*) AS n FROM e GROUP BY kind")
+def stats_by_kind(spark, d) -> DataFrame:
+    return V.episodes(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("distinct_projects", "SELECT DISTINCT project_id FROM episodes")
+def distinct_projects(spark, d) -> DataFrame:
+    return table(spark, d, "episodes").select("project_id").distinct()
+
+
+_COUNTS = ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in Q.KINDS)
+
+
+@query("handoff_counts", f"WITH {V.EPISODES} SELECT project_id, {_COUNTS}, count(*) AS total FROM e GROUP BY project_id")
+def handoff_counts(spark, d) -> DataFrame:
+    return V.episodes(spark, d).groupBy("project_id").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in Q.KINDS), F.count("*").alias("total"))
+
+
+@query("project_kind_matrix", f"WITH {V.EPISODES} SELECT project_id, kind, category, count(*) AS n FROM e GROUP BY ALL")
+def project_kind_matrix(spark, d) -> DataFrame:
+    return V.episodes(spark, d).groupBy("project_id", "kind", "category").agg(F.count("*").alias("n"))
+
+
+@query("validation_summary", f"WITH {V.EPISODES} SELECT kind, count(*) AS n, round(avg(confidence), 6) AS mean_confidence, list_sort(list(confidence))[CAST(floor(count(confidence) / 2) AS BIGINT) + 1] AS upper_median FROM e GROUP BY kind")
+def validation_summary(spark, d) -> DataFrame:
+    # The upper median is that of the counts by value, so a kind's values aren't gathered.
+    from pyspark.sql import Window
+
+    rows = V.episodes(spark, d)
+    by_value = rows.where("confidence is not null").groupBy("kind", "confidence").count()
+    order = Window.partitionBy("kind").orderBy("confidence")
+    ranked = by_value.select("kind", "confidence", "count", F.sum("count").over(order).alias("upto"), F.sum("count").over(Window.partitionBy("kind")).alias("all"))
+    middle = ranked.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy("kind").agg(F.min("confidence").alias("upper_median"))
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence")).join(middle, "kind", "left")
+
+
+_CONTEXT = f"""x AS (SELECT id, project_id, coalesce(category, 'meta') AS type, created_at,
+ CASE WHEN coalesce(confidence, 0) >= 0.8 THEN 'high' WHEN coalesce(confidence, 0) >= 0.4 THEN 'medium' ELSE 'low' END AS confidence,
+ coalesce(nullif(title, ''), nullif(left(body, 60), ''), id) AS content, coalesce(lower(raw_payload->>'$.assistant'), 'assistant') AS assistant,
+ greatest(0.1e0, pow(0.9e0, greatest(0, floor(({AS_OF} - created_at) / 86400)) / 30e0)) AS st, coalesce(pinned, false) AS pinned
+ FROM e WHERE created_at >= {AS_OF - 365 * 86400}), i AS (SELECT * EXCLUDE (st), round(st, 3) AS strength FROM x WHERE confidence <> 'low' AND st > 0.1)"""
+
+
+@query("decay_strength", f"WITH {V.EPISODES} SELECT id, round(greatest(0.1e0, pow(0.9e0, greatest(0, floor(({AS_OF} - created_at) / 86400)) / 30e0)), 6) AS strength FROM e")
+def decay_strength(spark, d) -> DataFrame:
+    return V.episodes(spark, d).select("id", F.round(E.decayed(F.col("created_at"), AS_OF), 6).alias("strength"))
+
+
+@query("preload_insights", f"WITH {V.EPISODES}, {_CONTEXT} SELECT id, type, confidence, content, strength, pinned FROM i ORDER BY pinned DESC, strength DESC, created_at DESC, confidence = 'high' DESC, id LIMIT 50")
+def preload_insights(spark, d) -> DataFrame:
+    rows = E.context(V.episodes(spark, d), AS_OF, 365).orderBy(*E.by_authority()).limit(50)
+    return rows.select("id", "type", "confidence", "content", "strength", "pinned")
+
+
+@query(
+    "preload_ranked",
+    _fused_sql(["gap", "budget"], "OR", 50, 300)
+    + f", {_CONTEXT}, m AS (SELECT i.*, r.score FROM i JOIN r USING (id)), sp AS (SELECT min(score) AS lo, max(score) AS hi FROM m) SELECT id, content, strength, round(0.7e0 * (score - lo) / coalesce(nullif(hi - lo, 0), 1) + 0.3e0 * strength, 4) AS blend FROM m, sp",
+)
+def preload_ranked(spark, d) -> DataFrame:
+    rows = V.episodes(spark, d)
+    return E.blended(E.context(rows, AS_OF, 365), Q.fused(rows, NAMES, AS_OF, 50, "OR").select("id", "score")).select("id", "content", "strength", "blend")
+
+
+@query(
+    "recurring_patterns",
+    f"""WITH {V.EPISODES}, {_CONTEXT}, k AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY pinned DESC, strength DESC, created_at DESC, confidence = 'high' DESC, id) AS rn, count(*) OVER (PARTITION BY type) AS n FROM i WHERE type <> 'code_change')
+ SELECT type, n, max(created_at) FILTER (rn = least(5, n)) AS first_seen, max(created_at) FILTER (rn = 1) AS last_seen, string_agg(content, ' | ' ORDER BY rn) FILTER (rn <= 3) AS examples FROM k WHERE n >= 2 GROUP BY type, n""",
+)
+def recurring_patterns(spark, d) -> DataFrame:
+    from pyspark.sql import Window
+
+    kept = E.context(V.episodes(spark, d), AS_OF, 365).where("type <> 'code_change'")
+    n = kept.groupBy("type").agg(F.count("*").alias("n")).where("n >= 2")
+    # The rank filter lets Spark cut each task's rows to five per type before the shuffle.
+    first = kept.withColumn("rn", F.row_number().over(Window.partitionBy("type").orderBy(*E.by_authority()))).where("rn <= 5")
+    seen = first.groupBy("type").agg(
+        F.max_by("created_at", "rn").alias("first_seen"), F.min_by("created_at", "rn").alias("last_seen"),
+        F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("rn", "content"))), 1, 3), lambda x: x["content"]), " | ").alias("examples"),
+    )
+    return n.join(seen, "type")
+
+
+@query("assistant_summary", f"WITH {V.EPISODES}, {_CONTEXT} SELECT assistant, count(*) AS n FROM i GROUP BY assistant")
+def assistant_summary(spark, d) -> DataFrame:
+    return E.context(V.episodes(spark, d), AS_OF, 365).groupBy("assistant").agg(F.count("*").alias("n"))
+
+
+def _handoff(rows: DataFrame, kind: str, days: int | None, n: int) -> DataFrame:
+    from pyspark.sql import Window
+
+    kept = rows.where(F.col("kind") == kind)
+    kept = kept if days is None else kept.where(F.col("created_at") >= AS_OF - days * 86400)
+    k = F.row_number().over(Window.partitionBy("project_id").orderBy(F.col("created_at").desc(), "id"))
+    return kept.withColumn("k", k).where(F.col("k") <= n).select("project_id", F.col("k").cast("bigint").alias("k"), F.left("id", F.lit(12)).alias("short_id"), "title", "category")
+
+
+def _handoff_sql(kind: str, days: int | None, n: int) -> str:
+    since = "" if days is None else f" AND created_at >= {AS_OF - days * 86400}"
+    return f"WITH {V.EPISODES} SELECT * FROM (SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id) AS k, left(id, 12) AS short_id, title, category FROM e WHERE kind = '{kind}'{since}) WHERE k <= {n}"
+
+
+@query("handoff_episodic", _handoff_sql("episodic", 90, 30))
+def handoff_episodic(spark, d) -> DataFrame:
+    return _handoff(V.episodes(spark, d), "episodic", 90, 30)
+
+
+@query("handoff_semantic", _handoff_sql("semantic", None, 30))
+def handoff_semantic(spark, d) -> DataFrame:
+    return _handoff(V.episodes(spark, d), "semantic", None, 30)
+
+
+@query("resume_sections", f"SELECT project_id, section, string_agg(concat('- ', title), chr(10) ORDER BY k) AS lines FROM (SELECT 'episodic' AS section, * FROM ({_handoff_sql('episodic', 90, 15)}) UNION ALL SELECT 'semantic', * FROM ({_handoff_sql('semantic', None, 10)})) GROUP BY project_id, section")
+def resume_sections(spark, d) -> DataFrame:
+    rows = V.episodes(spark, d)
+    both = _handoff(rows, "episodic", 90, 15).withColumn("section", F.lit("episodic")).unionByName(_handoff(rows, "semantic", None, 10).withColumn("section", F.lit("semantic")))
+    listed = F.array_sort(F.collect_list(F.struct("k", "title")))  # at most 15
+    return both.groupBy("project_id", "section").agg(F.array_join(F.transform(listed, lambda x: F.concat(F.lit("- "), x["title"])), "\n").alias("lines"))
+
+
+@query("focus_goal", f"WITH {V.EPISODES}, c AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id) AS k FROM e WHERE kind IN ('episodic', 'semantic')), g AS (SELECT project_id, arg_min(title, k) AS goal FROM c WHERE k <= 5 AND confidence >= 0.6 AND title <> '' GROUP BY project_id) SELECT p.project_id, coalesce(goal, concat('working on ', p.project_id)) AS goal FROM (SELECT DISTINCT project_id FROM e) p LEFT JOIN g ON g.project_id IS NOT DISTINCT FROM p.project_id")
+def focus_goal(spark, d) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = V.episodes(spark, d)
+    k = F.row_number().over(Window.partitionBy("project_id").orderBy(F.col("created_at").desc(), "id"))
+    five = rows.where("kind in ('episodic', 'semantic')").withColumn("k", k).where("k <= 5 and confidence >= 0.6 and title <> ''")
+    goal = five.groupBy(F.col("project_id").alias("pid")).agg(F.min_by("title", "k").alias("goal"))
+    every = rows.select("project_id").distinct()
+    return every.join(goal, F.col("project_id").eqNullSafe(F.col("pid")), "left").select("project_id", F.coalesce("goal", F.concat(F.lit("working on "), "project_id")).alias("goal"))
+
+
+# Keys, labels and texts
+
+
+@query("dedup_key", f"WITH {V.EPISODES} SELECT id, sha256(concat(trim(regexp_replace(lower(coalesce(title, '')), '\\s+', ' ', 'g')), chr(0), coalesce(body, ''))) AS dedup_key FROM e")
+def dedup_key(spark, d) -> DataFrame:
+    return E.with_key(V.episodes(spark, d)).select("id", "dedup_key")
+
+
+_KEYED = f"{V.EPISODES}, k AS (SELECT *, sha256(concat(trim(regexp_replace(lower(coalesce(title, '')), '\\s+', ' ', 'g')), chr(0), coalesce(body, ''))) AS dk FROM e)"
+
+
+@query("persist_dedup", f"WITH {_KEYED}, n AS (SELECT *, row_number() OVER (PARTITION BY project_id, dk ORDER BY created_at, id) AS rn FROM k WHERE kind = 'working') SELECT id, project_id FROM n WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM k WHERE k.kind <> 'working' AND k.project_id = n.project_id AND k.dk = n.dk)")
+def persist_dedup(spark, d) -> DataFrame:
+    rows = E.with_key(V.episodes(spark, d))
+    return E.unseen(rows.where("kind = 'working'"), rows.where("kind <> 'working'")).select("id", "project_id")
+
+
+@query("title_dedup", f"WITH {V.EPISODES} SELECT arg_min(id, {{'c': created_at, 'i': id}}) AS id FROM e WHERE source_ref IS NOT NULL GROUP BY source_ref, trim(regexp_replace(lower(title), '\\s+', ' ', 'g'))")
+def title_dedup(spark, d) -> DataFrame:
+    rows = V.episodes(spark, d).where("source_ref is not null")
+    return E.first_per_key(rows, F.struct("source_ref", T.title_key(F.col("title"))), [F.col("created_at"), F.col("id")]).select("id")
+
+
+@query("dedup_exists", f"WITH {_KEYED} SELECT id, EXISTS (SELECT 1 FROM k o WHERE o.kind <> 'working' AND o.project_id = k.project_id AND o.dk = k.dk) AS is_known FROM k WHERE kind = 'working'")
+def dedup_exists(spark, d) -> DataFrame:
+    rows = E.with_key(V.episodes(spark, d))
+    known = rows.where("kind <> 'working'").select("project_id", "dedup_key").distinct().withColumn("y", F.lit(True))
+    return rows.where("kind = 'working'").join(known, ["project_id", "dedup_key"], "left").select("id", F.coalesce("y", F.lit(False)).alias("is_known"))
+
+
+@query("slugify", f"WITH {V.EPISODES}, s AS (SELECT id, left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[\\s_]', '-', 'g'), '[^\\p{{L}}\\p{{N}}-]', '', 'g'), '-{{2,}}', '-', 'g'), '^-+|-+$', '', 'g'), 40) AS s FROM e) SELECT id, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM s")
+def slugify(spark, d) -> DataFrame:
+    return V.episodes(spark, d).select("id", T.slug(F.col("title")).alias("slug"))
+
+
+@query("normalize_project", "SELECT session_id, CASE WHEN name = '' THEN 'default' ELSE name END AS project FROM (SELECT session_id, regexp_replace(concat(split_part(cwd, '/', 3), CASE WHEN is_subagent THEN '-Workspace.code-workspace' ELSE '.code.json' END), '(-Workspace\\.code-workspace|\\.code-workspace|\\.code\\.json)$', '') AS name FROM sessions)")
+def normalize_project(spark, d) -> DataFrame:
+    suffix = F.when(F.col("is_subagent"), "-Workspace.code-workspace").otherwise(".code.json")
+    return table(spark, d, "sessions").select("session_id", T.project_label(F.concat(F.split_part("cwd", F.lit("/"), F.lit(3)), suffix)).alias("project"))
+
+
+@query("confidence_label", f"WITH {V.EPISODES} SELECT id, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.4 THEN 'medium' ELSE 'low' END AS label FROM e")
+def confidence_label(spark, d) -> DataFrame:
+    return V.episodes(spark, d).select("id", T.confidence_label(F.col("confidence")).alias("label"))
+
+
+@query("archive_subdir", f"WITH {V.EPISODES} SELECT id, CASE WHEN coalesce(category, '') = '' THEN 'neutral' WHEN category IN ('anti-pattern', 'antipattern') THEN 'anti_pattern' WHEN category = 'bugfix' THEN 'fix' ELSE replace(category, '-', '_') END AS subdir FROM e")
+def archive_subdir(spark, d) -> DataFrame:
+    return V.episodes(spark, d).select("id", T.archive_subdir(F.col("category")).alias("subdir"))
+
+
+@query("body_hash", "SELECT doc_id, left(sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))), 16) AS body_hash FROM documents")
+def body_hash(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.body_hash(F.col("text")).alias("body_hash"))
+
+
+@query("date_parts", f"WITH {V.EPISODES} SELECT id, strftime(make_timestamp(CAST(floor(created_at) AS BIGINT) * 1000000), '%Y-%m-%d') AS day, CAST(floor(({AS_OF} - created_at) / 86400) AS BIGINT) AS age_days, strftime(make_timestamp(CAST(floor(created_at / 86400) AS BIGINT) * 86400000000 + 86400000000), '%Y-%m-%dT%H:%M:%S') AS next_midnight FROM e")
+def date_parts(spark, d) -> DataFrame:
+    at = F.timestamp_seconds(F.floor("created_at"))
+    return V.episodes(spark, d).select(
+        "id", F.date_format(at, "yyyy-MM-dd").alias("day"), F.floor((AS_OF - F.col("created_at")) / 86400).alias("age_days"),
+        F.date_format(F.date_trunc("day", at) + F.expr("interval 1 day"), "yyyy-MM-dd'T'HH:mm:ss").alias("next_midnight"),
+    )
+
+
+_DEMO = "concat(body, ' api_key=', repeat('a1', 10), ' and token: short, bearer ', repeat('x', 24))"
+
+
+@query("redact", f"WITH {V.EPISODES} SELECT id, replace(replace({_DEMO}, concat('api_key=', repeat('a1', 10)), '[REDACTED:generic-assignment]'), concat('bearer ', repeat('x', 24)), '[REDACTED:bearer-token]') AS redacted FROM e WHERE body IS NOT NULL")
+def redact(spark, d) -> DataFrame:
+    text = F.concat("body", F.lit(" api_key=" + "a1" * 10 + " and token: short, bearer " + "x" * 24))
+    return V.episodes(spark, d).where("body is not null").select("id", R.redact(text).alias("redacted"))
+
+
+@query("redaction_stats", f"WITH {V.EPISODES}, n AS (SELECT count(*) AS n FROM e WHERE body IS NOT NULL) SELECT kind, n FROM n, (VALUES ('generic-assignment'), ('bearer-token')) k(kind) WHERE n > 0")
+def redaction_stats(spark, d) -> DataFrame:
+    text = F.concat("body", F.lit(" api_key=" + "a1" * 10 + " and token: short, bearer " + "x" * 24))
+    return V.episodes(spark, d).where("body is not null").select(F.explode(R.redaction_counts(text)).alias("kind", "k")).groupBy("kind").agg(F.sum("k").alias("n"))
+
+
+# Writes
+
+
+@query("episodes_upsert", f"WITH {V.EPISODES} SELECT id, title, CASE WHEN kind = 'working' THEN 'episodic' ELSE kind END AS kind, CASE WHEN kind = 'working' THEN 0.9 ELSE confidence END AS confidence, pinned, access_count, CAST(dedup_key IS NULL AS BOOLEAN) AS no_key FROM e UNION ALL SELECT concat('new-', id), title, 'episodic', 0.9, pinned, 7, false FROM e WHERE kind = 'semantic'")
+def episodes_upsert(spark, d) -> DataFrame:
+    rows = V.episodes(spark, d)
+    changed = {"kind": F.lit("episodic"), "confidence": F.lit(0.9), "access_count": F.lit(7).cast("bigint"), "dedup_key": F.lit("other")}
+    known, new = rows.where("kind = 'working'").withColumns(changed), rows.where("kind = 'semantic'").withColumns(changed | {"id": F.concat(F.lit("new-"), "id")})
+    return E.upsert(rows, known.unionByName(new)).select("id", "title", "kind", "confidence", "pinned", "access_count", F.col("dedup_key").isNull().alias("no_key"))
+
+
+@query("touch_access", f"WITH {V.EPISODES} SELECT id, coalesce(access_count, 0) + CASE WHEN pinned THEN 1 ELSE 0 END AS access_count, CASE WHEN pinned THEN {AS_OF} ELSE last_accessed_at END AS last_accessed_at FROM e")
+def touch_access(spark, d) -> DataFrame:
+    rows = V.episodes(spark, d)
+    named = rows.where("pinned").select("id")
+    return E.touch(rows, named.unionByName(named), AS_OF).select("id", "access_count", "last_accessed_at")
+
+
+_VERDICT = "CASE event_type WHEN 'click' THEN 'helpful' WHEN 'view' THEN 'not_helpful' WHEN 'error' THEN 'stale' WHEN 'signup' THEN 'wrong' END"
+
+
+@query(
+    "feedback_fold",
+    f"""WITH RECURSIVE {V.EPISODES}, n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS c FROM e),
+ v AS (SELECT n.id, epoch_us(ts) / 1e6 AS ts, {_VERDICT} AS verdict, row_number() OVER (PARTITION BY n.id ORDER BY ts, event_id) AS i FROM events JOIN n ON events.event_id % n.c = n.k WHERE event_type <> 'purchase'),
+ w AS (SELECT id, 0 AS i, coalesce(access_count, 0) AS a FROM e UNION ALL SELECT w.id, w.i + 1, CASE verdict WHEN 'helpful' THEN a + 1 WHEN 'not_helpful' THEN greatest(a - 1, 0) ELSE a END FROM w JOIN v ON v.id = w.id AND v.i = w.i + 1)
+ SELECT e.id, (SELECT arg_max(a, i) FROM w WHERE w.id = e.id) AS access_count, coalesce(t.ended, e.expires_at) AS expires_at, CASE WHEN t.ended IS NOT NULL THEN false ELSE e.pinned END AS pinned FROM e LEFT JOIN (SELECT id, max(ts) FILTER (verdict IN ('stale', 'wrong')) AS ended FROM v GROUP BY id) t ON t.id = e.id""",
+)
+def feedback_fold(spark, d) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = V.episodes(spark, d)
+    # A running number of the episodes, only to spread the test's events over them.
+    n = rows.select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("k"))
+    total = rows.count()
+    verdict = F.try_element_at(F.create_map(*map(F.lit, ["click", "helpful", "view", "not_helpful", "error", "stale", "signup", "wrong"])), F.col("event_type"))
+    given = table(spark, d, "events").where("event_type <> 'purchase'").select((F.col("event_id") % total).alias("k"), V.epoch("ts").alias("ts"), F.col("event_id").alias("seq"), verdict.alias("verdict"))
+    return E.fold_feedback(rows, given.join(n, "k").drop("k")).select("id", "access_count", "expires_at", "pinned")
+
+
+@query("migrate_backfill", f"WITH {_KEYED} SELECT id, coalesce(dedup_key, dk) AS dedup_key, CAST(1 AS BIGINT) AS version FROM k")
+def migrate_backfill(spark, d) -> DataFrame:
+    old = V.episodes(spark, d)
+    newer = old.limit(0).withColumn("version", F.lit(1).cast("bigint"))
+    merged = old.unionByName(newer, allowMissingColumns=True)
+    return merged.select("id", F.coalesce("dedup_key", T.dedup_key(F.col("title"), F.col("body"))).alias("dedup_key"), F.coalesce("version", F.lit(1).cast("bigint")).alias("version"))
+
+
+# Similarity
+
+_PAIRS = f"{V.EPISODES}, s AS (SELECT id, project_id, kind, source_ref, list_distinct(list_filter(string_split_regex(lower(title), '\\s+'), lambda w: w <> '')) AS w FROM e WHERE title IS NOT NULL), p AS (SELECT a.id, b.kind, b.source_ref FROM s a JOIN s b ON a.project_id = b.project_id AND len(list_intersect(a.w, b.w)) >= 0.5 * greatest(len(a.w), len(b.w)))"
+
+
+@query("similar_titles", f"WITH {_PAIRS} SELECT id, count(*) AS n_similar FROM p GROUP BY id")
+def similar_titles(spark, d) -> DataFrame:
+    return E.similar_titles(V.episodes(spark, d))
+
+
+@query("session_mentions", f"WITH {_PAIRS} SELECT e.id, coalesce(n, 0) AS n_sessions FROM e LEFT JOIN (SELECT id, count(DISTINCT source_ref) FILTER (kind <> 'semantic') AS n FROM p GROUP BY id) USING (id) WHERE e.title IS NOT NULL")
+def session_mentions(spark, d) -> DataFrame:
+    return E.session_mentions(V.episodes(spark, d))
+
+
+# The event log
+
+
+@query("event_validation", f"WITH {V.LOG} SELECT event_id, CASE WHEN source_type = 'manual' THEN 'reserved source' WHEN source_type = 'transcript' THEN 'missing new_bytes,new_lines,session_id,transcript_path' WHEN source_type = 'git.commit' THEN 'missing author,files_changed_count,message_short,sha' ELSE 'unknown source' END AS problem FROM lg")
+def event_validation(spark, d) -> DataFrame:
+    return L.validated(V.log(spark, d)).select("event_id", "problem")
+
+
+@query(
+    "growth_gate",
+    f"WITH {V.LOG}, m AS (SELECT session, arg_max(bytes, {{'a': captured_at, 'b': event_id}}) AS last_bytes FROM lg WHERE source_type = 'transcript.classified' GROUP BY session), n AS (SELECT session, max(bytes) AS bytes FROM lg WHERE source_type = 'transcript' GROUP BY session) SELECT session, bytes, last_bytes, CASE WHEN last_bytes IS NULL THEN 'new' WHEN bytes < last_bytes THEN 'shrunk' WHEN bytes - last_bytes < 2048 THEN 'same' ELSE 'grown' END AS decision FROM n LEFT JOIN m USING (session)",
+)
+def growth_gate(spark, d) -> DataFrame:
+    log = V.log(spark, d)
+    return L.growth(log.where(F.col("source_type") == L.DONE), log.where("source_type = 'transcript'").groupBy("session").agg(F.max("bytes").alias("bytes"))).select("session", "bytes", "last_bytes", "decision")
+
+
+@query(
+    "failure_backoff",
+    f"WITH {V.LOG}, s AS (SELECT session, max({{'a': captured_at, 'b': event_id}}) FILTER (source_type = 'transcript.classified') AS ok FROM lg GROUP BY session) SELECT session, count(*) AS n_failures, max(captured_at) AS last_failure, count(*) >= 3 AND 1706745600e0 - max(captured_at) < 21600 AS waits FROM lg JOIN s USING (session) WHERE source_type = 'transcript.failed' AND (ok IS NULL OR {{'a': captured_at, 'b': event_id}} > ok) GROUP BY session",
+)
+def failure_backoff(spark, d) -> DataFrame:
+    return L.backoff(V.log(spark, d), 1706745600.0)
+
+
+@query("publish_commits_anti", f"WITH {V.LOG}, c AS (SELECT project_id, sha256(CAST(event_id AS VARCHAR)) AS sha, event_id FROM lg WHERE source_type = 'git.commit') SELECT project_id, event_id, left(sha, 12) AS ref FROM c WHERE event_id % 3 <> 0")
+def publish_commits_anti(spark, d) -> DataFrame:
+    commits = V.log(spark, d).where("source_type = 'git.commit'").select("project_id", "event_id", F.sha2(F.col("event_id").cast("string"), 256).alias("sha"), "source_type")
+    log = commits.where("event_id % 3 = 0").withColumn("source_ref", F.left("sha", F.lit(12)))
+    return L.unpublished(commits, log).select("project_id", "event_id", "ref")
+
+
+@query(
+    "git_log_sessionize",
+    "SELECT project_id AS repo, row_number() OVER (PARTITION BY project_id ORDER BY doc_id) AS n, left(sha256(CAST(doc_id AS VARCHAR)), 40) AS sha, coalesce(category, '-') AS message, concat('src/', doc_id, '.py,docs/', doc_id, '.md') AS files FROM documents WHERE project_id IS NOT NULL",
+)
+def git_log_sessionize(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents").where("project_id is not null")
+    head = F.concat_ws("||", F.left(F.sha2(F.col("doc_id").cast("string"), 256), F.lit(40)), F.lit("a"), F.lit("a@b.example"), F.lit("2026-01-01"), F.coalesce("category", F.lit("-")))
+    path = lambda folder, end: F.concat(F.lit(folder), F.col("doc_id").cast("string"), F.lit(end))
+    lines = docs.select(F.col("project_id").alias("repo"), "doc_id", F.posexplode(F.array(head, F.lit(""), path("src/", ".py"), path("docs/", ".md"))).alias("i", "line"))
+    got = L.commits_of(lines.select("repo", (F.col("doc_id") * 4 + F.col("i")).alias("line_no"), "line"))
+    return got.select("repo", F.col("n").cast("bigint").alias("n"), "sha", "message", F.array_join("files_changed", ",").alias("files"))
+
+
+# Sessions, projects and files
+
+
+@query("project_identity", "SELECT project_id, CASE WHEN regexp_full_match(project_id, '[a-z0-9][a-z0-9-]{0,31}') THEN project_id ELSE concat('auto-', left(sha256(root_path), 10)) END AS resolved, concat('auto-', left(sha256(root_path), 10)) AS fallback FROM projects")
+def project_identity(spark, d) -> DataFrame:
+    fallback = F.concat(F.lit("auto-"), F.left(F.sha2("root_path", 256), F.lit(10)))
+    return table(spark, d, "projects").select("project_id", F.when(F.col("project_id").rlike("^[a-z0-9][a-z0-9-]{0,31}$"), F.col("project_id")).otherwise(fallback).alias("resolved"), fallback.alias("fallback"))
+
+
+@query("session_project_attribution", "SELECT s.session_id, coalesce(p.project_id, 'tape-root') AS project FROM sessions s LEFT JOIN projects p ON p.project_id = s.project_id AND p.display_name IS NOT NULL")
+def session_project_attribution(spark, d) -> DataFrame:
+    plan = table(spark, d, "projects").where("display_name is not null").select("project_id", F.col("project_id").alias("found"))
+    return table(spark, d, "sessions").join(plan, "project_id", "left").select("session_id", F.coalesce("found", F.lit("tape-root")).alias("project"))
+
+
+@query(
+    "project_scoring",
+    """WITH p AS (SELECT project_id, root_path, lower(split_part(root_path, '/', -1)) AS name FROM projects WHERE NOT starts_with(project_id, 'auto-')),
+ t AS (SELECT session_id, concat('cwd: ', cwd, ' (', coalesce(project_id, ''), ')') AS text FROM sessions),
+ a AS (SELECT session_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+(?:-[a-z0-9_]+)*')) AS x FROM t),
+ n AS (SELECT session_id, p.project_id, count(*) AS n FROM a JOIN p ON a.x = p.name GROUP BY ALL),
+ r AS (SELECT session_id, p.project_id, CAST(3 AS BIGINT) AS n FROM t JOIN p ON contains(concat(text, '/'), concat(p.root_path, '/')) OR contains(text, concat(p.root_path, ' ')))
+ SELECT session_id, CAST(sum(n) AS BIGINT) AS score, project_id FROM (SELECT * FROM n UNION ALL SELECT * FROM r) GROUP BY session_id, project_id QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY sum(n) DESC, project_id) = 1""",
+)
+def project_scoring(spark, d) -> DataFrame:
+    text = F.concat(F.lit("cwd: "), "cwd", F.lit(" ("), F.coalesce("project_id", F.lit("")), F.lit(")"))
+    texts = table(spark, d, "sessions").select("session_id", text.alias("text"))
+    return U.best_project(U.scores_by_project(texts, table(spark, d, "projects"), "session_id"), "session_id")
+
+
+@query("longest_prefix_source", "WITH s AS (SELECT DISTINCT cwd FROM sessions), b AS (SELECT project_id AS source_id, root_path AS base FROM projects UNION ALL SELECT 'root', '/work') SELECT cwd AS path, arg_max(source_id, length(base)) AS source_id FROM s JOIN b ON cwd = base OR starts_with(cwd, concat(base, '/')) GROUP BY cwd")
+def longest_prefix_source(spark, d) -> DataFrame:
+    bases = table(spark, d, "projects").select(F.col("project_id").alias("source_id"), F.col("root_path").alias("base"))
+    bases = bases.unionByName(spark.range(1).select(F.lit("root").alias("source_id"), F.lit("/work").alias("base")))
+    return U.longest_prefix(table(spark, d, "sessions").select(F.col("cwd").alias("path")).distinct(), bases)
+
+
+@query("cron_candidates", f"SELECT session_id, first_received_at FROM sessions WHERE epoch_us(first_received_at) / 1e6 > {AS_OF - 60 * 86400} AND epoch_us(first_received_at) / 1e6 <= {AS_OF - 600} AND n_bytes >= 4096")
+def cron_candidates(spark, d) -> DataFrame:
+    at = V.epoch("first_received_at")
+    return table(spark, d, "sessions").where((at > AS_OF - 60 * 86400) & (at <= AS_OF - 600) & (F.col("n_bytes") >= 4096)).select("session_id", "first_received_at")
+
+
+@query("newest_session", "SELECT vendor, arg_max(session_id, {'a': first_received_at, 'b': session_id}) AS session_id FROM sessions GROUP BY vendor")
+def newest_session(spark, d) -> DataFrame:
+    return table(spark, d, "sessions").groupBy("vendor").agg(F.max_by("session_id", F.struct("first_received_at", "session_id")).alias("session_id"))
+
+
+@query("session_idle_windows", "WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS is_new FROM events), g AS (SELECT user_id, ts, sum(is_new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM m) SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 10 MINUTE AS ended, count(*) AS n_events FROM g GROUP BY user_id, n")
+def session_idle_windows(spark, d) -> DataFrame:
+    return table(spark, d, "events").groupBy("user_id", F.session_window("ts", "10 minutes").alias("w")).agg(F.count("*").alias("n_events")).select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n_events")
+
+
+_KIND = """CASE WHEN regexp_matches(lower(event_type), 'reason') OR lower(trim(msg_role)) = 'think' THEN 'reasoning'
+ WHEN regexp_matches(lower(event_type), '^(session|title|metadata|system|session_meta)') OR lower(trim(msg_role)) = 'system' THEN NULL
+ WHEN regexp_matches(lower(event_type), 'tool|function') OR lower(trim(msg_role)) IN ('tool', 'toolresult') THEN 'tool_calls'
+ WHEN lower(trim(msg_role)) IN ('user', 'human') THEN 'user' WHEN lower(trim(msg_role)) IN ('assistant', 'ai', 'model') THEN 'assistant'
+ WHEN event_type IN ('user.message', 'turn.prompt', 'user') THEN 'user' WHEN event_type IN ('assistant.message', 'assistant') THEN 'assistant' END"""
+
+
+@query("transcript_event_counts", f"WITH {V.LINES} SELECT session_id, {', '.join(f'count(*) FILTER (k = {k!r}) AS n_{k}' for k in X.KINDS)}, count(*) AS total_events FROM (SELECT session_id, {_KIND} AS k FROM tl) GROUP BY session_id")
+def transcript_event_counts(spark, d) -> DataFrame:
+    rows = V.lines(spark, d).select("session_id", X.line_kind(F.col("event_type"), F.col("msg_role")).alias("k"))
+    return rows.groupBy("session_id").agg(*(F.count_if(F.col("k") == k).alias(f"n_{k}") for k in X.KINDS), F.count("*").alias("total_events"))
+
+
+@query("transcript_format", f"WITH {V.LINES} SELECT session_id, seq, concat('[', left(event_timestamp, 19), '] [', CASE k WHEN 'user' THEN 'USER' WHEN 'assistant' THEN 'ASSISTANT' ELSE 'ASSISTANT reasoning' END, ']', chr(10), left(msg_content, CASE k WHEN 'reasoning' THEN 2000 ELSE 3000 END)) AS shown FROM (SELECT *, {_KIND} AS k FROM tl) WHERE k IN ('user', 'assistant', 'reasoning') AND msg_content <> ''")
+def transcript_format(spark, d) -> DataFrame:
+    kind = X.line_kind(F.col("event_type"), F.col("msg_role"))
+    mark = F.when(F.col("k") == "user", "USER").when(F.col("k") == "assistant", "ASSISTANT").otherwise("ASSISTANT reasoning")
+    text = F.left("msg_content", F.when(F.col("k") == "reasoning", X.REASONING_CHARS).otherwise(X.CONTENT_CHARS))
+    rows = V.lines(spark, d).withColumn("k", kind).where("k in ('user', 'assistant', 'reasoning') and msg_content <> ''")
+    return rows.select("session_id", "seq", F.concat(F.lit("["), F.coalesce(F.left("event_timestamp", F.lit(19)), F.lit("")), F.lit("] ["), mark, F.lit("]\n"), text).alias("shown"))
+
+
+@query("jsonl_parse_counts", "SELECT stream_id, count(*) AS n_lines, count(*) FILTER (json_valid(payload)) AS n_events FROM rollout_records GROUP BY stream_id")
+def jsonl_parse_counts(spark, d) -> DataFrame:
+    return table(spark, d, "rollout_records").groupBy("stream_id").agg(F.count("*").alias("n_lines"), F.count_if(X.is_event(F.col("payload"))).alias("n_events"))
+
+
+@query("insight_validation", f"WITH {V.EPISODES} SELECT id, title <> '' AND confidence BETWEEN 0 AND 1 AND len(string_split_regex(trim(raw_payload->>'$.evidence'), '\\s+')) BETWEEN 3 AND 25 AND contains(trim(regexp_replace(lower(coalesce(title, '') || ' ' || coalesce(body, '')), '\\s+', ' ', 'g')), trim(regexp_replace(lower(raw_payload->>'$.evidence'), '\\s+', ' ', 'g'))) AS is_valid FROM e WHERE raw_payload IS NOT NULL AND json_valid(raw_payload) AND (raw_payload->>'$.evidence') IS NOT NULL AND category IN ('pattern', 'decision', 'anti-pattern', 'preference', 'tool', 'warning')")
+def insight_validation(spark, d) -> DataFrame:
+    evidence = F.get_json_object("raw_payload", "$.evidence")
+    said = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    source = said(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("body", F.lit(""))))
+    ok = (F.col("title") != "") & F.col("confidence").between(0, 1) & F.size(F.split(F.trim(evidence), r"\s+")).between(3, 25) & source.contains(said(evidence))
+    known = F.col("category").isin("pattern", "decision", "anti-pattern", "preference", "tool", "warning")
+    return V.episodes(spark, d).where(evidence.isNotNull() & known).select("id", ok.alias("is_valid"))
+
+
+@query("budget_window", "SELECT doc_id, CASE WHEN length(text) <= 500 THEN text ELSE concat('[~', length(text) - 500 + greatest(pos - 1, 0), ' chars of older transcript omitted]', chr(10), substr(w, greatest(pos, 1))) END AS shown FROM (SELECT doc_id, text, right(text, 500) AS w, CASE WHEN starts_with(m, chr(10)) THEN strpos(right(text, 500), m) + 1 WHEN m <> '' THEN strpos(right(text, 500), m) ELSE 0 END AS pos FROM (SELECT doc_id, text, regexp_extract(right(text, 500), '(^|\\n)\\[[^\\]]+\\] \\[(USER|ASSISTANT)\\]') AS m FROM documents))")
+def budget_window(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", X.newest_window(F.col("text"), 500).alias("shown"))
+
+
+@query("chunk_transcript")
+def chunk_transcript(spark, d) -> DataFrame:
+    """No SQL: greedy gathering of lines depends on all lines before. Tests rebuild the text from the chunks."""
+    return table(spark, d, "documents").select("doc_id", F.posexplode(X.chunks(F.col("text"), 800)).alias("chunk_no", "chunk"))
+
+
+@query("estimate_tokens", "SELECT doc_id, greatest(1, length(text) // 4) AS n_tokens FROM documents")
+def estimate_tokens(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", X.estimated_tokens(F.col("text")).alias("n_tokens"))
+
+
+_MENTIONS = ", ".join(f"({i}, '{e}')" for i, e in enumerate(U.EXTENSIONS))
+_MENTION_ROWS = f"""l AS (SELECT project_id, id, created_at, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS line_no FROM e WHERE kind IN ('working', 'episodic')),
+ x AS (SELECT l.*, ext_no, list_filter(string_split_regex(trim(line), '\\s+'), lambda w: ends_with(w, ext))[1] AS path FROM l, (VALUES {_MENTIONS}) t(ext_no, ext) WHERE contains(line, '/')),
+ q AS (SELECT project_id, path, min({{'a': -created_at, 'b': id, 'c': line_no, 'd': ext_no}}) AS pos FROM x WHERE path IS NOT NULL GROUP BY project_id, path)"""
+
+
+@query("working_set", f"WITH {V.EPISODES}, {_MENTION_ROWS} SELECT project_id, path, k AS place FROM (SELECT project_id, path, row_number() OVER (PARTITION BY project_id ORDER BY pos, path) AS k FROM q) WHERE k <= 20")
+def working_set(spark, d) -> DataFrame:
+    rows = V.episodes(spark, d).where("kind in ('working', 'episodic')")
+    pos = F.struct((-F.col("created_at")).alias("a"), F.col("id").alias("b"), F.col("line_no").alias("c"), F.col("ext_no").alias("d"))
+    mentioned = U.file_mentions(rows).groupBy("project_id", "path").agg(F.min(pos).alias("pos"))
+    none = mentioned.where("false")
+    return U.working_set(none, none, mentioned).select("project_id", "path", F.col("place").cast("bigint").alias("place"))
+
+
+@query("union_streams", f"WITH {V.EPISODES} SELECT id, kind FROM (SELECT id, kind, row_number() OVER (PARTITION BY kind ORDER BY created_at DESC, id) AS k FROM e WHERE kind IN ('working', 'episodic')) WHERE k <= CASE kind WHEN 'working' THEN 50 ELSE 20 END")
+def union_streams(spark, d) -> DataFrame:
+    rows = V.episodes(spark, d)
+    return E.newest(rows.where("kind = 'working'"), 50).unionByName(E.newest(rows.where("kind = 'episodic'"), 20)).select("id", "kind")
+
+
+# The archive
+
+_FILES = "f AS (SELECT concat('/a/', coalesce(category, 'neutral'), '/', lpad(CAST(doc_id AS VARCHAR), 8, '0'), '.md') AS path, coalesce(category, 'neutral') AS category, CASE WHEN doc_id % 50 = 0 THEN 'INSIGHT — Auto-captured' ELSE split_part(text, chr(10), 1) END AS title, text AS body, left(sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))), 16) AS body_hash, CASE WHEN doc_id % 9 = 0 THEN 'low' ELSE 'high' END AS confidence FROM documents)"
+
+
+def _files(spark, d) -> DataFrame:
+    docs, category = table(spark, d, "documents"), F.coalesce("category", F.lit("neutral"))
+    return docs.select(
+        F.concat(F.lit("/a/"), category, F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".md")).alias("path"), category.alias("category"),
+        F.when(F.col("doc_id") % 50 == 0, "INSIGHT — Auto-captured").otherwise(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"), F.col("text").alias("body"),
+        T.body_hash(F.col("text")).alias("body_hash"), F.when(F.col("doc_id") % 9 == 0, "low").otherwise("high").alias("confidence"),
+    )
+
+
+@query("archive_cleanup", f"WITH {_FILES}, g AS (SELECT *, row_number() OVER (PARTITION BY body_hash ORDER BY category, path) AS k FROM f), r AS (SELECT path, CASE WHEN confidence = 'low' THEN 'low-confidence' WHEN title = 'INSIGHT — Auto-captured' AND length(trim(regexp_replace(regexp_replace(body, '(?m)^# .+$', '', 'g'), '(?s)## Context.*', ''))) < 100 THEN 'generic' WHEN k > 1 THEN 'duplicate' END AS reason FROM g) SELECT path, reason FROM r WHERE reason IS NOT NULL")
+def archive_cleanup(spark, d) -> DataFrame:
+    return U.to_remove(_files(spark, d)).select("path", "reason")
+
+
+@query("archive_scan", "SELECT doc_id, regexp_extract(text, '(?s)^---\\n(.*?)\\n---\\n', 1) <> '' AS has_head, nullif(trim(regexp_extract(regexp_extract(text, '(?s)^---\\n(.*?)\\n---\\n', 1), '(?m)^project:(.*)$', 1)), '') AS project FROM documents WHERE category IS NOT NULL")
+def archive_scan(spark, d) -> DataFrame:
+    files = table(spark, d, "documents").where("category is not null").select("doc_id", "text", "category", F.col("doc_id").cast("string").alias("path"))
+    return A.scan(files).select("doc_id", F.col("head").isNotNull().alias("has_head"), F.try_element_at("head", F.lit("project")).alias("project"))
+
+
+@query("frontmatter_migrate", "SELECT session_id, concat_ws(chr(10), 'type: decision', concat('date: ', strftime(first_received_at, '%Y-%m-%d')), concat('timestamp: ', strftime(first_received_at, '%Y-%m-%d'), 'T00:00:00+00:00'), concat('project: ', coalesce(project_id, 'default')), concat('workspace: ', project_id, '.code-workspace'), 'confidence: medium', 'assistant: assistant', 'mood: calm') AS head FROM sessions WHERE project_id IS NOT NULL")
+def frontmatter_migrate(spark, d) -> DataFrame:
+    old = F.create_map(
+        F.lit("date"), F.date_format("first_received_at", "yyyy-MM-dd"), F.lit("type"), F.lit("decision"), F.lit("mood"), F.lit("calm"), F.lit("workspace"), F.concat("project_id", F.lit(".code-workspace"))
+    )
+    return table(spark, d, "sessions").where("project_id is not null").select("session_id", A.migrated(old).alias("head"))
+
+
+@query(
+    "markdown_render",
+    f"""WITH {V.EPISODES} SELECT id, strftime(make_timestamp(CAST(floor(created_at) AS BIGINT) * 1000000), '%Y-%m-%d') || '-' || left(id, 8) || '-' AS prefix, CAST(length(concat_ws(chr(10), '---', concat('type: ', coalesce(category, 'neutral')), 'date: 2026-01-01', 'timestamp: 2026-01-01T00:00:00+00:00', concat('project: ', project_id), concat('confidence: ', CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.4 THEN 'medium' ELSE 'low' END), concat('kind: ', kind), '---', '', concat('# ', title), '', rtrim(coalesce(body, '')), '', concat('Source: ', source_type, ' | Episode: ', id))) AS BIGINT) AS n_chars FROM e""",
+)
+def markdown_render(spark, d) -> DataFrame:
+    out = A.render(V.episodes(spark, d))
+    return out.select("id", F.regexp_extract("file_name", r"^(\d{4}-\d{2}-\d{2}-.{8}-)", 1).alias("prefix"), F.char_length("text").cast("bigint").alias("n_chars"))
