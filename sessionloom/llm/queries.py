@@ -140,4 +140,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_found": """SELECT DISTINCT id, CASE WHEN list_max(list_transform(string_split_regex(msg_content, '\\s+'), lambda x: length(x))) > max_size THEN 'forced' ELSE 'clean' END AS cut_kind
+ FROM transcript_lines, size_limits WHERE limit_name = 'msg_content' AND length(msg_content) > max_size""",
+    }
