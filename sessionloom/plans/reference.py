@@ -14,10 +14,10 @@ from sessionloom.operators import eventlog as L
 from sessionloom.operators import recall as Q
 from sessionloom.operators import rollups as U
 from sessionloom.plans import views as V
-from sessionloom.runtime import table
+from sessionloom.runtime import scratch_path, table
 from sessionloom.sources import archive as A
-from sessionloom.sources import manifests as M
 from sessionloom.sources import transcripts as X
+from sessionloom.streaming import ingest as I
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -526,6 +526,20 @@ def git_log_sessionize(spark, d) -> DataFrame:
     return got.select("repo", F.col("n").cast("bigint").alias("n"), "sha", "message", F.array_join("files_changed", ",").alias("files"))
 
 
+@query(
+    "stream_growth_gate",
+    f"WITH {V.LOG}, m AS (SELECT *, last_value(CASE WHEN source_type = 'transcript.classified' THEN bytes END IGNORE NULLS) OVER (PARTITION BY session ORDER BY captured_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_bytes FROM lg) SELECT session, event_id, bytes, last_bytes, CASE WHEN last_bytes IS NULL THEN 'new' WHEN bytes < last_bytes THEN 'shrunk' WHEN bytes - last_bytes < 2048 THEN 'same' ELSE 'grown' END AS decision FROM m WHERE source_type = 'transcript'",
+)
+def stream_growth_gate(spark, d) -> DataFrame:
+    """The gate as a stream with state, over all events as they lie there, run to their end."""
+    path, out = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
+    V.log(spark, d).select("session", "event_id", "captured_at", "source_type", "bytes").write.parquet(path)
+    schema = spark.read.parquet(path).schema
+    gate = I.growth_gate(spark.readStream.schema(schema).parquet(path))
+    gate.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("session string, event_id bigint, bytes bigint, last_bytes bigint, decision string").parquet(out)
+
+
 # Sessions, projects and files
 
 
