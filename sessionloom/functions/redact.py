@@ -69,7 +69,7 @@ def redact(text: Column, extra: Sequence[tuple[str, str]] = ()) -> Column:
 
 
 def redaction_counts(text: Column) -> Column:
-    """``map<kind, matches>`` of the passes that matched, each counted before it replaces."""
+    """``map<kind, matches>`` of the passes that matched, each counted before it replaces; empty for a null text."""
     out, counts = text, {}
     for kind, pattern in PATTERNS:
         counts.setdefault(kind, []).append(F.regexp_count(out, F.lit(pattern)))

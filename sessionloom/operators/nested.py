@@ -154,11 +154,10 @@ def content_elements(nodes: DataFrame) -> DataFrame:
     path = F.col("schema_path")
     at = F.filter(F.sequence(F.lit(1), F.size(path)), lambda i: (F.element_at(path, i) == ITEM) & (i > 1) & (F.element_at(path, F.greatest(i - 1, F.lit(1))) == ".content"))
     ordinals = F.transform(at, lambda i: F.element_at(F.col("dewey"), i).cast("string"))
-    plain = F.element_at(path, -1) == ".content"
-    found = nodes.where((F.size(path) > 0) & F.array_join(path, "").rlike(CONTENT)).where(
-        ~plain | ((F.col("node_kind") == "string") & (F.coalesce("node_value", F.lit("")) != ""))
-    )
-    found = found.withColumn("__way", F.when(plain, F.concat(ordinals, F.array(F.lit("0")))).otherwise(ordinals)).where(plain | (F.size(path) > 1))
+    plain = F.try_element_at(path, F.lit(-1)) == ".content"
+    item = (F.try_element_at(path, F.lit(-1)) == ITEM) & (F.try_element_at(path, F.lit(-2)) == ".content")
+    found = nodes.where(item | (plain & (F.col("node_kind") == "string") & (F.coalesce("node_value", F.lit("")) != "")))
+    found = found.withColumn("__way", F.when(plain, F.concat(ordinals, F.array(F.lit("0")))).otherwise(ordinals))
     return found.withColumns(
         {
             "block_path": F.array_join("__way", "."),

@@ -60,8 +60,14 @@ def zone_names(spark: SparkSession) -> list[str]:
     return sorted(jvm.java.lang.String.join(",", jvm.java.time.ZoneId.getAvailableZoneIds()).split(","))
 
 
+#: No spelling is longer; longer texts aren't searched.
+LONGEST = 80
+
+
 def clean(raw: Column) -> Column:
-    return F.regexp_replace(raw, r"^[\s\x{A0}\x{FEFF}]+|[\s\x{A0}\x{FEFF}]+$", "")
+    """Without white space at the ends; of an overlong text nothing but a word that is no stamp."""
+    short = F.trim(raw)
+    return F.when(F.char_length(short) > LONGEST, "overlong").otherwise(F.regexp_replace(short, r"^[\s\x{A0}\x{FEFF}]+|[\s\x{A0}\x{FEFF}]+$", ""))
 
 
 def needs_zone(raw: Column) -> Column:

@@ -29,7 +29,7 @@ def head(text: Column) -> Column:
 def scan(files: DataFrame) -> DataFrame:
     """``files`` (path, category, text) with title, body, its hash and length, and the head's confidence."""
     body = F.trim(F.regexp_replace("text", _HEAD, ""))
-    return files.withColumns({"head": head(F.col("text")), "title": F.trim(F.regexp_extract("text", r"(?m)^# (.+)$", 1)), "body": body}).withColumns(
+    return files.withColumns({"head": head(F.col("text")), "title": F.trim(F.regexp_extract(body, r"(?m)^# (.+)$", 1)), "body": body}).withColumns(
         {"confidence": F.lower(F.coalesce(F.try_element_at("head", F.lit("confidence")), F.lit(""))), "body_hash": T.body_hash(F.col("body")), "body_len": F.char_length("body")}
     )
 

@@ -230,9 +230,8 @@ def events(lines: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
 
 def counts(parts: DataFrame, lines: DataFrame, key: str) -> DataFrame:
     """Events by kind and in all, for each ``key``. An event that speaks and calls tools counts as speech."""
-    first = parts.where(F.col("kind").isin(*KINDS)).groupBy(key, "line_no").agg(
-        F.min(F.when(F.col("kind") == "assistant", 0).when(F.col("kind") == "user", 0).when(F.col("kind") == "tool_calls", 2).otherwise(1)).alias("r"), F.min_by("kind", F.when(F.col("kind") == "assistant", -1).otherwise(F.col("part_no"))).alias("kind")
-    )
+    said = F.when(F.col("kind") == "assistant", -1).otherwise(F.col("part_no"))
+    first = parts.where(F.col("kind").isin(*KINDS)).groupBy(key, "line_no").agg(F.min_by("kind", said).alias("kind"))
     by = first.groupBy(key).agg(*(F.count_if(F.col("kind") == k).alias(k) for k in KINDS))
     total = lines.where(is_event(F.col("line"))).groupBy(key).agg(F.count("*").alias("total_events"))
     return total.join(by, key, "left").na.fill(0)
