@@ -52,7 +52,7 @@ def shape(line: str) -> str:
 
 
 def word_shape(token: str) -> str:
-    token = token.strip(_EDGE).rstrip(".")
+    token = token[: 2 * WORD_CHARS].strip(_EDGE).rstrip(".")
     return _DIGITS.sub("9", _HEX.sub("H", token)) if token else ""
 
 
@@ -73,8 +73,8 @@ def ending(text: str) -> dict:
     closed = closed or (bool(quoted) and not ellipsis and not json_like and quoted[-1] in _END)
     return {
         "marked": marked, "ellipsis": ellipsis, "open_block": opened or unclosed, "closed": closed,
-        "line": shape(line)[: LINE_CHARS * 4], "bare_line": shape(plain)[: LINE_CHARS * 4], "n_words": len(plain.split()),
-        "word": word_shape(raw)[:WORD_CHARS], "dotted": _DIGITS.sub("9", _HEX.sub("H", raw.lstrip(_EDGE)))[:WORD_CHARS] if raw.endswith(".") else None,
+        "line": shape(line[: LINE_CHARS * 4]), "bare_line": shape(plain[: LINE_CHARS * 4]), "n_words": len(plain.split()),
+        "word": word_shape(raw)[:WORD_CHARS], "dotted": _DIGITS.sub("9", _HEX.sub("H", raw[: 2 * WORD_CHARS].lstrip(_EDGE)))[:WORD_CHARS] if raw.endswith(".") else None,
     }
 
 
