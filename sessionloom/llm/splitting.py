@@ -52,11 +52,14 @@ def cuts(text: str, max_size: int, overlap: int) -> list[tuple[int, int]]:
         a, b = todo.pop()
         if b - a <= core:
             continue
-        middle, least = (a + b) // 2, max(1, min(overlap, (b - a) // 4))
-        reach = max(1, int((b - a) * NEAR))
-        i, j = np.searchsorted(at, [max(a + least, middle - reach), min(b - least, middle + reach) + 1])
+        # Neither side is tiny, and the first piece can lend the whole overlap.
+        least = max(1, min(overlap, (b - a) // 4))
+        low = max(a + least, overlap)
+        high = max(low, b - least)
+        middle, reach = min(max((a + b) // 2, low), high), max(1, int((b - a) * NEAR))
+        i, j = np.searchsorted(at, [max(low, middle - reach), min(high, middle + reach) + 1])
         if i == j:  # nothing near: any boundary, else a cut in the middle
-            i, j = np.searchsorted(at, [a + least, b - least + 1])
+            i, j = np.searchsorted(at, [low, high + 1])
         if i < j:
             near = np.arange(i, j)
             k = near[np.lexsort((np.abs(at[near] - middle), -strength[near]))[0]] if j - i > 1 else i
