@@ -84,7 +84,7 @@ def faults(sessions: DataFrame, lines: DataFrame, ordered: DataFrame, group_rows
     known = sessions.where("session_id is not null").select("session_id").distinct()
     links = hierarchy.nested_sets(lines, "session_id", "id", "parent_id", "seq", group_rows=group_rows)
     broken = links.where("link in ('orphan', 'cycle', 'below-cycle')").select(F.col("grp").alias("session_id"), F.lit("broken").alias("fault"))
-    empty = known.join(ordered.select("session_id"), "session_id", "left_anti").select("session_id", F.lit("empty").alias("fault"))
+    empty = known.join(ordered.select("session_id").distinct(), "session_id", "left_anti").select("session_id", F.lit("empty").alias("fault"))
     after = ordering.with_previous(ordered, "session_id", _ORDER, "speaker", "last_speaker", F.col("block"))
     twice = after.where("speaker = 'user' and last_speaker = 'user'").select("session_id")
     ends = ordered.groupBy("session_id").agg(F.max_by("speaker", F.struct(*_ORDER)).alias("last")).where("last = 'user'").select("session_id")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sessionloom import runtime
 
-#: A source's documents are walked in so many strands, whatever their number.
+#: A source's documents are walked in at least so many strands, or as many as there are shuffle partitions.
 STRANDS = 64
 #: Documents per source that are rounded together at the end.
 LAST = 14
@@ -125,17 +125,19 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return df.astype({"doc_id": "int64", "source": object, "n_tokens": "int64", "base": "int64", "p": "float64", "chosen": "Int32"})
 
 
-def mix(sizes: DataFrame, targets: DataFrame, seed: int = 0, strands: int = STRANDS) -> DataFrame:
+def mix(sizes: DataFrame, targets: DataFrame, seed: int = 0, strands: int | None = None) -> DataFrame:
     """(doc_id, source, n_tokens, copies) of the documents in the mix, each used ``copies`` times.
 
     ``sizes`` has doc_id, source and n_tokens, best already materialised;
     ``targets`` has source_name, target_share and max_repeats and goes to the
     driver, so it is as short as a list of sources. Documents of other sources,
     of none, or without tokens aren't used; a repeated row is a document of its
-    own. The same input and seed give the same selection, since each strand is
-    sorted.
+    own. The same input, seed and number of strands give the same selection,
+    since each strand is sorted.
     """
     runtime.require_columns(sizes, "doc_id", "source", "n_tokens")
+    width = runtime.shuffle_width(sizes.sparkSession)
+    strands = strands or max(STRANDS, width)
     wanted = [tuple(r) for r in targets.select("source_name", "target_share", "max_repeats").collect()]
     usable = sizes.where("n_tokens > 0 and doc_id is not null").join(F.broadcast(targets.select(F.col("source_name").alias("source")).distinct()), "source")
     totals = [tuple(r) for r in usable.groupBy("source").agg(F.sum("n_tokens")).collect()]
@@ -148,7 +150,7 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 0, strands: int = STRA
         "doc_id", "source", "n_tokens", "base", F.greatest(F.col("e") - F.col("base"), F.lit(0.0)).alias("p"), F.pmod(F.xxhash64("doc_id"), F.lit(strands)).cast("int").alias("strand")
     )
     walked = (
-        each.repartition(runtime.shuffle_width(sizes.sparkSession), "source", "strand")
+        each.repartition(width, "source", "strand")
         .sortWithinPartitions("source", "strand", F.xxhash64("doc_id", F.lit(seed)), "doc_id", "n_tokens")
         .mapInPandas(lambda b: _flight(b, seed), _SCHEMA)
     )
