@@ -119,7 +119,8 @@ def unify(records: DataFrame, renames: DataFrame, keys: list[str]) -> DataFrame:
     all files: double, string, boolean, or JSON text where types are mixed or
     nested. The list of fields goes to the driver; its length is that of the
     schema. Columns of fields are called ``f_`` and the name, so they can't
-    clash with ``keys``. Unreadable records keep their row, without fields;
+    clash with ``keys``; of names that differ in case alone the later ones get a
+    number. Unreadable records keep their row, without fields;
     rows that are repeated come once.
     """
     members = fields(records.select(*keys, *[k for k in (*_KEYS, "payload") if k not in keys]))
@@ -129,8 +130,16 @@ def unify(records: DataFrame, renames: DataFrame, keys: list[str]) -> DataFrame:
     placed = dated.select(*keys, "field", "value", "kind", "since", "first_field").unionByName(own.select(*keys, "field", "value", "kind", F.lit(None).cast("bigint").alias("since"), F.lit(None).cast("string").alias("first_field")))
     placed = placed.withColumn("name", F.coalesce("first_field", "field"))
     union = placed.groupBy("name").agg(promote(F.collect_set("kind")).alias("kind")).orderBy("name").collect()
-    cell = lambda name: F.max_by(F.when(F.col("name") == name, F.col("text")), F.when(F.col("name") == name, F.struct(F.coalesce("since", F.lit(-1)), F.col("text"))))
+    names, taken = [], {k.lower() for k in keys}
+    for r in union:  # Spark's columns differ in more than case
+        column, n = f"f_{r['name']}", 2
+        while column.lower() in taken:
+            column, n = f"f_{r['name']}_{n}", n + 1
+        taken.add(column.lower())
+        names.append(column)
     texts = placed.withColumn("text", F.when(F.col("kind") == "string", F.try_variant_get("value", "$", "string")).when(F.col("kind") != "null", F.to_json("value")))
-    wide = texts.groupBy(*keys).agg(*(cell(r["name"]).alias(f"f_{r['name']}") for r in union)) if union else texts.select(*keys).distinct()
-    typed = wide.select(*keys, *(F.col(f"`f_{r['name']}`").try_cast(COLUMN_TYPES.get(r["kind"], "string")).alias(f"f_{r['name']}") for r in union))
+    own = lambda name, c: F.when(F.col("name") == name, c)
+    cell = lambda name: F.max_by(own(name, F.col("text")), own(name, F.struct(F.coalesce("since", F.lit(-1)), F.col("text"))))
+    wide = texts.groupBy(*keys).agg(*(cell(r["name"]).alias(f"__{i}") for i, r in enumerate(union))) if union else texts.select(*keys).distinct()
+    typed = wide.select(*keys, *(F.col(f"__{i}").try_cast(COLUMN_TYPES.get(r["kind"], "string")) for i, r in enumerate(union))).toDF(*keys, *names)
     return records.select(*keys).distinct().join(typed, keys, "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text as T
+from sessionloom.runtime import materialise
 
 #: Columns that an upsert replaces; all others keep what is stored.
 UPDATED = ["kind", "category", "title", "body", "confidence", "updated_at", "raw_payload", "entities"]
@@ -13,9 +14,15 @@ DECAY, DECAY_DAYS, LEAST_STRENGTH = 0.9, 30, 0.1
 SIMILAR = 0.5
 
 
-def latest(rows: DataFrame) -> DataFrame:
-    """One row per id: the copy that was accessed most, then the newest."""
+def latest(rows: DataFrame, copies_agree: bool = False) -> DataFrame:
+    """One row per id: the copy that was accessed most, then the newest.
+
+    ``copies_agree``: copies equal in both agree in everything, so each column
+    can be chosen for itself, and a query reads only the columns it needs.
+    """
     rank = F.struct(F.coalesce("access_count", F.lit(-1)), "updated_at")
+    if copies_agree:
+        return rows.groupBy("id").agg(*(F.max_by(c, rank).alias(c) for c in rows.columns if c != "id")).select(*rows.columns)
     return rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "id"]), rank).alias("r")).select("id", "r.*")
 
 
@@ -105,11 +112,12 @@ def links_by_title(rows: DataFrame) -> DataFrame:
     """
     words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("title"), r"(?U)\s+"), lambda w: w != "")))
     classes = rows.where("title is not null").select("project_id", words.alias("words")).where(F.size("words") > 0).groupBy("project_id", "words").agg(F.count("*").alias("n"))
-    classes = classes.withColumn("title_class", F.xxhash64("project_id", "words"))
+    classes = materialise(classes.withColumn("title_class", F.xxhash64("project_id", "words")), "title-classes")
     spread = classes.select("project_id", "title_class", F.size("words").alias("w"), "words", F.explode("words").alias("word"))
     rare = spread.groupBy("project_id", "word").agg(F.count("*").alias("df"))
     ranked = spread.join(rare, ["project_id", "word"]).withColumn("k", F.row_number().over(Window.partitionBy("title_class").orderBy("df", "word")))
     heads = ranked.where(F.col("k") <= F.col("w") - F.ceil(F.col("w") * SIMILAR) + 1).select("project_id", "title_class", "w", "word")
+    heads = materialise(heads, "title-heads")
     a, b = heads, heads.select("project_id", F.col("title_class").alias("other_class"), F.col("w").alias("w2"), "word")
     close = (F.col("w") <= 2 * F.col("w2")) & (F.col("w2") <= 2 * F.col("w"))
     met = a.join(b, ["project_id", "word"]).where(close).select("project_id", "title_class", "other_class").distinct()
@@ -164,9 +172,6 @@ def context(rows: DataFrame, as_of: float, lookback_days: int, project: str = "d
     return out.where((F.col("confidence") != "low") & (F.col("strength") > LEAST_STRENGTH)).withColumn("strength", F.round("strength", 3))
 
 
-CONTEXT_ORDER = [F.desc, F.desc, F.desc]
-
-
 def by_authority() -> list[Column]:
     """Pinned first, then stronger, newer, of high confidence; ties by id."""
     return [F.col("pinned").desc(), F.col("strength").desc(), F.col("created_at").desc(), (F.col("confidence") == "high").desc(), F.col("id")]
@@ -178,8 +183,8 @@ def blended(insights: DataFrame, scores: DataFrame, inverted: bool = False) -> D
     ``scores`` (id, score) is the bounded result of a search. ``inverted``
     gives the best hit the lowest relevance, as one older ranking did.
     """
-    met = insights.join(F.broadcast(scores), "id")
-    span = met.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-    norm = (F.col("score") - F.col("_lo")) / F.coalesce(F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)), F.lit(1.0))
+    met, every = insights.join(F.broadcast(scores), "id"), Window.partitionBy(F.lit(0))  # as few rows as a search has
+    low, high = F.min("score").over(every), F.max("score").over(every)
+    norm = (F.col("score") - low) / F.coalesce(F.nullif(high - low, F.lit(0.0)), F.lit(1.0))
     blend = F.round(0.7 * ((1.0 - norm) if inverted else norm) + 0.3 * F.col("strength"), 4)
-    return met.crossJoin(F.broadcast(span)).withColumn("blend", blend).drop("_lo", "_hi")  # span is one row
+    return met.withColumn("blend", blend)

@@ -7,11 +7,13 @@ and each stream is cut to its depth before fusion.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionloom import runtime
 from sessionloom.functions import text as T
 
 KINDS = ("working", "episodic", "semantic")
@@ -72,19 +74,24 @@ def _folded(term: str) -> str:
 
 
 def bm25(docs: DataFrame, key: str, text: Column, query: str, combine: str = "AND", where: Column | None = None) -> DataFrame:
-    """(key, bm25, and ``where``'s rows only) of the rows that match; higher is better.
+    """(key, bm25) of the rows that match and that ``where`` keeps; higher is better.
 
     Statistics are those of all rows, whatever ``where`` keeps. A term that the
-    query repeats counts as often.
+    query repeats counts as often. The texts are cut into words once: what both
+    the statistics and the scores need of a row are a few numbers, which are
+    written down.
     """
     if combine not in ("AND", "OR"):
         raise ValueError("combine must be AND or OR")
     words = terms_of(query)
     distinct = list(dict.fromkeys(_folded(w) for w in words))
-    counted = docs.withColumn("_w", T.tokens(text)).select(
-        "*", F.size("_w").alias("_len"), *(_frequency(F.col("_w"), t).alias(f"_f{i}") for i, t in enumerate(distinct))
-    ).drop("_w")
-    stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(distinct))))
+    keep = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    counted = docs.select(F.col(key), keep.alias("_keep"), T.tokens(text).alias("_w")).select(
+        key, "_keep", F.size("_w").alias("_len"), *(_frequency(F.col("_w"), t).alias(f"_f{i}") for i, t in enumerate(distinct))
+    )
+    counted = runtime.materialise(counted, "frequencies")
+    found = counted.agg(F.count("*"), F.avg("_len"), *(F.count_if(F.col(f"_f{i}") > 0) for i in range(len(distinct)))).first()
+    n, mean, df = found[0], found[1] or 1.0, found[2:]
     hits = [F.col(f"_f{i}") > 0 for i in range(len(distinct))]
     matched = hits[0]
     for h in hits[1:]:
@@ -92,12 +99,10 @@ def bm25(docs: DataFrame, key: str, text: Column, query: str, combine: str = "AN
     weight = {t: sum(_folded(w) == t for w in words) for t in distinct}
     score = F.lit(0.0)
     for i, t in enumerate(distinct):
-        idf = F.ln((F.col("_n") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5))
-        idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
+        idf = max(math.log((n - df[i] + 0.5) / (df[i] + 0.5)), 0.0) or LEAST_IDF
         tf = F.col(f"_f{i}").cast("double")
-        score = score + float(weight[t]) * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    chosen = counted.where(matched if where is None else matched & where)
-    return chosen.crossJoin(F.broadcast(stats)).select(*docs.columns, score.alias("bm25"))  # stats is one row
+        score = score + weight[t] * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / mean))
+    return counted.where(matched & F.col("_keep")).select(key, score.alias("bm25"))
 
 
 def entity_index(episodes: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions import redact as R
@@ -232,8 +232,6 @@ def project_kind_matrix(spark, d) -> DataFrame:
 @query("validation_summary", f"WITH {V.EPISODES} SELECT kind, count(*) AS n, round(avg(confidence), 6) AS mean_confidence, list_sort(list(confidence))[CAST(floor(count(confidence) / 2) AS BIGINT) + 1] AS upper_median FROM e GROUP BY kind")
 def validation_summary(spark, d) -> DataFrame:
     # The upper median is that of the counts by value, so a kind's values aren't gathered.
-    from pyspark.sql import Window
-
     rows = V.episodes(spark, d)
     by_value = rows.where("confidence is not null").groupBy("kind", "confidence").count()
     order = Window.partitionBy("kind").orderBy("confidence")
@@ -276,8 +274,6 @@ def preload_ranked(spark, d) -> DataFrame:
  SELECT type, n, max(created_at) FILTER (rn = least(5, n)) AS first_seen, max(created_at) FILTER (rn = 1) AS last_seen, string_agg(content, ' | ' ORDER BY rn) FILTER (rn <= 3) AS examples FROM k WHERE n >= 2 GROUP BY type, n""",
 )
 def recurring_patterns(spark, d) -> DataFrame:
-    from pyspark.sql import Window
-
     kept = E.context(V.episodes(spark, d), AS_OF, 365).where("type <> 'code_change'")
     n = kept.groupBy("type").agg(F.count("*").alias("n")).where("n >= 2")
     # The rank filter lets Spark cut each task's rows to five per type before the shuffle.
@@ -295,8 +291,6 @@ def assistant_summary(spark, d) -> DataFrame:
 
 
 def _handoff(rows: DataFrame, kind: str, days: int | None, n: int) -> DataFrame:
-    from pyspark.sql import Window
-
     kept = rows.where(F.col("kind") == kind)
     kept = kept if days is None else kept.where(F.col("created_at") >= AS_OF - days * 86400)
     k = F.row_number().over(Window.partitionBy("project_id").orderBy(F.col("created_at").desc(), "id"))
@@ -328,8 +322,6 @@ def resume_sections(spark, d) -> DataFrame:
 
 @query("focus_goal", f"WITH {V.EPISODES}, c AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id) AS k FROM e WHERE kind IN ('episodic', 'semantic')), g AS (SELECT project_id, arg_min(title, k) AS goal FROM c WHERE k <= 5 AND confidence >= 0.6 AND title <> '' GROUP BY project_id) SELECT p.project_id, coalesce(goal, concat('working on ', p.project_id)) AS goal FROM (SELECT DISTINCT project_id FROM e) p LEFT JOIN g ON g.project_id IS NOT DISTINCT FROM p.project_id")
 def focus_goal(spark, d) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = V.episodes(spark, d)
     k = F.row_number().over(Window.partitionBy("project_id").orderBy(F.col("created_at").desc(), "id"))
     five = rows.where("kind in ('episodic', 'semantic')").withColumn("k", k).where("k <= 5 and confidence >= 0.6 and title <> ''")
@@ -441,20 +433,17 @@ _VERDICT = "CASE event_type WHEN 'click' THEN 'helpful' WHEN 'view' THEN 'not_he
 
 @query(
     "feedback_fold",
-    f"""WITH RECURSIVE {V.EPISODES}, n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS c FROM e),
- v AS (SELECT n.id, epoch_us(ts) / 1e6 AS ts, {_VERDICT} AS verdict, row_number() OVER (PARTITION BY n.id ORDER BY ts, event_id) AS i FROM events JOIN n ON events.event_id % n.c = n.k WHERE event_type <> 'purchase'),
+    f"""WITH RECURSIVE {V.EPISODES}, n AS (SELECT id, CAST(concat('0x', left(id, 3)) AS BIGINT) AS k FROM e),
+ v AS (SELECT n.id, epoch_us(ts) / 1e6 AS ts, {_VERDICT} AS verdict, row_number() OVER (PARTITION BY n.id ORDER BY ts, event_id) AS i FROM events JOIN n ON events.event_id % 4096 = n.k WHERE event_type <> 'purchase'),
  w AS (SELECT id, 0 AS i, coalesce(access_count, 0) AS a FROM e UNION ALL SELECT w.id, w.i + 1, CASE verdict WHEN 'helpful' THEN a + 1 WHEN 'not_helpful' THEN greatest(a - 1, 0) ELSE a END FROM w JOIN v ON v.id = w.id AND v.i = w.i + 1)
  SELECT e.id, (SELECT arg_max(a, i) FROM w WHERE w.id = e.id) AS access_count, coalesce(t.ended, e.expires_at) AS expires_at, CASE WHEN t.ended IS NOT NULL THEN false ELSE e.pinned END AS pinned FROM e LEFT JOIN (SELECT id, max(ts) FILTER (verdict IN ('stale', 'wrong')) AS ended FROM v GROUP BY id) t ON t.id = e.id""",
 )
 def feedback_fold(spark, d) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = V.episodes(spark, d)
-    # A running number of the episodes, only to spread the test's events over them.
-    n = rows.select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("k"))
-    total = rows.count()
+    # Events go to the episodes whose id begins with the event's number in three hexadecimal digits.
+    n = rows.select("id", F.conv(F.left("id", F.lit(3)), 16, 10).cast("bigint").alias("k"))
     verdict = F.try_element_at(F.create_map(*map(F.lit, ["click", "helpful", "view", "not_helpful", "error", "stale", "signup", "wrong"])), F.col("event_type"))
-    given = table(spark, d, "events").where("event_type <> 'purchase'").select((F.col("event_id") % total).alias("k"), V.epoch("ts").alias("ts"), F.col("event_id").alias("seq"), verdict.alias("verdict"))
+    given = table(spark, d, "events").where("event_type <> 'purchase'").select((F.col("event_id") % 4096).alias("k"), V.epoch("ts").alias("ts"), F.col("event_id").alias("seq"), verdict.alias("verdict"))
     return E.fold_feedback(rows, given.join(n, "k").drop("k")).select("id", "access_count", "expires_at", "pinned")
 
 
@@ -549,10 +538,10 @@ def project_identity(spark, d) -> DataFrame:
     return table(spark, d, "projects").select("project_id", F.when(F.col("project_id").rlike("^[a-z0-9][a-z0-9-]{0,31}$"), F.col("project_id")).otherwise(fallback).alias("resolved"), fallback.alias("fallback"))
 
 
-@query("session_project_attribution", "SELECT s.session_id, coalesce(p.project_id, 'tape-root') AS project FROM sessions s LEFT JOIN projects p ON p.project_id = s.project_id AND p.display_name IS NOT NULL")
+@query("session_project_attribution", "SELECT s.session_id, coalesce(p.project_id, 'other') AS project FROM sessions s LEFT JOIN projects p ON p.project_id = s.project_id AND p.display_name IS NOT NULL")
 def session_project_attribution(spark, d) -> DataFrame:
     plan = table(spark, d, "projects").where("display_name is not null").select("project_id", F.col("project_id").alias("found"))
-    return table(spark, d, "sessions").join(plan, "project_id", "left").select("session_id", F.coalesce("found", F.lit("tape-root")).alias("project"))
+    return table(spark, d, "sessions").join(plan, "project_id", "left").select("session_id", F.coalesce("found", F.lit("other")).alias("project"))
 
 
 @query(

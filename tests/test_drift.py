@@ -75,3 +75,10 @@ def test_chain_of_renames(spark):
     assert names == {(2, "two"): "one", (3, "three"): "one", (4, "one"): "one"}
     got = drift.unify(rows, drift.changes(rows), ["rec_id", "stream_id", "event_type", "file_no"])
     assert [r.f_one for r in got.orderBy("rec_id").collect()] == [7.0] * 4
+
+
+def test_names_that_differ_in_case(spark):
+    rows = make(spark, [("s", "m", 1, [{"A": 1, "a": "x", "k`y": True, "b c": None}])])
+    got = drift.unify(rows, drift.changes(rows), ["rec_id", "stream_id", "event_type", "file_no"])
+    assert got.columns[4:] == ["f_A", "f_a_2", "f_b c", "f_k`y"]
+    assert got.first()[4:] == (1.0, "x", None, True)
