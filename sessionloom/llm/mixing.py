@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom import runtime
@@ -165,6 +165,6 @@ def shares(selection: DataFrame, targets: DataFrame) -> DataFrame:
     got = selection.groupBy(F.col("source").alias("source_name")).agg(
         F.sum("copies").alias("n_uses"), F.sum(F.col("copies") * F.col("n_tokens")).alias("n_tokens"), F.max("copies").alias("most_copies")
     )
-    total = got.agg(F.sum("n_tokens").alias("all_tokens"))
-    with_all = targets.select("source_name", "target_share", "max_repeats").join(got, "source_name", "left").na.fill(0).crossJoin(F.broadcast(total))
-    return with_all.withColumn("actual_share", F.coalesce(F.try_divide("n_tokens", "all_tokens"), F.lit(0.0))).drop("all_tokens")
+    every = Window.partitionBy(F.lit(0))  # as few rows as there are targets
+    share = F.coalesce(F.try_divide("n_tokens", F.sum("n_tokens").over(every)), F.lit(0.0))
+    return targets.select("source_name", "target_share", "max_repeats").join(got, "source_name", "left").na.fill(0).withColumn("actual_share", share)

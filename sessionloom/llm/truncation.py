@@ -192,7 +192,8 @@ def detect(docs: DataFrame) -> DataFrame:
     )
     # The trie counts a line's own ellipsis form as an extension of its bare form.
     extended = F.when(F.col("ellipsis"), F.col("bare_below") - F.col("final") - F.col("inner")).otherwise(F.col("below"))
-    complete = (F.col("inner") >= MIN_TEXTS) | ((F.col("final") >= MIN_CLOSERS) & (F.col("final") > extended))
+    # A line is complete where more texts end it there than go on.
+    complete = ((F.col("inner") >= MIN_TEXTS) & (F.col("inner") >= extended)) | ((F.col("final") >= MIN_CLOSERS) & (F.col("final") > extended))
     partial = ~F.col("word_known") & F.col("word_inside")
     evidence = (
         F.when(F.col("line") == "", F.when(F.col("marked"), "marker"))
