@@ -70,26 +70,34 @@ def _scalar(v) -> str | None:
     return json.dumps(v) if isinstance(v, (bool, int, float)) else str(v)
 
 
-def walk(value, only: re.Pattern | None = None) -> Iterator[tuple]:
-    """(label, schema path, kind, value, fields) of each node, in preorder. ``fields`` are an object's scalar members."""
+def walk(value, only: re.Pattern | None = None, whole: re.Pattern | None = None) -> Iterator[tuple]:
+    """(label, schema path, kind, value, fields) of each node, in preorder.
+
+    ``fields`` are an object's scalar members. A node whose path matches
+    ``whole`` has its entire content as JSON for its value.
+    """
     todo = [((), (), value)]
     while todo:
         label, path, v = todo.pop()
         kind = _kind(v)
         if only is None or only.search("".join(path)):
             fields = list({str(k): _scalar(x) for k, x in v.items() if _kind(x) not in ("object", "array")}.items()) if kind == "object" else None
-            yield label, path, kind, _scalar(v) if kind not in ("object", "array") else None, fields
+            scalar = _scalar(v) if kind not in ("object", "array") else None
+            if scalar is None and v is not None and whole is not None and whole.search("".join(path)):
+                scalar = json.dumps(v, ensure_ascii=False, default=str)
+            yield label, path, kind, scalar, fields
         if kind == "object":
             todo += [((*label, i), (*path, f".{k}"), x) for i, (k, x) in reversed(list(enumerate(v.items())))]
         elif kind == "array":
             todo += [((*label, i), (*path, ITEM), x) for i, x in reversed(list(enumerate(v)))]
 
 
-def label(rows: DataFrame, text: str, keys: list[str], only: str | None = None) -> DataFrame:
+def label(rows: DataFrame, text: str, keys: list[str], only: str | None = None, whole: str | None = None) -> DataFrame:
     """The nodes of each row's record: ``keys`` and the columns of ``NODES``.
 
     ``only`` is a pattern searched for in the joined schema path; other nodes
-    don't leave the Python worker. The root has an empty label. Unreadable and
+    don't leave the Python worker. Nodes matching ``whole`` carry their content
+    as JSON. The root has an empty label. Unreadable and
     null records have no nodes, repeated rows repeat theirs. Only ``keys`` of
     the other columns are read, so their names can't clash.
     """
@@ -98,7 +106,7 @@ def label(rows: DataFrame, text: str, keys: list[str], only: str | None = None)
     names = [*keys, "dewey", "schema_path", "node_kind", "node_value", "fields"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = re.compile(only) if only else None
+        wanted, entire = re.compile(only) if only else None, re.compile(whole) if whole else None
         for b in batches:
             *values, records = b.columns
             at, out = [], []
@@ -113,7 +121,7 @@ def label(rows: DataFrame, text: str, keys: list[str], only: str | None = None)
                     value = decode(record)
                 except ValueError:
                     continue
-                for node in walk(value, wanted):
+                for node in walk(value, wanted, entire):
                     at.append(i)
                     out.append(node)
                 if len(out) >= _BATCH:

@@ -94,12 +94,15 @@ def p7_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tool calls and tool results among the content elements, linked to their element."""
+    """Tool calls and tool results among the content elements, linked to their element; arguments join by the parent's label."""
+    nodes = nested.label(table(spark, sf_dir, "transcript_lines"), "message", ["id"], nested.CONTENT + r"|\.arguments$", r"\.arguments$")
+    nodes = materialise(nodes, "call-nodes")
     f = F.col("fields")
-    calls = nested.content_elements(_message_nodes(spark, sf_dir, nested.CONTENT)).where(F.lower(f["type"]).rlike("tool"))
-    return calls.select(
+    calls = nested.content_elements(nodes).where(F.lower(f["type"]).rlike("tool")).withColumn("node", nested.dewey_text(F.col("dewey")))
+    given = nested.table_of(nodes, r"\.arguments$").select("id", F.col("parent").alias("node"), F.col("node_value").alias("arguments")).distinct()
+    return calls.join(given, ["id", "node"], "left").select(
         "id", "block_path", F.coalesce(f["id"], f["toolCallId"]).alias("call_id"), f["type"].alias("element_type"), f["name"].alias("name"),
-        f["intent"].alias("intent"), f["arguments"].alias("arguments"), f["isError"].alias("is_error"),
+        f["intent"].alias("intent"), "arguments", f["isError"].alias("is_error"),
     ).distinct()
 
 

@@ -80,3 +80,10 @@ def test_empty(spark):
     assert nested.content_elements(nested.label(rows, "message", ["id"])).count() == 0
     with pytest.raises(ValueError):
         nested.label(rows, "message", ["nope"])
+
+
+def test_whole_subtrees_link_by_label(spark):
+    rows = spark.createDataFrame([("r", json.dumps({"content": [{"type": "toolCall", "arguments": {"a": [1, None]}}, {"arguments": "text"}]}))], "id string, message string")
+    nodes = nested.label(rows, "message", ["id"], nested.CONTENT + r"|\.arguments$", r"\.arguments$")
+    given = {r.parent: r.node_value for r in nested.table_of(nodes, r"\.arguments$").collect()}
+    assert given == {"0.0": '{"a": [1, null]}', "0.1": "text"}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.operators import episodes as e
 from sessionloom.operators import eventlog as l
+from sessionloom.operators import insights as n
 from sessionloom.operators import rollups as u
 from sessionloom.sources import archive as a
 from sessionloom.sources import manifests as m
@@ -188,3 +189,33 @@ def test_subagents(spark):
     assert {r.session for r in flagged.collect()} == {"b", "c"}
     sessions = spark.createDataFrame([("a", "/x/a.jsonl"), ("b", "/x/b.jsonl"), ("f", "/x/f.events.jsonl")], "session string, path string")
     assert [r.session for r in m.main_sessions(sessions, flagged, "session").collect()] == ["a"]
+
+
+GOOD = {"category": "decision", "title": "Keep it", "context": "c", "implication": "i", "layer": "project", "confidence": 0.7, "evidence": "we keep  the OLD title here", "entities": ["Ab", "AB", "x", 3]}
+
+
+def test_insights_are_borne_out_by_the_text(spark):
+    text = "[1] [USER]\nWe keep the old title here.\n" + "line\n" * 20 + "[2] [USER]\nlast words of it"
+    bad = [GOOD | c for c in ({"title": ""}, {"category": "x"}, {"layer": None}, {"confidence": 1.5}, {"confidence": "no"}, {"evidence": "we keep the new title here"}, {"evidence": "too short"})]
+    many = [GOOD | {"title": f"t{i}"} for i in range(12)]
+    answers = {"last words": [*bad, "nothing", None, GOOD, GOOD | {"title": "KEEP  it"}], "We keep": many}
+
+    def extractor(chunk):
+        if "line\nline" in chunk and "We keep" not in chunk:
+            raise RuntimeError("down")
+        return next((v for k, v in answers.items() if k in chunk), [])
+
+    df = spark.createDataFrame([("s", "p", text), ("e", "p", ""), ("n", None, None)], "session_id string, project_id string, text string")
+    got = n.extract(df, extractor, chunk=40).orderBy("chunk_no", "place").collect()
+    assert [r.title for r in got] == ["Keep it", *(f"t{i}" for i in range(7))] and {r.session_id for r in got} == {"s"}
+    assert got[0].entities == ["Ab"] and got[0].chunk_no < got[1].chunk_no
+    rows = n.as_episodes(n.extract(df, extractor, chunk=40), 5.0)
+    assert rows.select("id").distinct().count() == 8 and rows.where("title = 'Keep it'").first().body == "**Context:** c\n\n**Implication:** i"
+    assert n.extract(df.where("false")).count() == 0
+
+
+def test_extractor_without_a_model_and_notes(spark):
+    assert [(i["category"], i["evidence"]) for i in n.by_cues("Ok. Decision: the merge step keeps the older title. Warning: x")] == [("decision", "the merge step keeps the older title.")]
+    r = n.note(spark, "p", "About GapEngine", "It works", 3.0).first()
+    assert (r.confidence, r.source_type, r.entities, r.body, r.created_at, r.source_ref) == (1.0, "manual", ["GapEngine"], "It works", 3.0, None)
+    assert n.note(spark, "p", "t", "b", 3.0, entities=["Own"]).first().entities == ["Own"]
