@@ -69,6 +69,10 @@ _ID = re.compile(
     r")(?![\w/+=]|-\d|\.\d)"
 )
 _CUED_ID = re.compile(rf"(?i:\b(?:{ID_CUE}|{TAX_CUE}))(?P<v>[A-Z]{{0,3}}[- ]?\d(?:[ ./-]?[A-Z0-9]){{5,15}})(?![A-Za-z0-9])")
+#: What the patterns of numbers need at least; a text without it is spared them.
+_SEVEN_DIGITS = re.compile(r"\d(?:[ .\-/()]{0,3}\d){6}")
+_ID_CORE = re.compile(r"[A-Z]{2} ?\d\d ?\d\d ?\d\d|[A-Z]{6}\d")
+_CUED_CORE = re.compile(r"\d(?:[ ./-]?[A-Z0-9]){5}")
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w'’]*"
 _PLACE = rf"{_CAP}(?:[ -](?:{_CAP}|(?:am|an|im|in|der|de|del|di|la|da|sul|sur|upon|on)\b))*"
 _SEP = r"\s*,?\s+"
@@ -150,19 +154,24 @@ def spans(text: str, parts) -> list[tuple[int, int, str, str]]:
         for m in _SPOKEN.finditer(text):
             v = re.sub(r" (?:dot|punto) ", ".", m.group().lower())
             found.append((m.start(), m.end(), "email", re.sub(r" (?:at|chiocciola|arroba) ", "@", v)))
-    for m in _PHONE.finditer(text):
-        if _plausible_phone(m.group()):
-            found.append((m.start(), m.end(), "phone", m.group()))
-    for m in _CUED_PHONE.finditer(text):
-        found.append((m.start(1), m.end(1), "phone", m.group(1)))
-    for m in _ID.finditer(text):
-        kind, v = m.lastgroup, m.group()
-        if kind in ("ssn", "nino") or kind in ("dni", "nie") and valid_dni(v) or kind == "steuer" and valid_steuer(v) or kind == "cf":
-            found.append((m.start(), m.end(), "national_id", v))
-    for m in _CUED_ID.finditer(text):
-        v = m.group("v").rstrip(" .-/")
-        if sum(c.isdigit() for c in v) >= 5:
-            found.append((m.start("v"), m.start("v") + len(v), "national_id", v))
+    long_number = _SEVEN_DIGITS.search(text)
+    if long_number:
+        for m in _PHONE.finditer(text):
+            if _plausible_phone(m.group()):
+                found.append((m.start(), m.end(), "phone", m.group()))
+        for m in _CUED_PHONE.finditer(text):
+            if sum(c.isdigit() for c in m.group(1)) >= 7:
+                found.append((m.start(1), m.end(1), "phone", m.group(1)))
+    if long_number or _ID_CORE.search(text):
+        for m in _ID.finditer(text):
+            kind, v = m.lastgroup, m.group()
+            if kind in ("ssn", "nino") or kind in ("dni", "nie") and valid_dni(v) or kind == "steuer" and valid_steuer(v) or kind == "cf":
+                found.append((m.start(), m.end(), "national_id", v))
+    if _CUED_CORE.search(text):
+        for m in _CUED_ID.finditer(text):
+            v = m.group("v").rstrip(" .-/")
+            if sum(c.isdigit() for c in v) >= 5:
+                found.append((m.start("v"), m.start("v") + len(v), "national_id", v))
     if _ADDRESS_HINT.search(text):
         for m in _ADDRESS.finditer(text):
             v = m.group().rstrip(" ,\n")
