@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import shutil
 import tempfile
@@ -64,18 +65,23 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers of the session, once per application."""
+    """Give this package to the Python workers of the session, once per application, by way of the shared folder."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     _shipped.add(app)
     here = Path(__file__).resolve().parent
-    folder = tempfile.mkdtemp(prefix="sessionloom-")
-    _made.append(folder)
-    with zipfile.ZipFile(f"{folder}/{here.name}.zip", "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for f in sorted(here.rglob("*.py")):
             z.write(f, f.relative_to(here.parent))
-    spark.sparkContext.addPyFile(f"{folder}/{here.name}.zip")
+    path = f"{scratch_path(spark, 'package')}/{here.name}.zip"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(conf).create(target)
+    out.write(packed.getvalue())
+    out.close()
+    spark.sparkContext.addPyFile(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
