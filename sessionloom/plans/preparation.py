@@ -106,7 +106,28 @@ def p7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
+_ABBREVIATIONS = "CET|CEST|EST|EDT|PST|PDT|GMT"
+_FORMATS = ", ".join(f"'{f}'" for f in ["%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%d.%m.%Y %H:%M:%S", "%d %b %Y %H:%M:%S", "%a, %d %b %Y %H:%M:%S", "%Y%m%dT%H%M%S", "%b %-d, %Y %-I:%M:%S %p"])
+#: The instants (us, in microseconds) of all stamps of the test tables by text and zone, by another way: strip zone and fraction, then try formats.
+STAMPS_SQL = f"""s0 AS (SELECT DISTINCT raw, tz, trim(raw) AS s FROM (SELECT event_timestamp AS raw, tz_name AS tz FROM transcript_lines LEFT JOIN sessions USING (session_id) UNION ALL SELECT created_at, tz_name FROM episodes LEFT JOIN projects USING (project_id))),
+ s1 AS (SELECT *, regexp_extract(s, '\\[([^\\]]+)\\]$', 1) AS br, regexp_replace(s, '\\[[^\\]]+\\]$', '') AS a FROM s0),
+ s2 AS (SELECT *, regexp_extract(a, ' ({_ABBREVIATIONS})$', 1) AS ab, regexp_replace(a, ' ({_ABBREVIATIONS})$', '') AS b FROM s1),
+ s3 AS (SELECT *, CASE WHEN regexp_matches(b, '\\dZ$') THEN '+0000' ELSE replace(regexp_extract(b, '\\d\\d(?:[.,]\\d+)? ?([+-]\\d\\d:?\\d\\d)$', 1), ':', '') END AS off, regexp_replace(b, '(Z| ?[+-]\\d\\d:?\\d\\d)$', '') AS c FROM s2),
+ s4 AS (SELECT *, regexp_extract(c, '[.,](\\d{{3,9}})$', 1) AS fr, try_strptime(regexp_replace(CASE WHEN off = '' THEN b ELSE c END, '[.,]\\d{{3,9}}$', ''), [{_FORMATS}]) AS w FROM s3),
+ s5 AS (SELECT *, coalesce(nullif(br, ''), tz) AS z, timezone(coalesce(nullif(br, ''), tz), w) AS u FROM s4),
+ stamps AS (SELECT raw, tz, CASE
+  WHEN regexp_full_match(s, '\\d{{10}}(\\.\\d+)?') THEN CAST(round(CAST(s AS DECIMAL(20, 6)) * 1000000) AS BIGINT) WHEN regexp_full_match(s, '\\d{{13}}') THEN CAST(s AS BIGINT) * 1000 WHEN regexp_full_match(s, '\\d{{16}}') THEN CAST(s AS BIGINT)
+  WHEN w IS NULL THEN NULL
+  WHEN off <> '' THEN epoch_us(w) - (CASE WHEN off[1:1] = '-' THEN -1 ELSE 1 END) * (CAST(off[2:3] AS BIGINT) * 60 + CAST(off[4:5] AS BIGINT)) * 60000000 + CAST(rpad(coalesce(fr, ''), 6, '0') AS BIGINT)
+  WHEN ab <> '' THEN epoch_us(w) - CAST(map {{'CET': 1, 'CEST': 2, 'EST': -5, 'EDT': -4, 'PST': -8, 'PDT': -7, 'GMT': 0}}[ab] AS BIGINT) * 3600000000
+  WHEN timezone(z, u) = w AND timezone(z, u + INTERVAL 1 HOUR) <> w AND timezone(z, u - INTERVAL 1 HOUR) <> w THEN epoch_us(u) + CAST(rpad(coalesce(fr, ''), 6, '0') AS BIGINT) END AS us FROM s5)"""
+
 SQL = {
+    "p1_found": f"""WITH {STAMPS_SQL},
+ l AS (SELECT DISTINCT session_id, seq, id, us FROM transcript_lines LEFT JOIN sessions USING (session_id) JOIN stamps ON raw = event_timestamp AND tz IS NOT DISTINCT FROM tz_name WHERE us IS NOT NULL),
+ p AS (SELECT id, us, lag(us) OVER (PARTITION BY session_id ORDER BY seq, id) AS before FROM l)
+ SELECT DISTINCT 'transcript_lines' AS tbl, id FROM p WHERE us < before
+ UNION SELECT 'episodes', id FROM episodes LEFT JOIN projects USING (project_id) JOIN stamps ON raw = created_at AND tz IS NOT DISTINCT FROM tz_name WHERE us > updated_at * 1e6""",
     # What a walk down from the heads of all trees doesn't reach is on a cycle or below one.
     "p3_found": """WITH RECURSIVE n AS (SELECT DISTINCT session_id, id, parent_id FROM transcript_lines WHERE session_id IS NOT NULL AND id IS NOT NULL),
  ok AS (SELECT session_id, id FROM n WHERE NOT EXISTS (SELECT 1 FROM n p WHERE p.session_id = n.session_id AND p.id = n.parent_id)

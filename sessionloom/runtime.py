@@ -14,6 +14,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[str] = []
+_scratch: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,9 +47,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     plain = path.removeprefix("file://")
     if os.path.isabs(plain):
         _made.append(plain)
+    if name != "package":
+        _scratch.append(path)
     return path
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables of all results so far, wherever they lie; returns how many.
+
+    For long sessions, once the results that were built on them are written.
+    """
+    n, (jvm, conf) = len(_scratch), (spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
+    while _scratch:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
