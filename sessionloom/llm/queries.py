@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm import conversations, mixing, packing, pii, splitting, tokens, truncation
 from sessionloom.operators import timestamps
+from sessionloom.plans import preparation
 from sessionloom.runtime import table
 
 #: The key of the pseudonyms in these queries. Real corpora need a secret one.
@@ -139,8 +140,23 @@ def queries() -> dict:
     }
 
 
+_SPEAKER = """CASE WHEN regexp_matches(lower(coalesce(event_type, '')), 'reason|think|tool|function|system|session|meta|title|usage|token') THEN NULL
+ WHEN coalesce(trim(msg_role), '') <> '' THEN CASE WHEN lower(trim(msg_role)) IN ('user', 'human') THEN 'user' WHEN lower(trim(msg_role)) IN ('assistant', 'ai', 'model') THEN 'assistant' END
+ WHEN event_type IN ('user', 'user.message', 'turn.prompt') THEN 'user' WHEN event_type IN ('assistant', 'assistant.message') THEN 'assistant' END"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_found": f"""WITH RECURSIVE {preparation.STAMPS_SQL},
+ l AS (SELECT DISTINCT session_id, seq, id, parent_id, event_timestamp, {_SPEAKER} AS speaker, trim(coalesce(msg_content, ''), ' ' || chr(9) || chr(10) || chr(13)) = '' AS is_blank FROM transcript_lines),
+ ok AS (SELECT session_id, id FROM l n WHERE NOT EXISTS (SELECT 1 FROM l p WHERE p.session_id = n.session_id AND p.id = n.parent_id)
+  UNION SELECT n.session_id, n.id FROM l n JOIN ok ON ok.session_id = n.session_id AND ok.id = n.parent_id),
+ m AS (SELECT session_id, seq, id, speaker, us FROM l LEFT JOIN sessions USING (session_id) LEFT JOIN stamps ON raw = event_timestamp AND tz IS NOT DISTINCT FROM tz_name WHERE speaker IS NOT NULL AND NOT is_blank),
+ e AS (SELECT *, coalesce(us, last_value(us IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -9e18) AS place FROM m),
+ f AS (SELECT session_id, speaker, lead(speaker) OVER (PARTITION BY session_id ORDER BY place, seq, id) AS after FROM e)
+ SELECT DISTINCT session_id, 'broken' AS fault FROM l WHERE session_id IN (SELECT session_id FROM sessions) AND ((parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM l p WHERE p.session_id = l.session_id AND p.id = l.parent_id)) OR NOT EXISTS (SELECT 1 FROM ok WHERE ok.session_id = l.session_id AND ok.id = l.id))
+ UNION SELECT session_id, 'empty' FROM sessions WHERE session_id NOT IN (SELECT session_id FROM m)
+ UNION SELECT session_id, 'no_reply' FROM f WHERE speaker = 'user' AND coalesce(after, 'user') = 'user' AND session_id IN (SELECT session_id FROM sessions)""",
         "p4_found": """SELECT DISTINCT id, CASE WHEN list_max(list_transform(string_split_regex(msg_content, '\\s+'), lambda x: length(x))) > max_size THEN 'forced' ELSE 'clean' END AS cut_kind
  FROM transcript_lines, size_limits WHERE limit_name = 'msg_content' AND length(msg_content) > max_size""",
     }

@@ -11,7 +11,8 @@ def test_query(spark, data, name):
     assert len(df.columns) == len(set(df.columns))
     if sql := q.oracle_sql().get(name):
         con = duckdb.connect()
-        for t in ("transcript_lines", "size_limits"):
+        con.sql("set timezone='UTC'")
+        for t in ("transcript_lines", "size_limits", "sessions", "episodes", "projects"):
             con.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
         assert {tuple(r) for r in rows} == set(con.sql(sql).fetchall())
 
