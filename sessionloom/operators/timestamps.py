@@ -173,7 +173,7 @@ def parse_stamps(stamps: DataFrame, raw: str, zone: str, zones: list[str]) -> Da
 
 
 class StampDictionary:
-    """A table of parsed stamps in the shared folder (or at ``path``), extended run by run."""
+    """A table of parsed stamps in the shared folder (or at ``path``), extended run by run, by one writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or runtime.scratch_path(spark, "stamps")

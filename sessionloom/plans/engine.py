@@ -495,10 +495,10 @@ def failure_backoff(spark, d) -> DataFrame:
     return L.backoff(V.log(spark, d), 1706745600.0)
 
 
-@query("publish_commits_anti", f"WITH {V.LOG}, c AS (SELECT project_id, sha256(CAST(event_id AS VARCHAR)) AS sha, event_id FROM lg WHERE source_type = 'git.commit') SELECT project_id, event_id, left(sha, 12) AS ref FROM c WHERE event_id % 3 <> 0")
+@query("publish_commits_anti", f"WITH {V.LOG}, c AS (SELECT project_id, sha256(CAST(event_id AS VARCHAR)) AS sha, event_id, CAST(payload->>'$.k' AS BIGINT) AS k FROM lg WHERE source_type = 'git.commit') SELECT project_id, event_id, left(sha, 12) AS ref FROM c WHERE k >= 33")
 def publish_commits_anti(spark, d) -> DataFrame:
-    commits = V.log(spark, d).where("source_type = 'git.commit'").select("project_id", "event_id", F.sha2(F.col("event_id").cast("string"), 256).alias("sha"), "source_type")
-    log = commits.where("event_id % 3 = 0").withColumn("source_ref", F.left("sha", F.lit(12)))
+    commits = V.log(spark, d).where("source_type = 'git.commit'").select("project_id", "event_id", F.sha2(F.col("event_id").cast("string"), 256).alias("sha"), "source_type", F.get_json_object("payload", "$.k").cast("bigint").alias("k"))
+    log = commits.where("k < 33").withColumn("source_ref", F.left("sha", F.lit(12)))  # those with a low k stand for the published ones
     return L.unpublished(commits, log).select("project_id", "event_id", "ref")
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from sessionloom.plans import preparation, reference
+from sessionloom.plans import engine, preparation
 
 
 def queries() -> dict:
-    return reference.QUERIES | {
+    return engine.QUERIES | {
         "p1_found": preparation.p1_found,
         "p1_instants": preparation.p1_instants,
         "p3_found": preparation.p3_found,
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return reference.SQL | preparation.SQL
+    return engine.SQL | preparation.SQL
