@@ -26,3 +26,13 @@ def spark():
 @pytest.fixture(scope="session")
 def data():
     return os.environ.get("SESSIONLOOM_TESTDATA", "/root/testdata/sf0.001")
+
+
+@pytest.fixture(scope="session")
+def empty(spark, data, tmp_path_factory):
+    """The tables without rows, but for the short ones that hold parameters."""
+    folder = tmp_path_factory.mktemp("empty")
+    for f in Path(data).glob("*.parquet"):
+        df = spark.read.parquet(str(f))
+        (df if f.stem in ("size_limits", "mix_targets") else df.limit(0)).write.parquet(str(folder / f.name))
+    return str(folder)

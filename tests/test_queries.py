@@ -39,6 +39,11 @@ def test_query(spark, data, db, name):
         assert rows == sorted(repr([plain(r[i]) for i in at]) for r in want.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(n for n in registry.queries() if n.startswith("p") and n[1].isdigit()))
+def test_empty_tables(spark, empty, name):
+    assert registry.queries()[name](spark, empty).count() == 0
+
+
 def test_entry(spark):
     names = entry.queries()
     assert registry.queries().keys() <= names.keys() and entry.oracle_sql().keys() <= names.keys()
