@@ -23,3 +23,9 @@ def test_split_documents_are_those_above_the_capacity(spark, data):
 
     sizes = tokens.sized(table(spark, data, "documents"), "text", ["doc_id"])
     assert {r.doc_id for r in q.p8_found(spark, data).collect()} == {r.doc_id for r in sizes.where("n_tokens > 4096").collect()}
+
+
+@pytest.mark.parametrize("name", sorted(q.queries()))
+def test_empty_tables(spark, empty, name):
+    n = q.queries()[name](spark, empty).count()
+    assert n == {"p8_usage": 1, "p9_shares": 10}.get(name, 0)
