@@ -1,6 +1,6 @@
 """Texts cut off by a field limit or a broken transfer.
 
-One pass over all texts gathers a vocabulary of words, a vocabulary of short
+One pass over the distinct texts gathers a vocabulary of words, a vocabulary of short
 lines, and each text's end. Both vocabularies become tries, held as tables of
 prefixes. A text is cut where its final word is an unknown proper prefix of
 known words; where its final line is no complete line known from other texts
@@ -80,12 +80,12 @@ def ending(text: str) -> dict:
 
 _FIELDS = ["marked", "ellipsis", "open_block", "closed", "line", "bare_line", "n_words", "word", "dotted"]
 _ARROW = pa.schema(
-    [("what", pa.string()), ("key", pa.string()), ("n", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64())]
+    [("what", pa.string()), ("key", pa.string()), ("n", pa.int64()), ("text_key", pa.binary())]
     + [(f, pa.bool_()) for f in _FIELDS[:4]]
     + [("line", pa.string()), ("bare_line", pa.string()), ("n_words", pa.int64()), ("word", pa.string()), ("dotted", pa.string())]
 )
 _SCHEMA = (
-    "what string, key string, n bigint, doc_id bigint, source string, size bigint, marked boolean, ellipsis boolean, open_block boolean, closed boolean, "
+    "what string, key string, n bigint, text_key binary, marked boolean, ellipsis boolean, open_block boolean, closed boolean, "
     "line string, bare_line string, n_words bigint, word string, dotted string"
 )
 
@@ -116,18 +116,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _batch({"what": [a for a, _ in merged], "key": [b for _, b in merged], "n": list(merged.values())})
 
     for b in batches:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "source", "size", *_FIELDS)}
-        for doc, text, source in zip(*(b.column(k).to_pylist() for k in ("doc_id", "text", "source"))):
-            if text is None:
-                continue
-            for k, v in (("doc_id", doc), ("source", source), ("size", len(text)), *ending(text).items()):
+        out: dict[str, list] = {k: [] for k in ("text_key", *_FIELDS)}
+        for key, text in zip(*(b.column(k).to_pylist() for k in ("text_key", "text"))):
+            for k, v in (("text_key", key), *ending(text).items()):
                 out[k].append(v)
             inner = text.rstrip().split("\n")[:-1]
             words.update(set(text.split()[:-1]))
             lines.update({s if len(s) <= LINE_CHARS and s.count(" ") < LINE_WORDS else _head(s) for x in inner if (s := x.strip())})
             if len(words) + len(lines) > HELD:
                 yield counts()
-        yield _batch({"what": ["doc"] * len(out["doc_id"]), **out})
+        yield _batch({"what": ["doc"] * len(out["text_key"]), **out})
     if words or lines:
         yield counts()
 
@@ -154,12 +152,16 @@ def detect(docs: DataFrame) -> DataFrame:
     character), open-block (an unclosed code fence or JSON), word (the final
     word is an unknown proper prefix of known ones), ellipsis (after a line that
     isn't known to end so), line (no end of a sentence, and the line isn't known
-    as a complete one); else null. A null text isn't truncated and has no row;
-    an empty one has a row and isn't. Repeated rows repeat theirs. Other columns
-    aren't read.
+    as a complete one); else null. A text that lies there several times counts
+    once in all of this, so no copy vouches for another. A null text isn't
+    truncated and has no row; an empty one has a row and isn't. Repeated rows
+    repeat theirs. Other columns aren't read.
     """
     runtime.require_columns(docs, "doc_id", "text", "source")
-    scanned = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("source").cast("string")).mapInArrow(_scan, _SCHEMA)
+    docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("source").cast("string")).where("text is not null")
+    text_key = F.unhex(F.md5("text")).alias("text_key")
+    rows = runtime.materialise(docs.select("doc_id", "source", F.char_length("text").cast("bigint").alias("size"), text_key), "rows")
+    scanned = docs.select("text").distinct().select(text_key, "text").mapInArrow(_scan, _SCHEMA)
     scanned = runtime.materialise(scanned, "ends")
     ends = scanned.where("what = 'doc'").drop("what", "key", "n")
     words = runtime.materialise(scanned.where("what = 'word'").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_TEXTS), "words")
@@ -181,12 +183,13 @@ def detect(docs: DataFrame) -> DataFrame:
         .join(line_trie.withColumnRenamed("prefix", "key"), "key", "left")
         .select("key", F.coalesce("inner", F.lit(0)).alias("inner"), F.coalesce("final", F.lit(0)).alias("final"), F.coalesce("below", F.lit(0)).alias("below"))
     )
-    at = limits(ends).withColumn("at_limit", F.lit(True))
+    at = limits(rows).withColumn("at_limit", F.lit(True))
     facts = (
         ends.join(token_facts.withColumnsRenamed({"key": "word", "known": "word_known", "inside": "word_inside"}), "word", "left")
         .join(token_facts.select(F.col("key").alias("dotted"), F.col("inside").alias("dotted_inside")), "dotted", "left")
         .join(line_facts.withColumnRenamed("key", "line"), "line", "left")
         .join(line_facts.select(F.col("key").alias("bare_line"), F.col("below").alias("bare_below")), "bare_line", "left")
+        .join(rows, "text_key")
         .join(at, ["source", "size"], "left")
         .na.fill(False, ["word_known", "word_inside", "dotted_inside", "at_limit"])
     )
@@ -200,8 +203,8 @@ def detect(docs: DataFrame) -> DataFrame:
         .when(F.col("marked"), "marker")
         .when(F.col("open_block"), "open-block")
         .when(F.col("closed"), F.when(F.col("dotted_inside") & ~F.col("word_known"), "word"))
-        .when(complete, F.lit(None))
         .when(partial, "word")
+        .when(complete, F.lit(None))
         .when(F.col("ellipsis"), "ellipsis")
         .when((F.col("n_words") >= 3) | F.col("at_limit") | ~F.col("word_known") | (F.col("below") > 0), "line")
     )

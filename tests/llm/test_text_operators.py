@@ -164,6 +164,17 @@ def test_truncation(spark):
     assert by["s"].n_truncated == len(cut) and by[None].n_documents == 2
 
 
+def test_copies_of_a_cut_text_do_not_vouch_for_it(spark):
+    whole = "\n\n".join(SENTENCES)
+    docs = [(i, f"Note {i}\n\n{whole}", "s") for i in range(20)]
+    copies = [(100 + i, whole + "\n\nRerun the expor", "c") for i in range(8)] + [(200 + i, whole + "\n\nSee whether the exporter", "c") for i in range(8)]
+    own = [(300 + i, f"Item {i}\n\n{whole}\n\nAfter the rebu", "o") for i in range(4)]  # different texts, cut at the same place
+    rows = docs + [(400, "rebuilt exporter", "s"), (401, "rebuilt exporter", "s")] + copies + own
+    got = {r.doc_id: r.evidence for r in truncation.detect(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert {got[d] for d, _, _ in copies[:8]} == {"word"} and {got[d] for d, _, _ in copies[8:]} == {"line"}
+    assert {got[d] for d, _, _ in own} == {"word"} and {got[d] for d, _, _ in docs} == {None}
+
+
 def test_limits(spark):
     rows = [("s", n % 200 + 300) for n in range(400)] + [("s", 1000)] * 30 + [("t", 700)] * 3
     assert {tuple(r) for r in truncation.limits(spark.createDataFrame(rows, "source string, size bigint")).collect()} == {("s", 1000)}
