@@ -3,6 +3,7 @@
 import importlib.util
 import math
 import os
+import re
 from pathlib import Path
 
 import duckdb
@@ -44,6 +45,29 @@ def test_empty_tables(spark, empty, name):
     assert registry.queries()[name](spark, empty).count() == 0
 
 
+def test_episode_entities_equal_brute_force(spark, tmp_path):
+    from sessionloom.functions.text import STOPWORDS
+    from sessionloom.plans import views
+
+    kinds = (r"\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b", r"\b([A-Z][a-zà-ú]{2,}(?:\s+[A-Z][a-zà-ú0-9]{2,}){1,3})\b", r"\b([A-Z][A-Z0-9]{2,})\b")
+    texts = [("Der Lauf", "GapEngine on Main Street with HTTP"), ("Die Ursache", None), ("main street", "no names"), ("Alpha Beta", "Gamma Delta Epsilon, ALPHA BETA, OneTwo ThreeFour SQL API")]
+    cols = {"id": "string", "project_id": "string", "title": "string", "body": "string", "updated_at": "double"}
+    want = {}
+    for i, (title, body) in enumerate(texts):
+        first = {}
+        for k in kinds:
+            for s in re.findall(k, f"{title}\n{body or ''}"):
+                if len(s) >= 3 and not set(re.split(r"\s+", s.lower())) & set(STOPWORDS):
+                    first.setdefault(s.lower(), s)
+        if names := sorted(first.values(), key=lambda s: (-len(s), s))[:5]:
+            want[str(i)] = names
+    rows = spark.createDataFrame([(str(i), "p", t, b, 1.0) for i, (t, b) in enumerate(texts)], ", ".join(f"{k} {v}" for k, v in cols.items()))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(views, "episodes", lambda spark, d: rows)
+        got = {r.id: list(r.entities) for r in registry.queries()["episode_entities"](spark, "").collect()}
+    assert got == want and "Main Street" in got["0"] and got["1"] == ["Die Ursache"] and "2" not in got
+
+
 def test_entry(spark):
     names = entry.queries()
     assert registry.queries().keys() <= names.keys() and entry.oracle_sql().keys() <= names.keys()
