@@ -225,14 +225,23 @@ def replace(text: str, parts, key: bytes) -> tuple[str, list[tuple[str, int, int
 _RESULT = "struct<redacted string, findings array<struct<pii_type string, start int, stop int, placeholder string>>>"
 
 
+def _folded():
+    """An expression's function that folds an array of words."""
+
+    @F.pandas_udf("array<string>")
+    def folded(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: None if w is None else [fold(x) for x in w])
+
+    return folded
+
+
 def name_parts(texts: DataFrame, text: str, min_records: int = MIN_RECORDS) -> DataFrame:
     """The folded name parts (column ``part``) that the anchors of all texts vouch for."""
     runtime.require_columns(texts, text)
     t = F.col(f"`{text}`")
     groups = [F.regexp_extract_all(t, F.lit(p), F.lit(g)) for p in ANCHORS for g in (1, 2)]
-    seen = texts.where(t.rlike(r"@|(?i)[\[(]at[\])]|\n?-- ?\n") | t.rlike(rf"\b(?:{TITLES})\b")).select(
-        F.explode(F.array_distinct(F.transform(F.flatten(F.array(*groups)), F.lower))).alias("part")
-    )
+    seen = texts.where(t.rlike(r"@|(?i)[\[(]at[\])]|\n?-- ?\n") | t.rlike(rf"\b(?:{TITLES})\b")).select(F.flatten(F.array(*groups)).alias("found")).where(F.size("found") > 0)
+    seen = seen.select(F.explode(F.array_distinct(_folded()("found"))).alias("part"))
     return seen.groupBy("part").count().where(F.col("count") >= min_records).select("part")
 
 
@@ -241,7 +250,8 @@ def pseudonymise(rows: DataFrame, text: str, key: bytes, parts: DataFrame, recor
 
     ``parts`` is the result of ``name_parts``. Up to ``lexicon_rows`` of them
     are broadcast; beyond that each record's words are joined with them by
-    ``record``, the name of a unique column. A null text has null in both
+    ``record``, the name of a column that is unique by row or by text. Both
+    ways fold words and parts alike. A null text has null in both
     fields, an empty one stays empty without findings. All rows and columns
     come back, repeated rows each; a column named ``pii`` is replaced.
     """
@@ -263,11 +273,15 @@ def pseudonymise(rows: DataFrame, text: str, key: bytes, parts: DataFrame, recor
 
     @F.pandas_udf(_RESULT)
     def scan_own(texts: pd.Series, known: pd.Series) -> pd.DataFrame:
-        return _frame([replace(t, frozenset(fold(x) for x in k) if k is not None else (), key) if isinstance(t, str) else None for t, k in zip(texts, known)])
+        return _frame([replace(t, frozenset(k) if k is not None else (), key) if isinstance(t, str) else None for t, k in zip(texts, known)])
+
+    @F.pandas_udf("array<string>")
+    def capitalised(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted({fold(w) for w in _CAPS.findall(t)}) if isinstance(t, str) else None)
 
     t = F.col(f"`{text}`").cast("string")
-    words = rows.select(F.col(f"`{record}`").alias("__rec"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(r"(\p{Lu}[\p{L}'’]+)"), F.lit(1)), F.lower))).alias("part"))
-    own = words.join(parts, "part", "left_semi").groupBy("__rec").agg(F.collect_set("part").alias("__parts"))
+    words = rows.select(F.col(f"`{record}`").alias("__rec"), F.explode(capitalised(t)).alias("part"))
+    own = words.join(parts.select(F.explode(_folded()(F.array("part"))).alias("part")), "part", "left_semi").groupBy("__rec").agg(F.collect_set("part").alias("__parts"))
     found = rows.join(own, F.col(f"`{record}`") == F.col("__rec"), "left")
     return found.withColumn("pii", scan_own.asNondeterministic()(t, "__parts")).drop("__rec", "__parts")
 

@@ -17,20 +17,20 @@ DEMO_KEY = b"sessionloom-demo-key"
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "transcript_lines").select(F.lit("transcript_lines").alias("tbl"), "id", F.col("msg_content").alias("text"))
     notes = table(spark, sf_dir, "episodes").select(F.lit("episodes").alias("tbl"), "id", F.col("body").alias("text"))
-    return lines.unionByName(notes)
+    return lines.unionByName(notes).withColumn("text_key", F.md5("text"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The types of personal information that each record's text holds."""
     texts = _texts(spark, sf_dir)
-    found = pii.pseudonymise(texts, "text", DEMO_KEY, pii.name_parts(texts, "text"))
+    found = pii.pseudonymise(texts, "text", DEMO_KEY, pii.name_parts(texts, "text"), record="text_key")
     return found.select("tbl", "id", F.explode(pii.types_found()).alias("pii_type")).distinct()
 
 
 def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with typed placeholders in place of the personal information."""
     texts = _texts(spark, sf_dir)
-    found = pii.pseudonymise(texts, "text", DEMO_KEY, pii.name_parts(texts, "text"))
+    found = pii.pseudonymise(texts, "text", DEMO_KEY, pii.name_parts(texts, "text"), record="text_key")
     return found.select("tbl", "id", "pii.redacted", F.size("pii.findings").alias("n_findings"))
 
 

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sessionloom.llm import pii
+from sessionloom.llm import pii, queries
 from sessionloom.llm.pseudonyms import permute, pseudonym
 
 KEY = b"k"
@@ -88,6 +88,27 @@ def test_learned_names_and_both_ways(spark, texts):
         pii.pseudonymise(rows, "t", KEY, parts, lexicon_rows=1)
 
 
+def test_accents_make_no_difference_either_way(texts):
+    rows = texts("jose.pena@x.test", "jose.pena@y.test", "asked José Peña and JOSÉ PEÑA", "José Peña's note", "-- \nZoë Brontë\n", "Frau Zoe Bronte", "by Zoë Bronte", None)
+    rows = rows.withColumn("k", F.md5("t"))
+    rows = rows.unionAll(rows)
+    parts = pii.name_parts(rows.where("i > 1 or i = 0"), "t", 4)
+    assert {r.part for r in parts.collect()} == {"zoe", "bronte"}  # one spelling each in two rows
+    parts = pii.name_parts(rows, "t")
+    one = pii.pseudonymise(rows, "t", KEY, parts).collect()
+    two = pii.pseudonymise(rows, "t", KEY, parts, record="k", lexicon_rows=1).collect()
+    plain = lambda got: sorted((r.i, r.pii.redacted, repr(r.pii.findings)) for r in got if r.t)
+    assert len(one) == len(two) == 16 and plain(one) == plain(two)
+    assert {r.i: len(r.pii.findings) for r in two if r.t} == {0: 1, 1: 1, 2: 2, 3: 1, 4: 1, 5: 1, 6: 1}
+
+
+def test_queries_take_more_parts_than_are_broadcast(spark, data, monkeypatch):
+    rows = lambda: sorted(map(repr, queries.p2_redacted(spark, data).collect()))
+    want = rows()
+    monkeypatch.setattr(pii.pseudonymise, "__defaults__", (None, 1))
+    assert rows() == want
+
+
 def test_nothing_else_changes(texts):
     text = "A: +1 (202) 555-0147; B\n\tx@y.test é…"
     got = pii.pseudonymise(texts(text, text), "t", KEY, texts().select(F.col("t").alias("part"))).collect()
