@@ -88,7 +88,8 @@ _ADDRESS = re.compile(
     rf"|(?:P\.? ?O\.? ?Box|Post Office Box|Postfach|Casella [Pp]ostale|C\.P\.|Apartado(?: de [Cc]orreos)?|Apdo\.?) \d{{1,6}}(?:{_SEP}\d{{5}}\s+{_PLACE}|,\s+{_PLACE},?\s+(?:[A-Z]{{2}} \d{{5}}|[A-Z]{{1,2}}\d[A-Z\d]? ?\d[A-Z]{{2}})\b|,\s+{_PLACE})?"
     r")"
 )
-_ADDRESS_HINT = re.compile(rf"\d (?:{_CAP} ){{1,4}}(?:{US_STREET})\b|\b(?:{IT_STREET}|{ES_STREET}) |(?:{DE_ENDING}) \d|\b(?:Am|An|Auf|Im|In|Zum|Zur|Unter|Alte|Neue|Große|Kleine|Hinter) (?:de[rnm] )?{_CAP}(?: {_CAP})* \d|[Bb]ox \d|Postfach|postale|C\.P\.|Apartado|Apdo")
+#: Every text with an address has this; a text without it is spared the pattern.
+_ADDRESS_HINT = re.compile(rf"\d[A-Za-z]?,? (?:{_CAP} ){{1,4}}(?:{US_STREET})\b|\b(?:{IT_STREET}|{ES_STREET}) |(?:{DE_ENDING}) \d|\b(?:Am|An|Auf|Im|In|Zum|Zur|Unter|Alte|Neue|Große|Kleine|Hinter) (?:de[rnm] )?{_CAP}(?: {_CAP})* \d|[Bb]ox \d|Postfach|[Pp]ostale|C\.P\.|Apartado|Apdo")
 _WORD = r"[A-ZÀ-ÖØ-Þ](?:['’][A-ZÀ-Þ])?[a-zà-öø-ÿ]+(?:[A-Z][a-z]+)?|[A-ZÀ-Þ]{2,}"
 _CAPS = re.compile(rf"\b(?:{_WORD})\b")
 _NAME = re.compile(

@@ -38,6 +38,12 @@ def test_found(text, want):
     assert [(k, text[a:b]) for a, b, k, _ in pii.spans(text, PARTS)] == want
 
 
+@pytest.mark.parametrize("text", ["221B Baker Street, London NW1 6XE", "12, Baker Street, London NW1 6XE", "12a, Old Mill Lane, Flat 3", "Casella Postale 12", "Casella postale 12", *(x for t, w in FOUND for k, x in w if k == "street_address")])
+def test_addresses_pass_the_hint(text):
+    assert pii._ADDRESS_HINT.search(text)
+    assert [k for _, _, k, _ in pii.spans(f"to {text} ok", ())] == ["street_address"]
+
+
 @pytest.mark.parametrize("text", CLEAN, ids=range(len(CLEAN)))
 def test_clean(text):
     assert pii.spans(text, PARTS) == []
