@@ -3,35 +3,50 @@
 Each file's header (its fields and their types) is made by one aggregation over
 all files at once. A field's types are folded through a promotion lattice, the
 headers of a writer's consecutive files are compared, and renames are found by
-an equi-join on values that the vanished and the new field share.
+an equi-join on values that the vanished and the new field share. The renames
+give each field a lineage, and the unified table has a column per lineage.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom import runtime
-from sessionloom.operators import hierarchy, ordering
+from sessionloom.operators import ordering
 
 WRITER = ["stream_id", "event_type"]
 _KEYS = [*WRITER, "file_no"]
 
 
-def json_type(value: Column) -> Column:
-    """number, string, boolean, object, array or null of a variant."""
-    name = F.schema_of_variant(value)
+def json_type(form: Column) -> Column:
+    """number, string, boolean, object, array or null, by a variant's schema."""
     return (
-        F.when(name.isNull() | (name == "VOID"), "null").when(name == "STRING", "string").when(name == "BOOLEAN", "boolean")
-        .when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array").otherwise("number")
+        F.when(form.isNull() | (form == "VOID"), "null").when(form == "STRING", "string").when(form == "BOOLEAN", "boolean")
+        .when(form.startswith("OBJECT"), "object").when(form.startswith("ARRAY"), "array").otherwise("number")
     )
 
 
-def fields(records: DataFrame) -> DataFrame:
-    """One row per top-level field of each readable record: keys, ``field``, ``kind`` and ``value`` (a variant)."""
+def _read(records: DataFrame) -> DataFrame:
+    return records.withColumn("__v", F.try_variant_get(F.try_parse_json(F.col("payload")), "$", "map<string,variant>"))
+
+
+def fields(records: DataFrame, wanted: str | None = None) -> DataFrame:
+    """One row per top-level field of each readable record: keys, ``field``, ``kind``, ``form`` (of a number) and ``value`` (a variant).
+
+    ``wanted`` names a column with the list of fields to give; the others don't leave the parser.
+    """
     runtime.require_columns(records, *_KEYS, "payload")
-    read = records.withColumn("__v", F.try_variant_get(F.try_parse_json(F.col("payload")), "$", "map<string,variant>")).where("__v is not null")
-    return read.select(*[c for c in records.columns if c not in ("field", "kind", "value", "payload")], F.explode("__v").alias("field", "value")).withColumn("kind", json_type(F.col("value")))
+    read, own = _read(records).where("__v is not null"), ("field", "kind", "form", "value", "payload", wanted)
+    found = F.col("__v") if wanted is None else F.map_filter("__v", lambda k, _: F.array_contains(F.col(wanted), k))
+    spread = read.select(*[c for c in records.columns if c not in own], F.explode(found).alias("field", "value")).withColumn("form", F.schema_of_variant("value"))
+    # Whole numbers within 53 bits are those that a double holds exactly.
+    small = F.try_variant_get("value", "$", "bigint").between(-(1 << 53), 1 << 53)
+    form = F.when(F.col("form") == "BIGINT", F.when(small, "INT53").otherwise("BIGINT")).when(F.col("kind") == "number", F.col("form"))
+    return spread.withColumn("kind", json_type(F.col("form"))).withColumn("form", form)
 
 
 def promote(kinds: Column) -> Column:
@@ -41,12 +56,16 @@ def promote(kinds: Column) -> Column:
 
 
 def headers(members: DataFrame) -> DataFrame:
-    """Each file's fields and their promoted type (null where all values are)."""
-    whole = members.where(" and ".join(f"{k} is not null" for k in _KEYS))
-    return whole.groupBy(*_KEYS, "field").agg(promote(F.collect_set("kind")).alias("kind"))
+    """Each file's fields with their types, the forms of their numbers, and the promoted type (null where all values are)."""
+    found = members.groupBy(*_KEYS, "field").agg(F.collect_set("kind").alias("kinds"), F.collect_set("form").alias("forms"))
+    return found.withColumn("kind", promote(F.col("kinds")))
+
 
+def _belongs(df: DataFrame) -> DataFrame:
+    return df.where(" and ".join(f"{k} is not null" for k in _KEYS))
 
-def changes(records: DataFrame) -> DataFrame:
+
+def changes(records: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(stream_id, file_no, event_type, change_kind, old_field, new_field) between each file and its predecessor.
 
     The predecessor is the stream's last earlier file with readable records of
@@ -55,9 +74,10 @@ def changes(records: DataFrame) -> DataFrame:
     more common values go first, then by name, each field once. removed, added:
     what is left. retyped: both types are known and differ. Rows without
     stream, file or event type belong to no file. Repeated rows change nothing.
+    ``known`` are the records' ``headers`` where they are there already.
     """
-    members = fields(records.select(*_KEYS, "payload"))
-    known = runtime.materialise(headers(members), "headers")
+    known = runtime.materialise(headers(fields(records.select(*_KEYS, "payload"))), "headers") if known is None else known
+    known = _belongs(known).select(*_KEYS, "field", "kind")
     files = known.select(*_KEYS).distinct().withColumn("writer", F.struct(*WRITER))
     files = ordering.with_previous(files, "writer", ["file_no"], "file_no", "before", F.floor(F.col("file_no") / ordering.BLOCK_ROWS))
     steps = runtime.materialise(files.where("before is not null").select(*_KEYS, "before"), "steps")
@@ -68,10 +88,15 @@ def changes(records: DataFrame) -> DataFrame:
     gone = differ.where("is_new is null").select(*_KEYS, "field", F.col("old_kind").alias("kind"))
     come = differ.where("is_old is null").select(*_KEYS, "field", F.col("new_kind").alias("kind"))
 
-    # Only the values of fields that went or came are compared.
-    valued = members.where("kind <> 'null'").select(*_KEYS, "field", F.sha2(F.concat("kind", F.lit(":"), F.to_json("value")), 256).alias("mark"))
-    old = gone.join(steps, _KEYS).join(valued.withColumnRenamed("file_no", "before"), [*WRITER, "before", "field"]).select(*_KEYS, F.col("field").alias("old_field"), "kind", "mark").distinct()
-    new = come.join(valued, [*_KEYS, "field"]).select(*_KEYS, F.col("field").alias("new_field"), "kind", "mark").distinct()
+    # Only values that may show a rename are read: of fields that went where one of their type came, and the other way round.
+    kinds = gone.where("kind is not null").select(*_KEYS, "kind").intersect(come.select(*_KEYS, "kind"))
+    may_go = gone.join(kinds, [*_KEYS, "kind"], "left_semi").join(steps, _KEYS).select(*WRITER, F.col("before").alias("file_no"), "field")
+    may_come = come.join(kinds, [*_KEYS, "kind"], "left_semi").select(*_KEYS, "field")
+    looked_at = may_go.unionByName(may_come).groupBy(*_KEYS).agg(F.collect_set("field").alias("__wanted"))
+    valued = fields(records.select(*_KEYS, "payload").join(looked_at, _KEYS), "__wanted").where("kind <> 'null'")
+    valued = runtime.materialise(valued.select(*_KEYS, "field", F.sha2(F.concat("kind", F.lit(":"), F.to_json("value")), 256).alias("mark")).distinct(), "values")
+    old = gone.join(steps, _KEYS).join(valued.withColumnRenamed("file_no", "before"), [*WRITER, "before", "field"]).select(*_KEYS, F.col("field").alias("old_field"), "kind", "mark")
+    new = come.join(valued, [*_KEYS, "field"]).select(*_KEYS, F.col("field").alias("new_field"), "kind", "mark")
     pairs = old.join(new, [*_KEYS, "kind", "mark"]).groupBy(*_KEYS, "old_field", "new_field").agg((-F.count("*")).alias("rank"))
     # Each list holds at most the fields that went times those that came between two files.
     ranked = pairs.groupBy(*_KEYS).agg(F.array_sort(F.collect_list(F.struct("rank", "old_field", "new_field"))).alias("p"))
@@ -93,53 +118,126 @@ def changes(records: DataFrame) -> DataFrame:
     )
 
 
-def first_names(renames: DataFrame) -> DataFrame:
-    """(stream_id, event_type, file_no, new_field, first_field): each rename's name at the start of its chain."""
-    step = F.concat_ws("\x1f", F.lpad(F.col("file_no").cast("string"), 20, "0"), "new_field")
-    edges = renames.where("change_kind = 'renamed'").withColumns({"grp": F.concat_ws("\x1f", *WRITER), "node": step})
-    # The rename that led to this one's old name is the writer's last earlier one.
-    earlier = edges.select("grp", F.col("new_field").alias("old_field"), F.col("file_no").alias("then"), F.col("node").alias("above"))
-    linked = edges.join(earlier, ["grp", "old_field"], "left").where("then is null or then < file_no")
-    lone = edges.join(linked, ["grp", "node"], "left_anti").withColumn("above", F.lit(None).cast("string"))
-    best = linked.groupBy("grp", "node", *_KEYS, "old_field", "new_field").agg(F.max("above").alias("above")).unionByName(lone.select("grp", "node", *_KEYS, "old_field", "new_field", "above"))
-    best = runtime.materialise(best, "renames")
-    roots = hierarchy.nested_sets(best, "grp", "node", "above", "file_no").select("grp", "node", "root")
-    heads = best.select("grp", F.col("node").alias("root"), F.col("old_field").alias("first_field"))
-    return best.join(roots, ["grp", "node"]).join(heads, ["grp", "root"]).select(*_KEYS, "new_field", "first_field")
+_LINEAGES = "stream_id string, event_type string, file_no bigint, field string, lineage string"
+
+
+def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walk each writer's renames in order. What is held is the writer's field names, however many renames there are."""
+    writer = file = None
+    held, own, moves = {}, {}, []
 
+    def name(f: str) -> str:
+        return held.get(f) or (f if not own.get(f) else f"{f}#{own[f] + 1}")
 
-# The column type of each promoted type. Whatever isn't of one scalar type stays JSON.
-COLUMN_TYPES = {"number": "double", "string": "string", "boolean": "boolean"}
+    def settle() -> list[tuple]:
+        given = {new: name(old) for old, new in moves}
+        for old, _ in moves:
+            if held.pop(old, None) is None:
+                own[old] = own.get(old, 0) + 1  # a field that takes the name again later is another one
+        held.update(given)
+        out = [(*writer, file, f, name(f)) for f in sorted({f for m in moves for f in m})]
+        moves.clear()
+        return out
 
+    for b in batches:
+        out = []
+        for stream, kind, no, old, new in b[["stream_id", "event_type", "file_no", "old_field", "new_field"]].itertuples(index=False):
+            if (stream, kind) != writer or no != file:
+                out += settle() if moves else []
+                if (stream, kind) != writer:
+                    held, own = {}, {}
+                writer, file = (stream, kind), no
+            moves.append((old, new))
+        yield pd.DataFrame(out, columns=["stream_id", "event_type", "file_no", "field", "lineage"])
+    if moves:
+        yield pd.DataFrame(settle(), columns=["stream_id", "event_type", "file_no", "field", "lineage"])
 
-def unify(records: DataFrame, renames: DataFrame, keys: list[str]) -> DataFrame:
-    """All readable records in one table: ``keys`` and a column for each field under its first name.
 
-    ``renames`` is the result of ``changes``. A field has its promoted type over
-    all files: double, string, boolean, or JSON text where types are mixed or
-    nested. The list of fields goes to the driver; its length is that of the
-    schema. Columns of fields are called ``f_`` and the name, so they can't
-    clash with ``keys``; of names that differ in case alone the later ones get a
-    number. Unreadable records keep their row, without fields;
-    rows that are repeated come once.
+def lineages(renames: DataFrame) -> DataFrame:
+    """(stream_id, event_type, file_no, field, lineage): from that file on the field's name stands for that lineage.
+
+    A lineage is called by its first name. Where a field was renamed away and
+    its name comes up again without a rename, that is a new lineage, called
+    ``name#2`` and so on.
+    """
+    kept = renames.where("change_kind = 'renamed'").select(*_KEYS, "old_field", "new_field")
+    return kept.repartition(*WRITER).sortWithinPartitions(*_KEYS, "old_field").mapInPandas(_follow, _LINEAGES)
+
+
+def names_by_file(known: DataFrame, chains: DataFrame) -> DataFrame:
+    """(stream_id, event_type, file_no, lineage_of) of files with fields that stand for another lineage: a map by field name."""
+    at = lambda df, rank, lineage: df.select(F.struct(*WRITER, "field").alias("k"), "file_no", F.lit(rank).alias("rank"), lineage.alias("lineage"))
+    moved = _belongs(known).join(chains.select(*WRITER, "field").distinct(), [*WRITER, "field"], "left_semi")
+    both = runtime.materialise(at(chains, 0, F.col("lineage")).unionByName(at(moved, 1, F.lit(None).cast("string"))), "lineages")
+    block = F.floor(F.col("file_no") / ordering.BLOCK_ROWS)
+    dated = ordering.with_previous(both, "k", ["file_no", "rank"], "lineage", "since", block).where("rank = 1 and since is not null and since <> k.field")
+    # A file has as many entries as it has renamed fields.
+    return dated.groupBy("k.stream_id", "k.event_type", "file_no").agg(F.map_from_entries(F.collect_list(F.struct("k.field", "since"))).alias("lineage_of"))
+
+
+def column_type(kinds: set[str], forms: set[str]) -> str:
+    """The lattice: whole numbers, then decimals that hold all digits, then doubles; text where none holds all values."""
+    known = kinds - {"null"}
+    if known == {"boolean"}:
+        return "boolean"
+    if known != {"number"}:
+        return "string"
+    whole, scaled = forms & {"INT53", "BIGINT"}, [tuple(map(int, f[8:-1].split(","))) for f in forms if f.startswith("DECIMAL")]
+    if forms - whole == set():
+        return "bigint"
+    if any(not f.startswith("DECIMAL") for f in forms - whole):  # numbers with an exponent
+        return "double" if "BIGINT" not in forms and all(p <= 15 for p, _ in scaled) else "string"
+    digits, scale = max([p - s for p, s in scaled] + [19] * bool(whole)), max(s for _, s in scaled)
+    return f"decimal({digits + scale},{scale})" if digits + scale <= 38 else "string"
+
+
+#: Lineages with a column of their own; the JSON column f_rest holds all others.
+MAX_COLUMNS = 2000
+
+
+def unify(records: DataFrame, renames: DataFrame, keys: list[str], known: DataFrame | None = None, max_columns: int = MAX_COLUMNS) -> DataFrame:
+    """All readable records in one table: ``keys`` and a column for each field's lineage.
+
+    ``renames`` is the result of ``changes``, ``known`` that of ``headers``. A
+    column has the type that holds all values of all files without loss:
+    bigint, decimal, double, boolean, or text, where a string stands as it is
+    and anything else as JSON. (A number of more than 38 digits is a double
+    from its parsing on.) The list of lineages goes to the driver; those beyond
+    ``max_columns``, the rarest, share one JSON column ``f_rest``. Columns are
+    called ``f_`` and the first name, so they can't clash with ``keys``; of
+    names that differ in case alone the later ones get a number. Unreadable
+    records keep their row, without fields; rows that are repeated come once.
+
+    Every payload is parsed once, and its columns are taken from the parsed
+    map in one projection after a join with the files' renamed fields.
     """
-    members = fields(records.select(*keys, *[k for k in (*_KEYS, "payload") if k not in keys]))
-    chains = first_names(renames).withColumnsRenamed({"new_field": "field", "file_no": "since"})
-    dated = members.join(chains, [*WRITER, "field"], "left").where("since is null or since <= file_no")
-    own = members.join(chains.select(*WRITER, "field").distinct(), [*WRITER, "field"], "left_semi").join(chains.groupBy(*WRITER, "field").agg(F.min("since").alias("since")), [*WRITER, "field"]).where("file_no < since")
-    placed = dated.select(*keys, "field", "value", "kind", "since", "first_field").unionByName(own.select(*keys, "field", "value", "kind", F.lit(None).cast("bigint").alias("since"), F.lit(None).cast("string").alias("first_field")))
-    placed = placed.withColumn("name", F.coalesce("first_field", "field"))
-    union = placed.groupBy("name").agg(promote(F.collect_set("kind")).alias("kind")).orderBy("name").collect()
-    names, taken = [], {k.lower() for k in keys}
-    for r in union:  # Spark's columns differ in more than case
+    runtime.require_columns(records, *keys, *_KEYS, "payload")
+    known = runtime.materialise(headers(fields(records.select(*_KEYS, "payload"))), "headers") if known is None else known
+    named = runtime.materialise(names_by_file(known, runtime.materialise(lineages(renames), "chains")), "names")
+    by_name = known.join(named, _KEYS, "left").withColumn("name", F.coalesce(F.try_element_at("lineage_of", F.col("field")), "field"))
+    forms = by_name.groupBy("name").agg(F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("kinds"), F.array_distinct(F.flatten(F.collect_set("forms"))).alias("forms"), F.count("*").alias("n"))
+    union = forms.orderBy(F.col("n").desc(), "name").limit(max_columns + 1).collect()
+    own, taken, columns = sorted(union[:max_columns], key=lambda r: r["name"]), {k.lower() for k in keys} | {"f_rest"}, []
+    for r in own:  # Spark's columns differ in more than case
         column, n = f"f_{r['name']}", 2
         while column.lower() in taken:
             column, n = f"f_{r['name']}_{n}", n + 1
         taken.add(column.lower())
-        names.append(column)
-    texts = placed.withColumn("text", F.when(F.col("kind") == "string", F.try_variant_get("value", "$", "string")).when(F.col("kind") != "null", F.to_json("value")))
-    own = lambda name, c: F.when(F.col("name") == name, c)
-    cell = lambda name: F.max_by(own(name, F.col("text")), own(name, F.struct(F.coalesce("since", F.lit(-1)), F.col("text"))))
-    wide = texts.groupBy(*keys).agg(*(cell(r["name"]).alias(f"__{i}") for i, r in enumerate(union))) if union else texts.select(*keys).distinct()
-    typed = wide.select(*keys, *(F.col(f"__{i}").try_cast(COLUMN_TYPES.get(r["kind"], "string")) for i, r in enumerate(union))).toDF(*keys, *names)
-    return records.select(*keys).distinct().join(typed, keys, "left")
+        columns.append(column)
+    hold = [k for k in _KEYS if k not in keys]
+    rows = records.select(*keys, *hold, "payload").dropDuplicates(keys).join(named, _KEYS, "left")
+    of = F.col("lineage_of")
+    read = _read(rows).withColumn("__m", F.when(of.isNull(), F.col("__v")).otherwise(F.transform_keys("__v", lambda k, _: F.coalesce(F.try_element_at(of, k), k))))
+
+    def cell(name: str, kind: str) -> Column:
+        value = F.try_element_at("__m", F.lit(name))
+        if kind != "string":
+            return F.try_variant_get(value, "$", kind)
+        form = F.schema_of_variant(value)
+        return F.when(form == "STRING", F.try_variant_get(value, "$", "string")).when(form != "VOID", F.to_json(value))
+
+    cells = [cell(r["name"], column_type(set(r["kinds"]), set(r["forms"]))).alias(c) for r, c in zip(own, columns)]
+    if len(union) > max_columns:
+        names = [r["name"] for r in own]
+        cells.append(F.to_json(F.map_filter("__m", lambda k, _: ~k.isin(names))).alias("f_rest"))
+    return read.select(*keys, *cells)

@@ -64,8 +64,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All payloads in one table whose schema is the union of all files' schemas."""
     records = table(spark, sf_dir, "rollout_records")
-    log = materialise(drift.changes(records), "changes")
-    return drift.unify(records, log, ["rec_id", "stream_id", "event_type", "file_no", "line_no"])
+    known = materialise(drift.headers(drift.fields(records.select("stream_id", "event_type", "file_no", "payload"))), "headers")
+    log = materialise(drift.changes(records, known), "changes")
+    return drift.unify(records, log, ["rec_id", "stream_id", "event_type", "file_no", "line_no"], known)
 
 
 def _message_nodes(spark: SparkSession, sf_dir: str, only: str | None = None) -> DataFrame:
