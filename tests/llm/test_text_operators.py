@@ -176,8 +176,36 @@ def test_copies_of_a_cut_text_do_not_vouch_for_it(spark):
 
 
 def test_limits(spark):
-    rows = [("s", n % 200 + 300) for n in range(400)] + [("s", 1000)] * 30 + [("t", 700)] * 3
-    assert {tuple(r) for r in truncation.limits(spark.createDataFrame(rows, "source string, size bigint")).collect()} == {("s", 1000)}
+    sizes = [("s", n % 200 + 300) for n in range(400)] + [("s", 1000)] * 30 + [("t", 700)] * 3
+    rows = [(s, str(i), n, n + i % 50) for i, (s, n) in enumerate(sizes)] + [("t", "copy", 900, 900)] * 50
+    got = truncation.limits(spark.createDataFrame(rows, "source string, text_key string, n_chars bigint, n_bytes bigint")).collect()
+    assert {tuple(r) for r in got} == {("s", "chars", 1000)}
+
+
+def test_a_limit_decides_where_the_last_word_and_line_are_known(spark):
+    random.seed(9)
+    free = [(i, f"Note {i} " + "and more " * random.randrange(1, 60) + "text.\nrerun the sweep\nends.", "s") for i in range(150)]
+    cut = [(1000 + i, (f"{i:04d}" + " and more" * 200)[:984] + "\nrerun the sweep", "s") for i in range(40)]
+    other = [(2000, "short\nrerun the sweep", "s"), (2001, "A closed text of that length." + "x" * 970 + ".", "s")]
+    got = {r.doc_id: r.evidence for r in truncation.detect(spark.createDataFrame(free + cut + other, "doc_id bigint, text string, source string")).collect()}
+    assert {got[d] for d, _, _ in cut} == {"limit"} and {got[d] for d, _, _ in free} == {None} and got[2000] is None and got[2001] is None
+
+
+def test_words_and_lines_of_any_length(spark):
+    word, line = "ab" * 3000, "some words that go on and on " * 300
+    rows = [(0, f"{word} is one. Yes.", "s"), (1, f"again {word} here. Yes.", "s"), (2, f"x {word[:4001]}", "s"), (3, f"{line}end\nmore.", "s"), (4, f"{line}end\nand more.", "s"), (5, f"one\n{line}end", "s"), (6, f"two\n{line}en", "s")]
+    got = {r.doc_id: r.evidence for r in truncation.detect(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert got == {0: None, 1: None, 2: "word", 3: None, 4: None, 5: None, 6: "word"}
+
+
+def test_below_equals_brute_force(spark):
+    random.seed(3)
+    keys = {"".join(random.choices("ab\u00e9\U0001f600", k=random.randrange(1, 7))) for _ in range(300)}
+    known = [(k, random.randrange(3), random.randrange(3)) for k in sorted(keys)]
+    nodes = sorted(set(random.sample(sorted(keys), 60)) | {"a", "b" * 9, "\U0001f600"})
+    got = {tuple(r) for r in truncation.below(spark.createDataFrame(known, "key string, inner bigint, final bigint"), spark.createDataFrame([(n,) for n in nodes] * 2, "key string")).collect()}
+    own = {k: (i, f) for k, i, f in known}
+    assert got == {(n, *own.get(n, (0, 0)), sum(i + f for k, i, f in known if k.startswith(n) and k != n)) for n in nodes}
 
 
 def test_truncation_of_nothing(spark):
