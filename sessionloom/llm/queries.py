@@ -43,11 +43,13 @@ def _limit(spark: SparkSession, sf_dir: str, name: str) -> tuple[int, int]:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Oversized contents, and whether they hold a run without whitespace that no natural boundary can cut."""
+    """Contents that had to be cut, and whether they hold a run without whitespace that no natural boundary can cut."""
     size, overlap = _limit(spark, sf_dir, "msg_content")
     lines = table(spark, sf_dir, "transcript_lines").select("id", "msg_content")
-    large = splitting.oversized(lines, "msg_content", size, overlap)
-    return large.select("id", F.when(F.col("split.longest_run") > size, "forced").otherwise("clean").alias("cut_kind")).distinct()
+    cut = splitting.oversized(lines, "msg_content", size, overlap).where(F.size("split.pieces") > 1)
+    # A run above the limit makes some cut fall inside it; the run itself tells it from one of between core and limit.
+    forced = F.exists("split.pieces", lambda p: p["boundary"] == "forced") & (F.col("split.longest_run") > size)
+    return cut.select("id", F.when(forced, "forced").otherwise("clean").alias("cut_kind")).distinct()
 
 
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,25 +59,25 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(lines, "msg_content", size, overlap).select("line_id", "id", F.explode("split.pieces").alias("p")).select("line_id", "id", "p.*")
 
 
-def _ordered_turns(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+def _log_and_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    log = conversations.fold(table(spark, sf_dir, "transcript_lines"))
     zones = table(spark, sf_dir, "sessions").groupBy("session_id").agg(F.first("tz_name", ignorenulls=True).alias("tz_name"))
-    turns = conversations.messages(lines).join(zones, "session_id", "left")
-    dictionary = timestamps.StampDictionary(spark)
-    timed = timestamps.normalise(turns, "event_timestamp", "tz_name", "lines", dictionary)
-    return conversations.in_order(timed.select("session_id", "id", "line_id", "seq", "speaker", "instant"))
+    turns = conversations.messages(log).join(zones, "session_id", "left")
+    timed = timestamps.normalise(turns, "event_timestamp", "tz_name", "lines", preparation.dictionary(spark))
+    return log, conversations.in_order(timed.select("session_id", "id", "parent_id", "line_id", "seq", "speaker", "instant"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions that are no whole conversation, and why."""
-    lines = table(spark, sf_dir, "transcript_lines")
-    return conversations.faults(table(spark, sf_dir, "sessions"), lines, _ordered_turns(spark, sf_dir, lines))
+    log, ordered = _log_and_turns(spark, sf_dir)
+    return conversations.faults(table(spark, sf_dir, "sessions"), log, ordered)
 
 
 def p6_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of all whole conversations, in order."""
-    lines = table(spark, sf_dir, "transcript_lines")
-    ordered = _ordered_turns(spark, sf_dir, lines)
-    return conversations.conversations(lines, ordered, conversations.faults(table(spark, sf_dir, "sessions"), lines, ordered))
+    log, ordered = _log_and_turns(spark, sf_dir)
+    dropped = conversations.faults(table(spark, sf_dir, "sessions"), log, ordered)
+    return conversations.conversations(table(spark, sf_dir, "transcript_lines"), ordered, dropped)
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -222,10 +222,11 @@ def lines(spark, rows):
 
 def faults(spark, rows, sessions, **how):
     df = lines(spark, rows)
-    turns = cv.messages(df).withColumn("instant", F.col("event_timestamp").try_cast("timestamp"))
-    ordered = cv.in_order(turns.select("session_id", "id", "line_id", "seq", "speaker", "instant"))
+    log = cv.fold(df)
+    turns = cv.messages(log).withColumn("instant", F.col("event_timestamp").try_cast("timestamp"))
+    ordered = cv.in_order(turns.select("session_id", "id", "parent_id", "line_id", "seq", "speaker", "instant"))
     known = spark.createDataFrame([(s,) for s in sessions], "session_id string")
-    found = cv.faults(known, df, ordered, **how)
+    found = cv.faults(known, log, ordered, **how)
     return {(r.session_id, r.fault) for r in found.collect()}, cv.conversations(df, ordered, found)
 
 
@@ -256,6 +257,22 @@ def test_conversation_faults(spark, size):
     assert [c for _, _, c in turns["untold"]] == ["q", "a", "q2", "a2"]
 
 
+def test_edits_deletions_and_retries(spark):
+    rows = [
+        ("edit", "a", "nowhere", 0, "message", "user", "old words", T + "1"), ("edit", "b", "a", 1, "message", "ai", "answer", T + "2"), ("edit", "a", None, 0, "message", "user", "new words", T + "1"),
+        ("cut", "a", None, 0, "message", "user", "q", T + "1"), ("cut", "x", "nowhere", 1, "message", "user", "lost", T + "2"), ("cut", "b", "a", 2, "message", "ai", "answer", T + "3"), ("cut", "x", "nowhere", 1, "message.retracted", "user", "lost", T + "2"),
+        ("child", "a", None, 0, "message", "user", "q", T + "1"), ("child", "b", "a", 1, "message", "ai", "answer", T + "2"), ("child", "a", None, 0, "deleted", "user", "q", T + "1"),
+        ("retry", "a", None, 0, "message", "user", "q", T + "1"), *(("retry", f"r{k}", "a", k, "message", "ai", f"try {k}", T + str(k + 1)) for k in (1, 2, 3)), ("retry", "s", "r3", 4, "message", "ai", "and more", T + "5"), ("retry", "t", None, 5, "message", "ai", "x", T + "6"), ("retry", "u", None, 6, "message", "ai", "y", T + "7"),
+        ("numbers", "a", None, None, "message", "user", "first", None), ("numbers", None, "a", None, "message", "ai", "no id", None), ("numbers", "c", None, 5, "message", "user", "then", None), ("numbers", "d", "c", 6, "message", "ai", "end", None),
+    ]
+    got, whole = faults(spark, rows, ["edit", "cut", "child", "retry", "numbers"])
+    assert got == {("child", "broken")}
+    said = {}
+    for r in whole.orderBy("session_id", "turn_no").collect():
+        said.setdefault(r.session_id, []).append(r.content)
+    assert said == {"edit": ["new words", "answer"], "cut": ["q", "answer"], "retry": ["q", "try 3", "and more", "x", "y"], "numbers": ["first", "no id", "then", "end"]}
+
+
 def test_conversations_of_nothing(spark):
     got, whole = faults(spark, [], ["s"])
     assert got == {("s", "empty")} and whole.count() == 0
