@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 
@@ -23,14 +24,17 @@ WORKSPACE_SUFFIXES = ["-Workspace.code-workspace", ".code-workspace", ".code.jso
 SLUG_CHARS = 40
 HIGH, MEDIUM = 0.8, 0.4
 TOKEN = r"[\p{L}\p{N}]+"
+COMPOUND = r"(?U)\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b"
+SEVERAL_WORDS = r"(?U)\b([A-Z][a-zà-ú]{2,}(?:\s+[A-Z][a-zà-ú0-9]{2,}){1,3})\b"
+ACRONYM = r"(?U)\b([A-Z][A-Z0-9]{2,})\b"
 
 
 def _accent_table() -> tuple[str, str]:
-    """Letters with one combining mark and their base letter, by Unicode's decompositions."""
+    """All letters with combining marks and their base letters, by Unicode's decompositions."""
     pairs = []
-    for code in range(0xC0, 0x250):
+    for code in range(0xC0, 0x10000):
         parts = unicodedata.normalize("NFD", chr(code))
-        if len(parts) > 1 and len(parts[0]) == 1 and all(unicodedata.combining(c) for c in parts[1:]):
+        if len(parts) > 1 and all(unicodedata.combining(c) for c in parts[1:]) and not unicodedata.combining(parts[0]):
             pairs.append((chr(code), parts[0]))
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
@@ -43,6 +47,15 @@ def fold(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(text), _MARKED, _PLAIN), r"\p{M}+", "")
 
 
+def folded(text: str) -> str:
+    """The same of a query's word."""
+    return re.sub("[" + "".join(_MARKS) + "]+", "", text.lower().translate(_PLAIN_OF))
+
+
+_PLAIN_OF = str.maketrans(_MARKED, _PLAIN)
+_MARKS = [chr(c) for c in range(0x300, 0x10000) if unicodedata.category(chr(c)).startswith("M")]
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"))
 
@@ -103,11 +116,7 @@ def entities(title: Column, body: Column, cap: int = 5) -> Column:
     """
     text = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(body, F.lit("")))
     find = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(1))
-    spans = F.concat(
-        find(r"(?U)\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b"),
-        find(r"(?U)\b([A-Z][a-zà-ú]{2,}(?:\s+[A-Z][a-zà-ú0-9]{2,}){1,3})\b"),
-        find(r"(?U)\b([A-Z][A-Z0-9]{2,})\b"),
-    )
+    spans = F.concat(find(COMPOUND), find(SEVERAL_WORDS), find(ACRONYM))
     stop = F.array(*map(F.lit, STOPWORDS))
     clean = F.filter(spans, lambda s: (F.char_length(s) >= 3) & ~F.arrays_overlap(F.split(F.lower(s), r"\s+"), stop))
     keys = F.transform(clean, F.lower)

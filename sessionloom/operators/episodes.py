@@ -6,24 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text as T
+from sessionloom.operators import ordering
 from sessionloom.runtime import materialise
 
 #: Columns that an upsert replaces; all others keep what is stored.
 UPDATED = ["kind", "category", "title", "body", "confidence", "updated_at", "raw_payload", "entities"]
+KINDS = ("working", "episodic", "semantic")
 DECAY, DECAY_DAYS, LEAST_STRENGTH = 0.9, 30, 0.1
 SIMILAR = 0.5
 
 
-def latest(rows: DataFrame, copies_agree: bool = False) -> DataFrame:
-    """One row per id: the copy that was accessed most, then the newest.
-
-    ``copies_agree``: copies equal in both agree in everything, so each column
-    can be chosen for itself, and a query reads only the columns it needs.
-    """
-    rank = F.struct(F.coalesce("access_count", F.lit(-1)), "updated_at")
-    if copies_agree:
-        return rows.groupBy("id").agg(*(F.max_by(c, rank).alias(c) for c in rows.columns if c != "id")).select(*rows.columns)
-    return rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "id"]), rank).alias("r")).select("id", "r.*")
+def latest(rows: DataFrame) -> DataFrame:
+    """One row per id: the copy that was accessed most, then the newest, then by its contents, so that one whole copy stays."""
+    rest = [c for c in rows.columns if c != "id"]
+    rank = F.struct(F.coalesce("access_count", F.lit(-1)), "updated_at", F.xxhash64(*rest))
+    return rows.groupBy("id").agg(F.max_by(F.struct(*rest), rank).alias("r")).select("id", "r.*").select(*rows.columns)
 
 
 def newest(rows: DataFrame, limit: int, by: str = "created_at") -> DataFrame:
@@ -55,6 +52,32 @@ def touch(rows: DataFrame, ids: DataFrame, as_of: float) -> DataFrame:
     ).drop("_hit")
 
 
+def set_kind(rows: DataFrame, ids: DataFrame, kind: str, as_of: float) -> DataFrame:
+    """The episodes named in ``ids`` moved to ``kind``; unknown kinds are an error, ids that aren't there none."""
+    if kind not in KINDS:
+        raise ValueError(f"kind must be one of {KINDS}")
+    return _changed(rows, ids, {"kind": F.lit(kind), "updated_at": F.lit(as_of)})
+
+
+def pin(rows: DataFrame, ids: DataFrame, pinned: bool = True) -> DataFrame:
+    """The episodes named in ``ids`` pinned, or no longer."""
+    return _changed(rows, ids, {"pinned": F.lit(pinned)})
+
+
+def _changed(rows: DataFrame, ids: DataFrame, to: dict[str, Column]) -> DataFrame:
+    named = ids.where("id is not null").select("id").distinct().withColumn("_hit", F.lit(True))
+    return rows.join(named, "id", "left").withColumns({c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in to.items()}).drop("_hit")
+
+
+def forget(rows: DataFrame, ids: DataFrame, as_of: float) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the episodes named in ``ids`` expired, and what became of each id: forgotten, pinned (refused) or unknown."""
+    named = ids.where("id is not null").select("id").distinct()
+    state = named.join(rows.select("id", F.coalesce("pinned", F.lit(False)).alias("p")), "id", "left").select(
+        "id", F.when(F.col("p").isNull(), "unknown").when(F.col("p"), "pinned").otherwise("forgotten").alias("outcome")
+    )
+    return _changed(rows, state.where("outcome = 'forgotten'"), {"expires_at": F.lit(as_of)}), state
+
+
 def fold_feedback(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
     """``rows`` after verdicts (id, ts, seq, verdict) in their order.
 
@@ -65,16 +88,22 @@ def fold_feedback(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
     goes below 0.
     """
     step = F.when(F.col("verdict") == "helpful", 1).when(F.col("verdict") == "not_helpful", -1).otherwise(0)
-    order = Window.partitionBy("id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = F.col("verdict").isin("stale", "wrong")
-    walked = (
-        verdicts.withColumn("_sum", F.sum(step).over(order))
-        .groupBy("id")
+    # One episode may have any share of the verdicts, so its walk is cut into blocks of the order.
+    cut = ordering.cut_by_range(verdicts.select("id", "ts", "seq", "verdict"), "id", ["ts", "seq"], "block")
+    order = Window.partitionBy("id", "block").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_block = (
+        cut.withColumns({"_step": step, "_sum": F.sum(step).over(order)})
+        .groupBy("id", "block")
         .agg(
-            F.max_by("_sum", F.struct("ts", "seq")).alias("_total"), F.min("_sum").alias("_low"),
+            F.sum("_step").alias("_total"), F.min("_sum").alias("_low"),
             F.max(F.when(~ends, F.col("ts"))).alias("_touched"), F.max(F.when(ends, F.col("ts"))).alias("_ended"),
         )
     )
+    before = F.coalesce(F.sum("_total").over(Window.partitionBy("id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    walked = by_block.withColumn("_low", F.col("_low") + before).groupBy("id").agg(
+        F.sum("_total").alias("_total"), F.min("_low").alias("_low"), F.max("_touched").alias("_touched"), F.max("_ended").alias("_ended")
+    )
     count = F.coalesce("access_count", F.lit(0))
     return rows.join(walked, "id", "left").withColumns(
         {
@@ -183,7 +212,7 @@ def blended(insights: DataFrame, scores: DataFrame, inverted: bool = False) -> D
     ``scores`` (id, score) is the bounded result of a search. ``inverted``
     gives the best hit the lowest relevance, as one older ranking did.
     """
-    met, every = insights.join(F.broadcast(scores), "id"), Window.partitionBy(F.lit(0))  # as few rows as a search has
+    met, every = insights.join(scores, "id"), Window.partitionBy(F.lit(0))  # as few rows as a search has
     low, high = F.min("score").over(every), F.max("score").over(every)
     norm = (F.col("score") - low) / F.coalesce(F.nullif(high - low, F.lit(0.0)), F.lit(1.0))
     blend = F.round(0.7 * ((1.0 - norm) if inverted else norm) + 0.3 * F.col("strength"), 4)

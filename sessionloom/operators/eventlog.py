@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionloom.operators import ordering
+
 # Fixed values of the log's contract.
 ACTIVE = ["transcript", "git.commit"]
 RESERVED = ["manual", "browser", "calendar", "email", "chat", "terminal", "editor", "test", "ci", "issue"]
@@ -66,13 +68,65 @@ def unpublished(commits: DataFrame, log: DataFrame) -> DataFrame:
 def commits_of(lines: DataFrame) -> DataFrame:
     """Commits of an exported log: ``sha||author||email||date||message`` lines, each followed by its files.
 
-    ``lines`` has repo, line_no and line. Headers number the lines after them (a
-    running sum), and files are gathered by that number.
+    ``lines`` has repo, line_no and line. Each line belongs to the last header
+    before it, by a carry over blocks of lines, so one repository may hold any
+    share of them; files are gathered by that header. ``n`` numbers the headers
+    of a repository from 1.
     """
     header = F.col("line").rlike(r"^[0-9a-f]{7,40}\|\|")
-    island = F.sum(F.when(header, 1).otherwise(0)).over(Window.partitionBy("repo").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    numbered = lines.withColumns({"is_header": header, "n": island}).where((F.col("n") > 0) & (F.trim("line") != ""))
-    part = F.split(F.max(F.when(F.col("is_header"), F.col("line"))), r"\|\|", 5)
-    files = F.array_sort(F.collect_list(F.when(~F.col("is_header"), F.struct("line_no", F.trim("line").alias("file")))))
-    grouped = numbered.groupBy("repo", "n").agg(part.alias("p"), F.transform(files, lambda x: x["file"]).alias("files_changed"))
-    return grouped.select("repo", "n", *(F.col("p").getItem(i).alias(k) for i, k in enumerate(["sha", "author", "email", "date_iso", "message"])), "files_changed")
+    cut = ordering.cut_by_range(lines.select("repo", "line_no", "line").withColumn("head", F.when(header, F.col("line_no"))), "repo", ["line_no"], "block")
+    carried = ordering.with_previous(cut, "repo", ["line_no"], "head", "above", F.col("block"))
+    files = carried.where("head is null and above is not null").where(F.trim("line") != "").select("repo", F.col("above").alias("head"), F.struct("line_no", F.trim("line").alias("file")).alias("f"))
+    gathered = files.groupBy("repo", "head").agg(F.transform(F.array_sort(F.collect_list("f")), lambda x: x["file"]).alias("files_changed"))
+    heads = ordering.with_position(cut.where("head is not null"), "repo", ["line_no"], "n", F.col("block"))
+    part = F.split("line", r"\|\|", 5)
+    full = heads.join(gathered, ["repo", "head"], "left").withColumn("n", F.col("n") + 1)
+    return full.select("repo", "n", *(part.getItem(i).alias(k) for i, k in enumerate(["sha", "author", "email", "date_iso", "message"])), F.coalesce("files_changed", F.array().cast("array<string>")).alias("files_changed"))
+
+
+def since_last_known(commits: DataFrame, known: DataFrame, as_of: float, window_seconds: int = 3600) -> DataFrame:
+    """Commits after the last known one of their repository.
+
+    ``commits`` has repo, n (1 is the newest), sha and committed_at (epoch
+    seconds), ``known`` repo and sha. A repository whose sha isn't among its commits
+    (or that has none) gives those of the last ``window_seconds``.
+    """
+    at = commits.join(known.select("repo", F.col("sha").alias("known_sha")).dropDuplicates(["repo"]), "repo", "left")
+    place = at.where(F.col("sha").startswith(F.col("known_sha"))).groupBy("repo").agg(F.min("n").alias("known_n"))
+    joined = commits.join(place, "repo", "left")
+    recent = F.col("committed_at") >= as_of - window_seconds
+    return joined.where(F.when(F.col("known_n").isNotNull(), F.col("n") < F.col("known_n")).otherwise(recent)).drop("known_n")
+
+
+def append(log: DataFrame, events: DataFrame, allowed: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``log`` with the valid ``events`` after it, and the others with their ``problem``.
+
+    Events get the numbers after the log's last, in the order of captured_at and then of
+    their contents; both have event_id, project_id, source_type, source_ref, captured_at and payload.
+    """
+    judged = validated(events, allowed)
+    last = log.agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0]
+    good = judged.where("problem is null").withColumn("_tie", F.xxhash64("project_id", "source_type", "source_ref", "payload")).withColumn("_all", F.lit(0))
+    cut = ordering.cut_by_range(good, "_all", ["captured_at", "_tie"], "_block")
+    numbered = ordering.with_position(cut, "_all", ["captured_at", "_tie"], "_n", F.col("_block"))
+    new = numbered.withColumn("event_id", (F.lit(last) + 1 + F.col("_n")).cast("bigint")).select(*log.columns)
+    return log.unionByName(new), judged.where("problem is not null")
+
+
+def has_event(log: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (project_id, source_type, source_ref) with ``is_known``: whether the log has such an event; a null reference equals a null one."""
+    keys = ["project_id", "source_type", "source_ref"]
+    known = log.select(*keys).distinct().withColumn("_y", F.lit(True)).alias("k")
+    same = (F.col("w.project_id") == F.col("k.project_id")) & (F.col("w.source_type") == F.col("k.source_type")) & F.col("w.source_ref").eqNullSafe(F.col("k.source_ref"))
+    return wanted.alias("w").join(known, same, "left").select("w.*", F.coalesce("k._y", F.lit(False)).alias("is_known"))
+
+
+def empty_markers(counts: DataFrame, log: DataFrame, as_of: float) -> DataFrame:
+    """Marker events of sessions without anything to classify, so that they aren't tried again until they grow.
+
+    ``counts`` has project_id, session, bytes and total_events, ``log`` at least
+    project_id, source_type and source_ref; a session that has a marker gets no second one.
+    """
+    empty = counts.where("total_events = 0").select("project_id", F.lit(DONE).alias("source_type"), F.col("session").alias("source_ref"), "bytes").distinct()
+    new = has_event(log, empty).where("not is_known").drop("is_known")
+    return new.withColumns({"captured_at": F.lit(as_of), "payload": F.to_json(F.struct(F.lit(0).alias("episodes_written"), F.lit(True).alias("empty"), F.col("bytes").alias("transcript_bytes")))}).drop("bytes")

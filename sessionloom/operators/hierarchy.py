@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom import runtime
+from sessionloom.operators import ordering
 
 #: A group with more rows is never gathered in one task.
 GROUP_ROWS = 100_000
@@ -221,9 +222,12 @@ def _large_groups(links: DataFrame, paths: bool, separator: str) -> DataFrame:
     rooted = reach.where("done").select("grp", "node", F.col("top").alias("root"), F.col("far").alias("depth"))
     placed = materialise(linked.join(rooted, ["grp", "node"]), "placed")
     # The tour: enter each node, its children in order, leave it. Roots follow one another.
-    sibling = Window.partitionBy("grp", "above").orderBy("ord", "node")
-    kin = placed.select("grp", "node", "above", F.lead("node").over(sibling).alias("next_sib"), F.row_number().over(sibling).alias("k"))
-    first = kin.where("k = 1 and above is not null").select("grp", F.col("above").alias("node"), F.col("node").alias("first_child"))
+    # All roots of a group are siblings, so siblings are numbered over blocks and meet by number.
+    family = placed.select("grp", "node", "above", "ord", F.concat_ws("\x1f", "grp", F.concat(F.lit("<"), "above")).alias("family"))
+    kin = ordering.with_position(ordering.cut_by_range(family, "family", ["ord", "node"], "b"), "family", ["ord", "node"], "k", F.col("b"))
+    kin = materialise(kin.select("grp", "node", "above", "family", "k"), "kin")
+    kin = kin.join(kin.select("family", (F.col("k") - 1).alias("k"), F.col("node").alias("next_sib")), ["family", "k"], "left")
+    first = kin.where("k = 0 and above is not null").select("grp", F.col("above").alias("node"), F.col("node").alias("first_child"))
     kin = kin.join(first, ["grp", "node"], "left")
     enter = kin.select("grp", F.concat(F.lit("<"), "node").alias("node"), F.coalesce(F.concat(F.lit("<"), "first_child"), F.concat(F.lit(">"), "node")).alias("top"), F.lit(1).cast("bigint").alias("far"))
     leave = kin.select("grp", F.concat(F.lit(">"), "node").alias("node"), F.coalesce(F.concat(F.lit("<"), "next_sib"), F.concat(F.lit(">"), "above"), F.concat(F.lit(">"), "node")).alias("top"), F.lit(0).cast("bigint").alias("far"))
@@ -312,3 +316,24 @@ def descendants(places: DataFrame, wanted: DataFrame) -> DataFrame:
     )
     below = places.where("range_start is not null").select("grp", F.col("node").alias("descendant"), F.col("range_start").alias("at"), F.floor(F.col("range_start") / block).alias("block"))
     return heads.join(below, ["grp", "block"]).where("at > range_start and at <= range_end").select("grp", "node", "descendant")
+
+
+LEVELS = 40
+
+
+def ancestors(places: DataFrame, wanted: DataFrame) -> DataFrame:
+    """All (grp, node, ancestor) of the nodes in ``wanted`` (grp, node), by their ranges.
+
+    The range below each node is cut into aligned blocks of sizes that are
+    powers of two, at most two of a size, and a place lies in one block of each
+    size. So the join is by equality, and each of its pairs is in the result.
+    """
+    own = places.join(wanted.select("grp", "node").distinct(), ["grp", "node"], "left_semi").where("range_start is not null")
+    groups = own.select("grp").distinct()
+    low, high = "shiftright(lo + shiftleft(1L, l) - 1, l)", "shiftright(hi, l)"
+    block = lambda odd, at: f"named_struct('level', l, 'at', if({odd} % 2 = 1 and {low} < {high}, {at}, null))"
+    blocks = F.expr(f"filter(flatten(transform(sequence(0, {LEVELS}), l -> array({block(low, low)}, {block(high, high + ' - 1')}))), x -> x.at is not null)")
+    heads = places.where("n_descendants > 0").join(groups, "grp", "left_semi").select("grp", F.col("node").alias("ancestor"), (F.col("range_start") + 1).alias("lo"), (F.col("range_start") + F.col("n_descendants") + 1).alias("hi"))
+    heads = heads.select("grp", "ancestor", F.explode(blocks).alias("x")).select("grp", "ancestor", "x.*")
+    points = own.select("grp", "node", F.explode(F.expr(f"transform(sequence(0, {LEVELS}), l -> named_struct('level', l, 'at', shiftright(range_start, l)))")).alias("x")).select("grp", "node", "x.*")
+    return points.join(heads, ["grp", "level", "at"]).select("grp", "node", "ancestor")

@@ -22,31 +22,29 @@ from sessionloom import runtime
 #: In a schema path: a step into a list. A field's step is its name after a dot.
 ITEM = "[]"
 _BATCH = 20_000
-_ENCODINGS = 4
 _TYPES = [pa.list_(pa.int32()), pa.list_(pa.string()), pa.string(), pa.string(), pa.map_(pa.string(), pa.string())]
 NODES = "dewey array<int>, schema_path array<string>, node_kind string, node_value string, fields map<string,string>"
 
 
 def decode(text: str | None):
-    """The value written in ``text``: JSON, a Python literal, or either of them written as a JSON string.
+    """The value written in ``text``: JSON, a Python literal, or either of them written as a JSON string, however often.
 
-    ``ValueError`` if there is none.
+    ``ValueError`` if there is none. A string that holds no encoded value is the value.
     """
-    value = text
-    for step in range(_ENCODINGS):
-        if not isinstance(value, str):
-            return value
+    value, steps = text, 0
+    while isinstance(value, str):
         try:
-            value = json.loads(value)
-            continue
+            inner = json.loads(value)
         except (ValueError, RecursionError):
-            pass
-        try:
-            value = ast.literal_eval(value.strip())
-        except (ValueError, SyntaxError, RecursionError, MemoryError, TypeError):
-            if step:
-                return value
-            raise ValueError("neither JSON nor a literal") from None
+            try:
+                inner = ast.literal_eval(value.strip())
+            except (ValueError, SyntaxError, RecursionError, MemoryError, TypeError):
+                if steps:
+                    return value
+                raise ValueError("neither JSON nor a literal") from None
+        if isinstance(inner, str) and len(inner) >= len(value):
+            return inner  # each encoding puts quotes around its text; this one can't be another
+        value, steps = inner, steps + 1
     return value
 
 
@@ -149,6 +147,30 @@ def table_of(nodes: DataFrame, pattern: str) -> DataFrame:
     )
 
 
+def flat(nodes: DataFrame) -> DataFrame:
+    """The rows of all tables at once: a row for each object, and for each list item that is none.
+
+    ``table_path`` names the table (the schema path; ``$`` is the root),
+    ``node`` and ``parent`` are labels, ``parent`` that of the nearest row above
+    (lists have no rows; an empty one is the record, if its root is a list), ``place`` the ordinal in the list that holds the row, ``fields`` an object's scalar
+    members, ``node_value`` another item's value. Needs the nodes of whole
+    records (``label`` without ``only``).
+    """
+    path, dewey = F.col("schema_path"), F.col("dewey")
+    item = F.coalesce(F.try_element_at(path, F.lit(-1)) == ITEM, F.lit(False))
+    # A list stands between an item and the row above it, and lists in lists make as many steps more.
+    fields_at = F.filter(F.sequence(F.lit(1), F.size(path)), lambda i: (i > 0) & (F.try_element_at(path, F.greatest(i, F.lit(1))) != ITEM))
+    up = F.when(F.size(path) == 0, 0).otherwise(F.coalesce(F.array_max(fields_at), F.lit(1)) - 1)
+    kept = nodes.where((F.col("node_kind") == "object") | (item & (F.col("node_kind") != "array")))
+    return kept.withColumns(
+        {
+            "table_path": F.when(F.size(path) == 0, "$").otherwise(F.concat(F.lit("$"), F.array_join(path, ""))),
+            "node": dewey_text(dewey), "parent": F.when(F.size(dewey) > 0, dewey_text(F.slice(dewey, 1, F.greatest(up, F.lit(0))))),
+            "place": F.when(item, F.element_at(dewey, -1)),
+        }
+    ).drop("dewey", "schema_path")
+
+
 #: Elements of lists named content, and contents that are plain strings.
 CONTENT = r"\.content(\[\])?$"
 

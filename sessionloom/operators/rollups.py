@@ -36,6 +36,46 @@ def file_mentions(rows: DataFrame) -> DataFrame:
     return lines.select("project_id", "id", "created_at", "line_no", F.explode(first).alias("x")).select("project_id", "id", "created_at", "line_no", "x.*").where("path is not null")
 
 
+# Folders whose recent files count, folders that are noise, and endings of files that are worked on.
+RECENT_FOLDERS = ["app", "apps", "src", "lib", "utils", "core", "models", "views", "controllers", "api", "config", "templates", "static", "components", "pages", "routes", "services", "helpers", "tests"]
+NOISE_FOLDERS = ["node_modules", ".git", "__pycache__", ".venv", "venv", ".terraform", "dist", "build", ".next"]
+RECENT_ENDINGS = [*EXTENSIONS, ".jsx", ".tsx", ".scss", ".vue", ".svelte", ".go", ".rs", ".java", ".rb", ".php"]
+
+
+def recent_files(files: DataFrame, as_of: float, age: float = 86400, folders: list[str] | None = RECENT_FOLDERS) -> DataFrame:
+    """Rows of ``files`` (project_id, path within the project, mtime) changed within ``age`` seconds, below a known folder (any, for None), in no noise folder, with a known ending."""
+    parts = F.split("path", "/")
+    ending = F.regexp_extract("path", r"(\.[^./]+)$", 1)
+    kept = (F.col("mtime") >= as_of - age) & ending.isin(RECENT_ENDINGS) & ~F.arrays_overlap(parts, F.array(*map(F.lit, NOISE_FOLDERS)))
+    return files.where(kept if folders is None else kept & (F.size(parts) > 1) & parts[0].isin(folders))
+
+
+# Fixed values of the candidate filter.
+MAX_AGE, MIN_BYTES, QUIET, PER_TICK = 7 * 86400, 4096, 600, 8
+
+
+def candidates(files: DataFrame, as_of: float) -> DataFrame:
+    """Rows of ``files`` (n_bytes, mtime) that are young, large and quiet enough. A tick takes the newest ``PER_TICK`` that no gate skips."""
+    return files.where((F.col("mtime") > as_of - MAX_AGE) & (F.col("mtime") <= as_of - QUIET) & (F.col("n_bytes") >= MIN_BYTES))
+
+
+def newest_files(files: DataFrame, as_of: float, max_age: float) -> DataFrame:
+    """(real_path, path, mtime) of ``files`` (path, real_path, mtime) younger than ``max_age``, each real file once; ``orderBy`` mtime and path to list them."""
+    young = files.where(F.col("mtime") > as_of - max_age)
+    return young.groupBy("real_path").agg(F.max(F.struct("mtime", "path")).alias("m")).select("real_path", "m.path", "m.mtime")
+
+
+def last_lines(text: Column, n: int = 20) -> Column:
+    """The last ``n`` lines of a text; a final newline begins none."""
+    lines = F.split(F.regexp_replace(text, r"\n$", ""), "\n")
+    return F.array_join(F.slice(lines, F.greatest(F.size(lines) - n + 1, F.lit(1)), n), "\n")
+
+
+def ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """(project_id, path, pos): a stream for ``first_of``, numbered within its project."""
+    return rows.select("project_id", "path", F.row_number().over(Window.partitionBy("project_id").orderBy(*order, "path")).alias("pos"))
+
+
 def working_set(uncommitted: DataFrame, committed: DataFrame, mentioned: DataFrame, cap: int = 20) -> DataFrame:
     """Each project's first ``cap`` files: uncommitted, then committed, then mentioned in episodes; a file counts once."""
     merged = first_of([uncommitted, committed, mentioned], ["project_id", "path"])

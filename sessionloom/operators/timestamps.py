@@ -36,7 +36,7 @@ MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
 _AMPM = r"(?:\s*([AaPp])\.?[Mm]\.?)?"
-_ZONE = r"(?:\s*(Z|z|[A-Za-z]{2,5}|(?:UTC|GMT)?[+-]\d{1,2}(?::?\d{2})?|[A-Za-z_]+(?:/[A-Za-z0-9_+-]+)+))?(?:\s*\[([A-Za-z0-9_+/-]+)\])?"
+_ZONE = r"(?:\s*(Z|z|[A-Za-z]{2,5}|(?:UTC|GMT)?[+-]\d{1,2}(?::?\d{2})?|[A-Za-z_]++(?:/[A-Za-z0-9_+-]++)++))?(?:\s*\[([A-Za-z0-9_+/-]+)\])?"
 _MONTH = r"([A-Za-z]{3})[A-Za-z]*\.?"
 #: Spelling, pattern, and which groups hold year, month, day, hour, minute, second, fraction, am/pm, zone, bracketed zone.
 _SPELLINGS = [
@@ -49,7 +49,7 @@ _SPELLINGS = [
     ("day-slash", rf"^(1[3-9]|2\d|3[01])/(\d{{1,2}})/(\d{{4}})[ ,T]+{_CLOCK}{_AMPM}{_ZONE}$", "3 2 1 4 5 6 7 8 9 10"),
     ("month-slash", rf"^(\d{{1,2}})/(1[3-9]|2\d|3[01])/(\d{{4}})[ ,T]+{_CLOCK}{_AMPM}{_ZONE}$", "3 1 2 4 5 6 7 8 9 10"),
 ]
-_OWN_ZONE = r"(?i)(\d\s*Z|[+-]\d{1,2}:?\d{2}|\d\s*[A-Z]{3,5}|[A-Z_]+/[A-Z_/+-]+\]?|\[[A-Z0-9_+/-]+\])$"
+_OWN_ZONE = r"(?i)(\d\s*Z|[+-]\d{1,2}:?\d{2}|\d\s*[A-Z]{3,5}|(?<![A-Z_/+-])[A-Z_]++/[A-Z_/+-]++\]?|\[[A-Z0-9_+/-]+\])$"
 _EPOCH = r"^[+-]?\d{9,}(\.\d+)?$"
 _HOUR = 3_600_000_000
 
@@ -60,14 +60,9 @@ def zone_names(spark: SparkSession) -> list[str]:
     return sorted(jvm.java.lang.String.join(",", jvm.java.time.ZoneId.getAvailableZoneIds()).split(","))
 
 
-#: No spelling is longer; longer texts aren't searched.
-LONGEST = 80
-
-
 def clean(raw: Column) -> Column:
-    """Without white space at the ends; of an overlong text nothing but a word that is no stamp."""
-    short = F.trim(raw)
-    return F.when(F.char_length(short) > LONGEST, "overlong").otherwise(F.regexp_replace(short, r"^[\s\x{A0}\x{FEFF}]+|[\s\x{A0}\x{FEFF}]+$", ""))
+    """Without white space at the ends. The pattern starts at whole runs only, so a text of any length costs one pass."""
+    return F.regexp_replace(F.trim(raw), r"^[\s\x{A0}\x{FEFF}]+|(?<![\s\x{A0}\x{FEFF}])[\s\x{A0}\x{FEFF}]++$", "")
 
 
 def needs_zone(raw: Column) -> Column:
@@ -173,7 +168,10 @@ def parse_stamps(stamps: DataFrame, raw: str, zone: str, zones: list[str]) -> Da
 
 
 class StampDictionary:
-    """A table of parsed stamps in the shared folder (or at ``path``), extended run by run, by one writer at a time."""
+    """A table of parsed stamps in the shared folder, or at a ``path`` that later runs and other queries extend.
+
+    Two writers at once may parse a triple twice; readers take each once.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or runtime.scratch_path(spark, "stamps")
@@ -205,8 +203,9 @@ def normalise(rows: DataFrame, stamp: str, zone: str | None, source: str, dictio
     ``stamp`` and ``zone`` name the columns of the text and of the source's
     zone (None: unknown). All rows come back, duplicates included; columns of
     ``rows`` named ``instant`` or ``stamp_status`` are replaced. An empty table
-    gives an empty one. Null stamps have the status ``missing`` and don't take
-    part in the join, so that they can't pile up on one key.
+    gives an empty one. Null stamps have the status ``missing``; they meet
+    nothing in the join and are spread over its tasks. Texts of any length are
+    read as they are.
     """
     runtime.require_columns(rows, stamp, *([zone] if zone else []))
     keyed = rows.drop("instant", "stamp_status").withColumns(
@@ -221,5 +220,9 @@ def normalise(rows: DataFrame, stamp: str, zone: str | None, source: str, dictio
     entries = entries.where(F.col("stamp_source") == source).select(
         F.col("stamp_raw").alias("__r"), F.coalesce("stamp_zone", F.lit("")).alias("__z"), "instant", "stamp_status"
     )
-    found = keyed.join(entries, (F.col("__raw") == F.col("__r")) & (F.coalesce("__zone", F.lit("")) == F.col("__z")), "left")
-    return found.drop("__raw", "__zone", "__r", "__z").withColumn("stamp_status", F.coalesce("stamp_status", F.lit("missing")))
+    # The aggregation has the join's keys, so it needs no exchange of its own.
+    entries = entries.groupBy("__r", "__z").agg(F.min("instant").alias("instant"), F.min("stamp_status").alias("stamp_status"))
+    apart = F.concat(F.lit("\x00"), (F.rand(7) * (1 << 20)).cast("int").cast("string"))
+    keyed = keyed.withColumns({"__there": F.col("__raw").isNotNull(), "__raw": F.coalesce("__raw", apart), "__zone": F.coalesce("__zone", F.lit(""))})
+    found = keyed.join(entries, (F.col("__raw") == F.col("__r")) & (F.col("__zone") == F.col("__z")) & F.col("__there"), "left")
+    return found.drop("__raw", "__zone", "__r", "__z", "__there").withColumn("stamp_status", F.coalesce("stamp_status", F.lit("missing")))

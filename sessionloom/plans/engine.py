@@ -11,11 +11,13 @@ from sessionloom.functions import redact as R
 from sessionloom.functions import text as T
 from sessionloom.operators import episodes as E
 from sessionloom.operators import eventlog as L
+from sessionloom.operators import insights as N
 from sessionloom.operators import recall as Q
 from sessionloom.operators import rollups as U
 from sessionloom.plans import views as V
 from sessionloom.runtime import scratch_path, table
 from sessionloom.sources import archive as A
+from sessionloom.sources import manifests as M
 from sessionloom.sources import transcripts as X
 from sessionloom.streaming import ingest as I
 
@@ -23,6 +25,7 @@ QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 AS_OF = V.AS_OF
 WORDS = "snapshot marker qualità"
+_DAYS_BACK = 100
 NAMES = "Gap budget"
 
 
@@ -77,12 +80,12 @@ def inverted_index(spark, d) -> DataFrame:
 @query("recall_bm25", f"WITH {V.EPISODES}, {_bm25_sql(WORDS.split()[:2], 'AND')} SELECT id, bm25 FROM b")
 def recall_bm25(spark, d) -> DataFrame:
     words = " ".join(WORDS.split()[:2])
-    return Q.bm25(V.episodes(spark, d), "id", F.concat_ws(" ", "title", "body", "category"), words, "AND", Q.visible(AS_OF)).select("id", F.round("bm25", 6).alias("bm25"))
+    return Q.bm25_of(V.index(spark, d), words, "AND", V.episodes(spark, d).where(Q.visible(AS_OF))).select("id", F.round("bm25", 6).alias("bm25"))
 
 
 @query("recall_bm25_or", f"WITH {V.EPISODES}, {_bm25_sql(WORDS.split(), 'OR')} SELECT id, bm25 FROM b")
 def recall_bm25_or(spark, d) -> DataFrame:
-    return Q.bm25(V.episodes(spark, d), "id", F.concat_ws(" ", "title", "body", "category"), WORDS, "OR", Q.visible(AS_OF)).select("id", F.round("bm25", 6).alias("bm25"))
+    return Q.bm25_of(V.index(spark, d), WORDS, "OR", V.episodes(spark, d).where(Q.visible(AS_OF))).select("id", F.round("bm25", 6).alias("bm25"))
 
 
 _ENTITY_ROWS = f"SELECT DISTINCT id, created_at, lower(x) AS entity_lower FROM (SELECT id, created_at, unnest(entities) AS x FROM e WHERE {_VISIBLE}) WHERE starts_with(lower(x), 'gap') OR starts_with(lower(x), 'budget')"
@@ -111,7 +114,7 @@ def _fused_sql(words: list[str], combine: str, limit: int, depth: int) -> str:
 
 @query("rrf_fuse", _fused_sql(["gap", "budget"], "OR", 20, 120) + " SELECT id, round(score, 6) AS score FROM r")
 def rrf_fuse(spark, d) -> DataFrame:
-    return Q.fused(V.episodes(spark, d), NAMES, AS_OF, combine="OR").select("id", F.round("score", 6).alias("score"))
+    return Q.fused(V.episodes(spark, d), NAMES, AS_OF, combine="OR", index=V.index(spark, d)).select("id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -119,16 +122,16 @@ def rrf_fuse(spark, d) -> DataFrame:
     _fused_sql(["gap", "budget"], "OR", 20, 120) + " SELECT e.id, e.project_id, e.kind, e.title, left(e.body, 400) AS preview, round(score, 6) AS score FROM r JOIN e USING (id)",
 )
 def recall(spark, d) -> DataFrame:
-    return Q.recall(V.episodes(spark, d), NAMES, AS_OF, combine="OR")
+    return Q.recall(V.episodes(spark, d), NAMES, AS_OF, combine="OR", index=V.index(spark, d))
 
 
 @query(
     "synthesize_citations",
-    _fused_sql(["gap", "budget"], "OR", 20, 120) + " SELECT e.id, e.title, left(trim(regexp_replace(e.body, '\\s+', ' ', 'g')), 200) AS excerpt FROM r JOIN e USING (id)",
+    _fused_sql(["gap", "budget"], "AND", 20, 120) + " SELECT e.id, e.title, left(trim(regexp_replace(e.body, '\\s+', ' ', 'g')), 200) AS excerpt FROM r JOIN e USING (id)",
 )
 def synthesize_citations(spark, d) -> DataFrame:
-    rows = V.episodes(spark, d)
-    best = Q.fused(rows, NAMES, AS_OF, combine="OR")
+    rows, index = V.episodes(spark, d), V.index(spark, d)
+    best = Q.answered(lambda combine: Q.fused(rows, NAMES, AS_OF, combine=combine, index=index), NAMES)
     return rows.join(F.broadcast(best), "id").select("id", "title", F.left(F.trim(F.regexp_replace("body", r"\s+", " ")), F.lit(200)).alias("excerpt"))
 
 
@@ -139,7 +142,7 @@ def synthesize_citations(spark, d) -> DataFrame:
 )
 def synthesize_gaps(spark, d) -> DataFrame:
     rows = V.episodes(spark, d)
-    hits = rows.join(F.broadcast(Q.fused(rows, NAMES, AS_OF, combine="OR").select("id")), "id", "left_semi")
+    hits = rows.join(F.broadcast(Q.fused(rows, NAMES, AS_OF, combine="OR", index=V.index(spark, d)).select("id")), "id", "left_semi")
     return Q.gaps(hits, "gap budget zzyzx marker Budget")
 
 
@@ -151,26 +154,25 @@ def entity_index(spark, d) -> DataFrame:
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 
 
+# RE2 knows no Unicode word boundary. Each character that is no letter, digit or underscore is doubled, so that neighbours can both be bounded by one.
+_SEPARATE = "[^\\p{L}\\p{N}_]"
+_SPANS = ", ".join(
+    f"list_transform(regexp_extract_all(t, '{_SEPARATE}({p}){_SEPARATE}', 1), lambda x: {{'k': {k}, 's': regexp_replace(x, '(\\s)\\s', '\\1', 'g')}})"
+    for k, p in enumerate(["[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+", "[A-Z][a-zà-ú]{2,}(?:\\s+[A-Z][a-zà-ú0-9]{2,}){1,3}", "[A-Z][A-Z0-9]{2,}"])
+)
+
+
 @query(
     "heuristic_entities",
-    # RE2 knows no Unicode word boundary, so acronyms and compounds are cut out by splitting; names of several words need none here.
-    f"""WITH {V.EPISODES}, w AS (SELECT id, regexp_extract_all(concat(coalesce(title, ''), chr(10), coalesce(body, '')), '[\\p{{L}}\\p{{N}}_]+') AS t FROM e),
- c AS (SELECT id, list_filter(t, lambda x: regexp_full_match(x, '[A-Z][a-z0-9]+([A-Z][a-z0-9]+)+') OR regexp_full_match(x, '[A-Z][A-Z0-9]{{2,}}')) AS t FROM w),
- f AS (SELECT id, x FROM (SELECT id, unnest(t) AS x FROM c) WHERE lower(x) NOT IN ({_STOP})),
- r AS (SELECT id, x, row_number() OVER (PARTITION BY id ORDER BY -length(x), x) AS k FROM (SELECT DISTINCT id, x FROM f))
- SELECT id, string_agg(x, ' ' ORDER BY k) AS entities FROM r WHERE k <= 5 GROUP BY id""",
+    f"""WITH {V.EPISODES}, w AS (SELECT id, regexp_replace(concat(' ', coalesce(title, ''), chr(10), coalesce(body, ''), ' '), '({_SEPARATE})', '\\1\\1', 'g') AS t FROM e),
+ c AS (SELECT id, list_concat({_SPANS}) AS l FROM w), u AS (SELECT id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM c),
+ f AS (SELECT id, x.s AS x, i FROM u WHERE NOT list_has_any(string_split_regex(lower(x.s), '\\s+'), [{_STOP}]) QUALIFY row_number() OVER (PARTITION BY id, lower(x.s) ORDER BY i) = 1),
+ r AS (SELECT id, x, row_number() OVER (PARTITION BY id ORDER BY -length(x), x) AS k FROM f)
+ SELECT id, string_agg(x, '|' ORDER BY k) AS entities FROM r WHERE k <= 5 GROUP BY id""".replace("\\\\", "\\"),
 )
 def heuristic_entities(spark, d) -> DataFrame:
-    # The comparison leaves names of several words aside; episode_entities has them.
-    found = T.entities(F.col("title"), F.col("body"), cap=10_000)
-    single = F.slice(F.filter(found, lambda s: ~s.rlike(r"\s")), 1, 5)
-    return V.episodes(spark, d).select("id", F.array_join(single, " ").alias("entities")).where("entities <> ''")
-
-
-@query("episode_entities")
-def episode_entities(spark, d) -> DataFrame:
-    """All three kinds of names, as the operator gives them."""
-    return V.episodes(spark, d).select("id", T.entities(F.col("title"), F.col("body")).alias("entities")).where(F.size("entities") > 0)
+    found = V.episodes(spark, d).select("id", T.entities(F.col("title"), F.col("body")).alias("entities"))
+    return found.where(F.size("entities") > 0).select("id", F.array_join("entities", "|").alias("entities"))
 
 
 # Reading and filtering
@@ -271,7 +273,7 @@ def preload_insights(spark, d) -> DataFrame:
 )
 def preload_ranked(spark, d) -> DataFrame:
     rows = V.episodes(spark, d)
-    return E.blended(E.context(rows, AS_OF, 365), Q.fused(rows, NAMES, AS_OF, 50, "OR").select("id", "score")).select("id", "content", "strength", "blend")
+    return E.blended(E.context(rows, AS_OF, 365), Q.fused(rows, NAMES, AS_OF, 50, "OR", index=V.index(spark, d)).select("id", "score")).select("id", "content", "strength", "blend")
 
 
 @query(
@@ -401,19 +403,19 @@ def date_parts(spark, d) -> DataFrame:
     )
 
 
-_DEMO = "concat(body, ' api_key=', repeat('a1', 10), ' and token: short, bearer ', repeat('x', 24))"
+_DEMO = "concat(coalesce(body, ''), ' api_key=', repeat('a1', 10), ' and token: short, bearer ', repeat('x', 24))"
 
 
-@query("redact", f"WITH {V.EPISODES} SELECT id, replace(replace({_DEMO}, concat('api_key=', repeat('a1', 10)), '[REDACTED:generic-assignment]'), concat('bearer ', repeat('x', 24)), '[REDACTED:bearer-token]') AS redacted FROM e WHERE body IS NOT NULL")
+@query("redact", f"WITH {V.EPISODES} SELECT id, replace(replace({_DEMO}, concat('api_key=', repeat('a1', 10)), '[REDACTED:generic-assignment]'), concat('bearer ', repeat('x', 24)), '[REDACTED:bearer-token]') AS redacted FROM e")
 def redact(spark, d) -> DataFrame:
-    text = F.concat("body", F.lit(" api_key=" + "a1" * 10 + " and token: short, bearer " + "x" * 24))
-    return V.episodes(spark, d).where("body is not null").select("id", R.redact(text).alias("redacted"))
+    text = F.concat(F.coalesce("body", F.lit("")), F.lit(" api_key=" + "a1" * 10 + " and token: short, bearer " + "x" * 24))
+    return V.episodes(spark, d).select("id", R.redact(text).alias("redacted"))
 
 
-@query("redaction_stats", f"WITH {V.EPISODES}, n AS (SELECT count(*) AS n FROM e WHERE body IS NOT NULL) SELECT kind, n FROM n, (VALUES ('generic-assignment'), ('bearer-token')) k(kind) WHERE n > 0")
+@query("redaction_stats", f"WITH {V.EPISODES}, n AS (SELECT count(*) AS n FROM e) SELECT kind, n FROM n, (VALUES ('generic-assignment'), ('bearer-token')) k(kind) WHERE n > 0")
 def redaction_stats(spark, d) -> DataFrame:
-    text = F.concat("body", F.lit(" api_key=" + "a1" * 10 + " and token: short, bearer " + "x" * 24))
-    return V.episodes(spark, d).where("body is not null").select(F.explode(R.redaction_counts(text)).alias("kind", "k")).groupBy("kind").agg(F.sum("k").alias("n"))
+    text = F.concat(F.coalesce("body", F.lit("")), F.lit(" api_key=" + "a1" * 10 + " and token: short, bearer " + "x" * 24))
+    return V.episodes(spark, d).select(F.explode(R.redaction_counts(text)).alias("kind", "k")).groupBy("kind").agg(F.sum("k").alias("n"))
 
 
 # Writes
@@ -510,10 +512,10 @@ def publish_commits_anti(spark, d) -> DataFrame:
 
 @query(
     "git_log_sessionize",
-    "SELECT project_id AS repo, row_number() OVER (PARTITION BY project_id ORDER BY doc_id) AS n, left(sha256(CAST(doc_id AS VARCHAR)), 40) AS sha, coalesce(category, '-') AS message, concat('src/', doc_id, '.py,docs/', doc_id, '.md') AS files FROM documents WHERE project_id IS NOT NULL",
+    "SELECT project_id AS repo, row_number() OVER (PARTITION BY project_id ORDER BY doc_id) AS n, left(sha256(CAST(doc_id AS VARCHAR)), 40) AS sha, coalesce(category, '-') AS message, concat('src/', doc_id, '.py,docs/', doc_id, '.md') AS files FROM (SELECT * REPLACE (coalesce(project_id, 'none') AS project_id) FROM documents)",
 )
 def git_log_sessionize(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents").where("project_id is not null")
+    docs = table(spark, d, "documents").na.fill("none", ["project_id"])
     head = F.concat_ws("||", F.left(F.sha2(F.col("doc_id").cast("string"), 256), F.lit(40)), F.lit("a"), F.lit("a@b.example"), F.lit("2026-01-01"), F.coalesce("category", F.lit("-")))
     path = lambda folder, end: F.concat(F.lit(folder), F.col("doc_id").cast("string"), F.lit(end))
     lines = docs.select(F.col("project_id").alias("repo"), "doc_id", F.posexplode(F.array(head, F.lit(""), path("src/", ".py"), path("docs/", ".md"))).alias("i", "line"))
@@ -528,9 +530,13 @@ def git_log_sessionize(spark, d) -> DataFrame:
 def stream_growth_gate(spark, d) -> DataFrame:
     """The gate as a stream with state, over all events as they lie there, run to their end."""
     path, out = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
-    V.log(spark, d).select("session", "event_id", "captured_at", "source_type", "bytes").write.parquet(path)
+    log = V.log(spark, d).select("session", "event_id", "captured_at", "source_type", "bytes")
+    # Files follow one another in time, as a log's do, and each makes a batch.
+    edges = [float("-inf"), *sorted(set(log.approxQuantile("captured_at", [i / 8 for i in range(1, 8)], 0.01))), float("inf")]
+    for low, high in zip(edges, edges[1:]):
+        log.where((F.col("captured_at") > low) & (F.col("captured_at") <= high)).coalesce(1).write.mode("append").parquet(path)
     schema = spark.read.parquet(path).schema
-    gate = I.growth_gate(spark.readStream.schema(schema).parquet(path))
+    gate = I.growth_gate(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
     gate.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("session string, event_id bigint, bytes bigint, last_bytes bigint, decision string").parquet(out)
 
@@ -578,6 +584,14 @@ def cron_candidates(spark, d) -> DataFrame:
     return table(spark, d, "sessions").where((at > AS_OF - 60 * 86400) & (at <= AS_OF - 600) & (F.col("n_bytes") >= 4096)).select("session_id", "first_received_at")
 
 
+@query("cron_tick", f"SELECT session_id, n_bytes FROM sessions WHERE epoch_us(first_received_at) / 1e6 > {AS_OF - 7 * 86400 - _DAYS_BACK * 86400} AND epoch_us(first_received_at) / 1e6 <= {AS_OF - 600 - _DAYS_BACK * 86400} AND n_bytes >= 4096 ORDER BY first_received_at DESC, session_id DESC LIMIT 8")
+def cron_tick(spark, d) -> DataFrame:
+    """The eight newest candidates of a tick 100 days before the queries' now, when sessions were coming in."""
+    now = AS_OF - _DAYS_BACK * 86400
+    files = table(spark, d, "sessions").select("session_id", "n_bytes", V.epoch("first_received_at").alias("mtime"))
+    return U.candidates(files, now).orderBy(F.col("mtime").desc(), F.col("session_id").desc()).limit(U.PER_TICK).select("session_id", "n_bytes")
+
+
 @query("newest_session", "SELECT vendor, arg_max(session_id, {'a': first_received_at, 'b': session_id}) AS session_id FROM sessions GROUP BY vendor")
 def newest_session(spark, d) -> DataFrame:
     return table(spark, d, "sessions").groupBy("vendor").agg(F.max_by("session_id", F.struct("first_received_at", "session_id")).alias("session_id"))
@@ -610,19 +624,80 @@ def transcript_format(spark, d) -> DataFrame:
     return rows.select("session_id", "seq", F.concat(F.lit("["), F.coalesce(F.left("event_timestamp", F.lit(19)), F.lit("")), F.lit("] ["), mark, F.lit("]\n"), text).alias("shown"))
 
 
+_RAW_KIND = f"""r AS (SELECT session_id, vendor, seq, event_type, {_KIND} AS k, coalesce(left(event_timestamp, 19), '') AS stamp, coalesce(msg_content, '') AS t FROM tl),
+ p AS (SELECT *, CASE WHEN vendor IN ('omp', 'reasonix') THEN trim(t, ' ' || chr(9) || chr(10) || chr(13)) ELSE t END AS solid FROM r)"""
+
+
+def _vendor_lines(spark, d) -> DataFrame:
+    """The transcript table's rows as the vendors write them: (session_id, line_no, line)."""
+    rows = V.lines(spark, d).withColumn("k", X.line_kind(F.col("event_type"), F.col("msg_role")))
+    text, k, lit, empty = F.coalesce("msg_content", F.lit("")), F.col("k"), F.lit, F.from_json(F.lit("{}"), "x int")
+    s = lambda **kw: F.to_json(F.struct(F.col("event_timestamp").alias("timestamp"), *(v.alias(n) for n, v in kw.items())))
+    o = lambda **kw: F.struct(*(v.alias(n) for n, v in kw.items()))
+    call, other = o(name=lit("t"), arguments=empty), s(type=lit("title"))
+    kinds = lambda user, assistant, reasoning, tool: F.when(k == "user", user).when(k == "assistant", assistant).when(k == "reasoning", reasoning).when(k == "tool_calls", tool).otherwise(other)
+    item = lambda **kw: s(type=lit("response_item"), payload=o(**kw))
+    loop = lambda **kw: s(type=lit("context.append_loop_event"), event=o(**kw))
+    said = lambda role, **block: s(type=lit("message"), message=o(role=lit(role), content=F.array(o(**block))))
+    raw = {
+        "copilot": kinds(
+            s(type=lit("user.message"), data=o(content=text)), s(type=lit("assistant.message"), data=o(content=text)), s(type=lit("assistant.message"), data=o(reasoningText=text)),
+            s(type=F.when(F.col("event_type") == "tool.execution_complete", F.col("event_type")).otherwise("tool.execution_start"), data=o(toolName=lit("t"), arguments=empty)),
+        ),
+        "codex": kinds(
+            *(item(type=lit("message"), role=lit(r), content=F.array(o(type=lit("input_text"), text=text))) for r in ("user", "assistant")),
+            item(type=lit("reasoning"), summary=F.array(o(text=text))), item(type=lit("function_call"), name=lit("t"), arguments=empty),
+        ),
+        "kimi": kinds(
+            s(type=lit("turn.prompt"), input=F.array(o(type=lit("text"), text=text))), loop(type=lit("content.part"), part=o(type=lit("text"), text=text)),
+            loop(type=lit("content.part"), part=o(type=lit("think"), think=text)), loop(type=lit("tool.call"), name=lit("t"), args=empty),
+        ),
+        "grok": kinds(s(type=lit("user"), content=text), s(type=lit("assistant"), content=text), s(type=lit("reasoning"), summary=F.array(text)), s(type=lit("assistant"), tool_calls=F.array(call))),
+        "reasonix": kinds(s(role=lit("user"), raw_content=text), s(role=lit("assistant"), content=text, reasoning_content=lit("")), s(role=lit("assistant"), reasoning_content=text), s(role=lit("tool"), name=lit("t"), tool_call_id=lit("c"), content=text)),
+        "omp": kinds(said("user", type=lit("text"), text=text), said("assistant", type=lit("text"), text=text), said("assistant", type=lit("thinking"), thinking=text), said("assistant", type=lit("toolCall"), name=lit("t"), arguments=empty)),
+    }
+    line = F.lit(None).cast("string")
+    for vendor, made in raw.items():
+        line = F.when(F.col("vendor") == vendor, made).otherwise(line)
+    return rows.select("session_id", F.col("seq").alias("line_no"), line.alias("line"))
+
+
+@query("vendor_counts", f"WITH {V.LINES}, {_RAW_KIND} SELECT session_id, {', '.join(f'count(*) FILTER (k = {k!r} AND (k = {chr(39)}tool_calls{chr(39)} OR solid <> {chr(39)}{chr(39)})) AS {k}' for k in ('user', 'assistant', 'reasoning', 'tool_calls'))}, count(*) AS total_events FROM p GROUP BY session_id")
+def vendor_counts(spark, d) -> DataFrame:
+    lines = _vendor_lines(spark, d)
+    return X.counts(X.events(lines, ["session_id", "line_no"]), lines, "session_id")
+
+
+@query(
+    "vendor_events",
+    f"""WITH {V.LINES}, {_RAW_KIND}, w AS (SELECT *, CASE WHEN vendor = 'omp' THEN solid ELSE t END AS said FROM p WHERE k = 'tool_calls' OR solid <> '')
+ SELECT session_id, seq AS line_no, vendor, k AS kind, md5(CASE WHEN k = 'tool_calls' THEN concat('[', stamp, '] [TOOL ', CASE WHEN event_type = 'tool.execution_complete' AND vendor = 'copilot' THEN '✓' ELSE '→' END, ' t] ',
+   CASE WHEN vendor <> 'reasonix' THEN '{{}}' WHEN solid = '' THEN '(empty)' ELSE trim(left(trim(replace(t, chr(10), ' '), ' ' || chr(9) || chr(13)), 200), ' ' || chr(9) || chr(13)) END)
+  ELSE concat('[', stamp, '] [', CASE k WHEN 'user' THEN 'USER' WHEN 'assistant' THEN 'ASSISTANT' ELSE 'ASSISTANT reasoning' END, ']', chr(10), left(said, CASE k WHEN 'reasoning' THEN 2000 ELSE 3000 END)) END) AS shown_md5 FROM w WHERE k IS NOT NULL""",
+)
+def vendor_events(spark, d) -> DataFrame:
+    """Every part of the six vendors' lines, as it is shown."""
+    return X.events(_vendor_lines(spark, d), ["session_id", "line_no"]).select("session_id", "line_no", "vendor", "kind", F.md5("shown").alias("shown_md5"))
+
+
 @query("jsonl_parse_counts", "SELECT stream_id, count(*) AS n_lines, count(*) FILTER (json_valid(payload)) AS n_events FROM rollout_records GROUP BY stream_id")
 def jsonl_parse_counts(spark, d) -> DataFrame:
     return table(spark, d, "rollout_records").groupBy("stream_id").agg(F.count("*").alias("n_lines"), F.count_if(X.is_event(F.col("payload"))).alias("n_events"))
 
 
-@query("insight_validation", f"WITH {V.EPISODES} SELECT id, title <> '' AND confidence BETWEEN 0 AND 1 AND len(string_split_regex(trim(raw_payload->>'$.evidence'), '\\s+')) BETWEEN 3 AND 25 AND contains(trim(regexp_replace(lower(coalesce(title, '') || ' ' || coalesce(body, '')), '\\s+', ' ', 'g')), trim(regexp_replace(lower(raw_payload->>'$.evidence'), '\\s+', ' ', 'g'))) AS is_valid FROM e WHERE raw_payload IS NOT NULL AND json_valid(raw_payload) AND (raw_payload->>'$.evidence') IS NOT NULL AND category IN ('pattern', 'decision', 'anti-pattern', 'preference', 'tool', 'warning')")
+_SAID = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
+
+
+@query(
+    "insight_validation",
+    f"""WITH {V.EPISODES}, i AS (SELECT *, coalesce(raw_payload->>'$.evidence', '') AS ev, raw_payload->>'$.layer' AS layer, concat(title, ' ', coalesce(body, '')) AS src FROM e WHERE raw_payload IS NOT NULL AND json_valid(raw_payload))
+ SELECT id, coalesce(category IN ('pattern', 'decision', 'anti-pattern', 'preference', 'tool', 'warning') AND layer IN ('user', 'project', 'global', 'working', 'episodic', 'semantic') AND title <> '' AND confidence BETWEEN 0 AND 1
+  AND len(string_split_regex(trim(ev), '\\s+')) BETWEEN 5 AND 25 AND contains({_SAID.format('src')}, {_SAID.format('ev')}), false) AS is_valid FROM i""",
+)
 def insight_validation(spark, d) -> DataFrame:
-    evidence = F.get_json_object("raw_payload", "$.evidence")
-    said = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    source = said(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("body", F.lit(""))))
-    ok = (F.col("title") != "") & F.col("confidence").between(0, 1) & F.size(F.split(F.trim(evidence), r"\s+")).between(3, 25) & source.contains(said(evidence))
-    known = F.col("category").isin("pattern", "decision", "anti-pattern", "preference", "tool", "warning")
-    return V.episodes(spark, d).where(evidence.isNotNull() & known).select("id", ok.alias("is_valid"))
+    rows = V.episodes(spark, d).where(X.is_event(F.col("raw_payload"))).withColumns({k: F.get_json_object("raw_payload", f"$.{k}") for k in ("evidence", "layer")})
+    rows = rows.withColumn("evidence", F.coalesce("evidence", F.lit("")))
+    return rows.select("id", F.coalesce(N.is_valid(F.concat("title", F.lit(" "), F.coalesce("body", F.lit("")))), F.lit(False)).alias("is_valid"))
 
 
 @query("budget_window", "SELECT doc_id, CASE WHEN length(text) <= 500 THEN text ELSE concat('[~', length(text) - 500 + greatest(pos - 1, 0), ' chars of older transcript omitted]', chr(10), substr(w, greatest(pos, 1))) END AS shown FROM (SELECT doc_id, text, right(text, 500) AS w, CASE WHEN starts_with(m, chr(10)) THEN strpos(right(text, 500), m) + 1 WHEN m <> '' THEN strpos(right(text, 500), m) ELSE 0 END AS pos FROM (SELECT doc_id, text, regexp_extract(right(text, 500), '(^|\\n)\\[[^\\]]+\\] \\[(USER|ASSISTANT)\\]') AS m FROM documents))")
@@ -647,13 +722,31 @@ _MENTION_ROWS = f"""l AS (SELECT project_id, id, created_at, unnest(string_split
  q AS (SELECT project_id, path, min({{'a': -created_at, 'b': id, 'c': line_no, 'd': ext_no}}) AS pos FROM x WHERE path IS NOT NULL GROUP BY project_id, path)"""
 
 
-@query("working_set", f"WITH {V.EPISODES}, {_MENTION_ROWS} SELECT project_id, path, k AS place FROM (SELECT project_id, path, row_number() OVER (PARTITION BY project_id ORDER BY pos, path) AS k FROM q) WHERE k <= 20")
+_CHANGED = """z AS (SELECT project_id, concat(cwd, '/', replace(session_id, '-', '/'), CASE WHEN is_subagent THEN '.py' ELSE '.md' END) AS path, epoch_us(first_received_at) / 1e6 AS mt FROM sessions WHERE project_id IS NOT NULL),
+ c AS (SELECT project_id, 'src/' || lang || '_' || (doc_id % 40) || '.py' AS path, doc_id FROM documents WHERE project_id IS NOT NULL)"""
+
+
+@query(
+    "working_set",
+    f"""WITH {V.EPISODES}, {_MENTION_ROWS}, {_CHANGED},
+ m AS (SELECT project_id, path, 0 AS p, row_number() OVER (PARTITION BY project_id ORDER BY mt DESC, path) AS k FROM z WHERE mt >= {AS_OF - 60 * 86400}
+  UNION ALL SELECT project_id, path, 1, row_number() OVER (PARTITION BY project_id ORDER BY max(doc_id) DESC, path) FROM c WHERE path IS NOT NULL GROUP BY project_id, path
+  UNION ALL SELECT project_id, path, 2, row_number() OVER (PARTITION BY project_id ORDER BY pos, path) FROM q),
+ o AS (SELECT project_id, path, min({{'p': p, 'k': k}}) AS best FROM m GROUP BY project_id, path)
+ SELECT project_id, path, priority, place FROM (SELECT project_id, path, best.p AS priority, row_number() OVER (PARTITION BY project_id ORDER BY best, path) AS place FROM o) WHERE place <= 20""",
+)
 def working_set(spark, d) -> DataFrame:
+    sessions = table(spark, d, "sessions").where("project_id is not null")
+    path = F.concat("cwd", F.lit("/"), F.replace("session_id", F.lit("-"), F.lit("/")), F.when(F.col("is_subagent"), ".py").otherwise(".md"))
+    seen = sessions.select("project_id", path.alias("path"), V.epoch("first_received_at").alias("mtime"))
+    changed = U.ranked(U.recent_files(seen, AS_OF, 60 * 86400, folders=None), [F.col("mtime").desc()])
+    docs = table(spark, d, "documents").where("project_id is not null")
+    committed = docs.select("project_id", F.concat(F.lit("src/"), "lang", F.lit("_"), (F.col("doc_id") % 40).cast("string"), F.lit(".py")).alias("path"), "doc_id").where("path is not null")
+    committed = U.ranked(committed.groupBy("project_id", "path").agg(F.max("doc_id").alias("doc_id")), [F.col("doc_id").desc()])
     rows = V.episodes(spark, d).where("kind in ('working', 'episodic')")
     pos = F.struct((-F.col("created_at")).alias("a"), F.col("id").alias("b"), F.col("line_no").alias("c"), F.col("ext_no").alias("d"))
-    mentioned = U.file_mentions(rows).groupBy("project_id", "path").agg(F.min(pos).alias("pos"))
-    none = mentioned.where("false")
-    return U.working_set(none, none, mentioned).select("project_id", "path", F.col("place").cast("bigint").alias("place"))
+    mentioned = U.ranked(U.file_mentions(rows).groupBy("project_id", "path").agg(F.min(pos).alias("at")), [F.col("at")])
+    return U.working_set(changed, committed, mentioned).select("project_id", "path", "priority", F.col("place").cast("bigint").alias("place"))
 
 
 @query("union_streams", f"WITH {V.EPISODES} SELECT id, kind FROM (SELECT id, kind, row_number() OVER (PARTITION BY kind ORDER BY created_at DESC, id) AS k FROM e WHERE kind IN ('working', 'episodic')) WHERE k <= CASE kind WHEN 'working' THEN 50 ELSE 20 END")
@@ -681,24 +774,80 @@ def archive_cleanup(spark, d) -> DataFrame:
     return U.to_remove(_files(spark, d)).select("path", "reason")
 
 
-@query("archive_scan", "SELECT doc_id, regexp_extract(text, '(?s)^---\\n(.*?)\\n---\\n', 1) <> '' AS has_head, nullif(trim(regexp_extract(regexp_extract(text, '(?s)^---\\n(.*?)\\n---\\n', 1), '(?m)^project:(.*)$', 1)), '') AS project FROM documents WHERE category IS NOT NULL")
+@query("archive_scan", "SELECT doc_id, regexp_extract(text, '(?s)^---\\n(.*?)\\n---\\n', 1) <> '' AS has_head, nullif(trim(regexp_extract(regexp_extract(text, '(?s)^---\\n(.*?)\\n---\\n', 1), '(?m)^project:(.*)$', 1)), '') AS project FROM documents")
 def archive_scan(spark, d) -> DataFrame:
-    files = table(spark, d, "documents").where("category is not null").select("doc_id", "text", "category", F.col("doc_id").cast("string").alias("path"))
+    files = table(spark, d, "documents").select("doc_id", "text", "category", F.col("doc_id").cast("string").alias("path"))
     return A.scan(files).select("doc_id", F.col("head").isNotNull().alias("has_head"), F.try_element_at("head", F.lit("project")).alias("project"))
 
 
-@query("frontmatter_migrate", "SELECT session_id, concat_ws(chr(10), 'type: decision', concat('date: ', strftime(first_received_at, '%Y-%m-%d')), concat('timestamp: ', strftime(first_received_at, '%Y-%m-%d'), 'T00:00:00+00:00'), concat('project: ', coalesce(project_id, 'default')), concat('workspace: ', project_id, '.code-workspace'), 'confidence: medium', 'assistant: assistant', 'mood: calm') AS head FROM sessions WHERE project_id IS NOT NULL")
+@query("frontmatter_migrate", "SELECT session_id, concat_ws(chr(10), 'type: decision', concat('date: ', strftime(first_received_at, '%Y-%m-%d')), concat('timestamp: ', strftime(first_received_at, '%Y-%m-%d'), 'T00:00:00+00:00'), concat('project: ', coalesce(project_id, 'default')), 'workspace: ' || project_id || '.code-workspace', 'confidence: medium', 'assistant: assistant', 'mood: calm') AS head FROM sessions")
 def frontmatter_migrate(spark, d) -> DataFrame:
     old = F.create_map(
         F.lit("date"), F.date_format("first_received_at", "yyyy-MM-dd"), F.lit("type"), F.lit("decision"), F.lit("mood"), F.lit("calm"), F.lit("workspace"), F.concat("project_id", F.lit(".code-workspace"))
     )
-    return table(spark, d, "sessions").where("project_id is not null").select("session_id", A.migrated(old).alias("head"))
+    return table(spark, d, "sessions").select("session_id", A.migrated(old).alias("head"))
+
+
+_ISO = "strftime(make_timestamp(CAST(floor(created_at) AS BIGINT) * 1000000), '{}')"
+_SLUG = "left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[\\s_]', '-', 'g'), '[^\\p{L}\\p{N}-]', '', 'g'), '-{2,}', '-', 'g'), '^-+|-+$', '', 'g'), 40)"
 
 
 @query(
     "markdown_render",
-    f"""WITH {V.EPISODES} SELECT id, strftime(make_timestamp(CAST(floor(created_at) AS BIGINT) * 1000000), '%Y-%m-%d') || '-' || left(id, 8) || '-' AS prefix, CAST(length(concat_ws(chr(10), '---', concat('type: ', coalesce(category, 'neutral')), 'date: 2026-01-01', 'timestamp: 2026-01-01T00:00:00+00:00', concat('project: ', project_id), concat('confidence: ', CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.4 THEN 'medium' ELSE 'low' END), concat('kind: ', kind), '---', '', concat('# ', title), '', rtrim(coalesce(body, '')), '', concat('Source: ', source_type, ' | Episode: ', id))) AS BIGINT) AS n_chars FROM e""",
+    f"""WITH {V.EPISODES} SELECT id, concat({_ISO.format('%Y-%m-%d')}, '-', left(id, 8), '-', CASE WHEN {_SLUG} = '' THEN 'untitled' ELSE {_SLUG} END, '.md') AS file_name,
+ md5(concat_ws(chr(10), '---', concat('type: ', coalesce(category, 'neutral')), concat('date: ', {_ISO.format('%Y-%m-%d')}), concat('timestamp: ', {_ISO.format('%Y-%m-%dT%H:%M:%S')}, '+00:00'), 'project: ' || project_id, concat('confidence: ', CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.4 THEN 'medium' ELSE 'low' END), concat('kind: ', kind), '---', '', concat('# ', title), '', rtrim(coalesce(body, '')), '', concat('Source: ', source_type, ' | Episode: ', id))) AS text_md5 FROM e""",
 )
 def markdown_render(spark, d) -> DataFrame:
-    out = A.render(V.episodes(spark, d))
-    return out.select("id", F.regexp_extract("file_name", r"^(\d{4}-\d{2}-\d{2}-.{8}-)", 1).alias("prefix"), F.char_length("text").cast("bigint").alias("n_chars"))
+    return A.render(V.episodes(spark, d)).select("id", "file_name", F.md5("text").alias("text_md5"))
+
+
+@query("markdown_export", f"WITH {V.EPISODES} SELECT CASE WHEN coalesce(category, '') = '' THEN 'neutral' WHEN category IN ('anti-pattern', 'antipattern') THEN 'anti_pattern' WHEN category = 'bugfix' THEN 'fix' ELSE replace(category, '-', '_') END AS category, concat({_ISO.format('%Y-%m-%d')}, '-', left(id, 8), '-', CASE WHEN {_SLUG} = '' THEN 'untitled' ELSE {_SLUG} END, '.md') AS name, trim(title) AS title FROM e")
+def markdown_export(spark, d) -> DataFrame:
+    """All files written to a folder and read back from it."""
+    folder = scratch_path(spark, "archive")
+    A.write(A.render(V.episodes(spark, d)), folder)
+    return A.scan(A.read(spark, folder)).select("category", F.element_at(F.split("path", "/"), -1).alias("name"), "title")
+
+
+_NAMED = "(SELECT id FROM e WHERE starts_with(id, 'a') OR pinned)"
+
+
+@query("forget_guard", f"WITH {V.EPISODES} SELECT id, CASE WHEN pinned THEN 'pinned' ELSE 'forgotten' END AS outcome FROM e WHERE starts_with(id, 'a') OR pinned UNION ALL SELECT 'no such id', 'unknown'")
+def forget_guard(spark, d) -> DataFrame:
+    rows = V.episodes(spark, d)
+    ids = rows.where("id like 'a%' or pinned").select("id").unionByName(spark.range(1).select(F.lit("no such id").alias("id")))
+    return E.forget(rows, ids, AS_OF)[1]
+
+
+@query("lifecycle", f"WITH {V.EPISODES}, m AS {_NAMED} SELECT id, CASE WHEN id IN (SELECT id FROM m) THEN 'semantic' ELSE kind END AS kind, coalesce(pinned, false) OR id IN (SELECT id FROM m) AS pinned, CASE WHEN id IN (SELECT id FROM m) AND NOT coalesce(pinned, false) THEN {AS_OF} ELSE expires_at END AS expires_at FROM e")
+def lifecycle(spark, d) -> DataFrame:
+    """Forget, then promote and pin the same episodes: pinned ones aren't forgotten."""
+    rows = V.episodes(spark, d)
+    ids = rows.where("id like 'a%' or pinned").select("id")
+    left = E.pin(E.set_kind(E.forget(rows, ids, AS_OF)[0], ids, "semantic", AS_OF), ids)
+    return left.select("id", "kind", F.coalesce("pinned", F.lit(False)).alias("pinned"), "expires_at")
+
+
+@query("event_append", f"WITH {V.LOG}, n AS (SELECT (SELECT max(event_id) FROM lg) + row_number() OVER (ORDER BY captured_at, event_id) AS event_id, captured_at FROM lg WHERE source_type = 'transcript') SELECT event_id, captured_at FROM n")
+def event_append(spark, d) -> DataFrame:
+    """New events with a complete payload get the log's next numbers; those without one are turned away."""
+    log = V.log(spark, d).withColumn("source_ref", F.col("event_id").cast("string")).select("event_id", "project_id", "source_type", "source_ref", "captured_at", "payload")
+    full = F.to_json(F.struct(*(F.lit(1).alias(k) for k in L.REQUIRED["transcript"])))
+    new = log.where("source_type in ('transcript', 'git.commit')").withColumn("payload", F.when(F.col("source_type") == "transcript", full).otherwise("{}"))
+    after, refused = L.append(log, new)
+    last = log.agg(F.max("event_id")).first()[0]
+    return after.where(F.col("event_id") > last).select("event_id", "captured_at")
+
+
+@query("has_event", f"WITH {V.LOG}, k AS (SELECT project_id, source_type, CASE WHEN event_id % 3 = 0 THEN NULL ELSE session END AS ref, event_id FROM lg) SELECT DISTINCT w.project_id, w.source_type, w.ref AS source_ref, EXISTS (SELECT 1 FROM k WHERE event_id % 2 = 0 AND k.project_id = w.project_id AND k.source_type = w.source_type AND k.ref IS NOT DISTINCT FROM w.ref) AS is_known FROM k w")
+def has_event(spark, d) -> DataFrame:
+    ref = F.when(F.col("event_id") % 3 != 0, F.col("session"))
+    rows = V.log(spark, d).select("event_id", "project_id", "source_type", ref.alias("source_ref"))
+    return L.has_event(rows.where("event_id % 2 = 0"), rows.drop("event_id").distinct())
+
+
+@query("session_resolution", "WITH a AS (SELECT left(session_id, 6) AS asked FROM sessions UNION SELECT session_id FROM sessions UNION SELECT left(session_id, 1) FROM sessions UNION SELECT 'zzz'), m AS (SELECT asked, list_sort(list(session_id)) AS l, bool_or(session_id = asked) AS exact FROM a JOIN sessions ON starts_with(session_id, asked) GROUP BY asked) SELECT asked, CASE WHEN exact THEN asked WHEN len(l) = 1 THEN l[1] END AS session_id, CASE WHEN exact OR len(l) = 1 THEN 'found' WHEN l IS NULL THEN 'not found' ELSE 'ambiguous' END AS outcome, CASE WHEN NOT exact AND len(l) > 1 THEN array_to_string(l[1:5], ',') END AS candidates FROM a LEFT JOIN m USING (asked)")
+def session_resolution(spark, d) -> DataFrame:
+    ids = table(spark, d, "sessions").select("session_id")
+    asked = ids.select(F.left("session_id", F.lit(6)).alias("asked")).union(ids).union(ids.select(F.left("session_id", F.lit(1)))).union(spark.range(1).select(F.lit("zzz"))).distinct()
+    return M.resolve(asked, ids).select("asked", "session_id", "outcome", F.array_join("candidates", ",").alias("candidates"))

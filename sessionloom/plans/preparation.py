@@ -2,46 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.operators import drift, hierarchy, nested, ordering, timestamps
-from sessionloom.runtime import materialise, table
+from sessionloom.runtime import materialise, shared_dir, table
 
 
-def line_instants(spark: SparkSession, sf_dir: str, dictionary: timestamps.StampDictionary, *extra: str) -> DataFrame:
+def dictionary(spark: SparkSession) -> timestamps.StampDictionary:
+    """The dictionary of stamps that all queries of a session share and extend."""
+    return timestamps.StampDictionary(spark, f"{shared_dir(spark).rstrip('/')}/stamp-dictionary-{spark.sparkContext.applicationId}")
+
+
+def line_instants(spark: SparkSession, sf_dir: str, stamps: timestamps.StampDictionary, *extra: str) -> DataFrame:
     """Each transcript line's key columns with its instant; the host's zone comes from ``sessions``."""
     zones = table(spark, sf_dir, "sessions").groupBy("session_id").agg(F.first("tz_name", ignorenulls=True).alias("tz_name"))
     rows = table(spark, sf_dir, "transcript_lines").select("session_id", "id", "seq", "event_timestamp", *extra)
-    return timestamps.normalise(rows.join(zones, "session_id", "left"), "event_timestamp", "tz_name", "lines", dictionary)
+    return timestamps.normalise(rows.join(zones, "session_id", "left"), "event_timestamp", "tz_name", "lines", stamps)
 
 
-def episode_instants(spark: SparkSession, sf_dir: str, dictionary: timestamps.StampDictionary) -> DataFrame:
+def episode_instants(spark: SparkSession, sf_dir: str, stamps: timestamps.StampDictionary) -> DataFrame:
     zones = table(spark, sf_dir, "projects").groupBy("project_id").agg(F.first("tz_name", ignorenulls=True).alias("tz_name"))
     rows = table(spark, sf_dir, "episodes").select("id", "project_id", "created_at", "updated_at")
-    return timestamps.normalise(rows.join(zones, "project_id", "left"), "created_at", "tz_name", "episodes", dictionary)
+    return timestamps.normalise(rows.join(zones, "project_id", "left"), "created_at", "tz_name", "episodes", stamps)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose instant contradicts its neighbour: earlier than the preceding line, or created after the update."""
-    dictionary = timestamps.StampDictionary(spark)
+    stamps = dictionary(spark)
     lines = materialise(
-        line_instants(spark, sf_dir, dictionary).where("session_id is not null and seq is not null").select("session_id", "id", "seq", "instant"),
+        line_instants(spark, sf_dir, stamps).where("session_id is not null and seq is not null").select("session_id", "id", "seq", "instant"),
         "line-instants",
     )
     back = ordering.with_previous(lines, "session_id", ["seq"], "instant", "previous", F.floor(F.col("seq") / ordering.BLOCK_ROWS)).where("instant < previous")
-    late = episode_instants(spark, sf_dir, dictionary).where(F.unix_micros("instant") > F.col("updated_at") * 1e6)
+    late = episode_instants(spark, sf_dir, stamps).where(F.unix_micros("instant") > F.col("updated_at") * 1e6)
     return back.select(F.lit("transcript_lines").alias("tbl"), "id").unionByName(late.select(F.lit("episodes").alias("tbl"), "id")).distinct()
 
 
 def p1_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One instant, or null and the reason, per record of both tables."""
-    dictionary = timestamps.StampDictionary(spark)
-    lines = line_instants(spark, sf_dir, dictionary).select(F.lit("transcript_lines").alias("tbl"), "id", "instant", "stamp_status")
-    notes = episode_instants(spark, sf_dir, dictionary).select(F.lit("episodes").alias("tbl"), "id", "instant", "stamp_status")
+    stamps = dictionary(spark)
+    lines = line_instants(spark, sf_dir, stamps).select(F.lit("transcript_lines").alias("tbl"), "id", "instant", "stamp_status")
+    notes = episode_instants(spark, sf_dir, stamps).select(F.lit("episodes").alias("tbl"), "id", "instant", "stamp_status")
     return lines.unionByName(notes).distinct()
 
 
+def p1_micros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instant of every record in microseconds since 1970, null where none can be told."""
+    return p1_instants(spark, sf_dir).select("tbl", "id", F.unix_micros("instant").alias("us")).distinct()
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records that lie on a cycle of parent links or whose parents lead into one."""
     lines = table(spark, sf_dir, "transcript_lines")
@@ -56,6 +66,25 @@ def p3_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.withColumnsRenamed({"grp": "session_id", "node": "id"})
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records whose relations are asked for: those of lines with a number divisible by 50."""
+    return table(spark, sf_dir, "transcript_lines").where("line_id % 50 = 0 and session_id is not null and id is not null").select(F.col("session_id").alias("grp"), F.col("id").alias("node")).distinct()
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(hierarchy.nested_sets(table(spark, sf_dir, "transcript_lines"), "session_id", "id", "parent_id", "seq"), "places")
+
+
+def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descendants of the records asked for."""
+    return hierarchy.descendants(_places(spark, sf_dir), _asked(spark, sf_dir)).withColumnsRenamed({"grp": "session_id", "node": "id"})
+
+
+def p3_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ancestors of the records asked for."""
+    return hierarchy.ancestors(_places(spark, sf_dir), _asked(spark, sf_dir)).withColumnsRenamed({"grp": "session_id", "node": "id"})
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every change of the payload's fields between consecutive files of a stream."""
     return drift.changes(table(spark, sf_dir, "rollout_records"))
@@ -78,9 +107,28 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.content_elements(_message_nodes(spark, sf_dir, nested.CONTENT)).select("id", "block_path").distinct()
 
 
+def _members(fields: Column) -> Column:
+    """An object's scalar members as JSON, by name."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(fields))))
+
+
 def p7_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per readable message, with the scalar members of its root."""
-    return nested.table_of(_message_nodes(spark, sf_dir, "^$"), "^$").select("id", "node_kind", F.col("fields")["role"].alias("role")).distinct()
+    """One row per readable message, with its role and all scalar members of its root."""
+    roots = nested.table_of(_message_nodes(spark, sf_dir, "^$"), "^$")
+    return roots.select("id", "node_kind", F.col("fields")["role"].alias("role"), _members(F.col("fields")).alias("members")).distinct()
+
+
+def p7_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the tables of all schema paths, each with its link to the row above."""
+    rows = nested.flat(_message_nodes(spark, sf_dir))
+    return rows.select("id", "table_path", "node", "parent", "place", _members(F.col("fields")).alias("members"), F.col("node_value").alias("item")).distinct()
+
+
+def p7_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables' scalar columns, and in how many rows each stands."""
+    rows = nested.flat(_message_nodes(spark, sf_dir))
+    fields = rows.select("table_path", F.explode(F.map_keys("fields")).alias("column_name"))
+    return fields.groupBy("table_path", "column_name").agg(F.count("*").alias("n_rows"))
 
 
 def p7_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +171,13 @@ STAMPS_SQL = f"""s0 AS (SELECT DISTINCT raw, tz, trim(raw) AS s FROM (SELECT eve
   WHEN ab <> '' THEN epoch_us(w) - CAST(map {{'CET': 1, 'CEST': 2, 'EST': -5, 'EDT': -4, 'PST': -8, 'PDT': -7, 'GMT': 0}}[ab] AS BIGINT) * 3600000000
   WHEN timezone(z, u) = w AND timezone(z, u + INTERVAL 1 HOUR) <> w AND timezone(z, u - INTERVAL 1 HOUR) <> w THEN epoch_us(u) + CAST(rpad(coalesce(fr, ''), 6, '0') AS BIGINT) END AS us FROM s5)"""
 
+#: Each record once, with its order and whether its parent is there; and the records asked for that hang from a root.
+_LINKS_SQL = """n0 AS MATERIALIZED (SELECT session_id, id, min({'o': seq, 'a': parent_id}) AS m FROM transcript_lines WHERE session_id IS NOT NULL AND id IS NOT NULL GROUP BY ALL),
+ n1 AS (SELECT session_id, id, m.a AS above, m.o AS ord FROM n0),
+ n AS MATERIALIZED (SELECT *, EXISTS (SELECT 1 FROM n0 p WHERE p.session_id = n1.session_id AND p.id = n1.above) AS there FROM n1)"""
+_PLACED_SQL = """ok AS MATERIALIZED (SELECT session_id, id FROM n WHERE NOT there UNION ALL SELECT n.session_id, n.id FROM n JOIN ok ON ok.session_id = n.session_id AND ok.id = n.above),
+ q AS (SELECT DISTINCT session_id, id FROM transcript_lines JOIN ok USING (session_id, id) WHERE line_id % 50 = 0)"""
+
 SQL = {
     "p1_found": f"""WITH {STAMPS_SQL},
  l AS (SELECT DISTINCT session_id, seq, id, us FROM transcript_lines LEFT JOIN sessions USING (session_id) JOIN stamps ON raw = event_timestamp AND tz IS NOT DISTINCT FROM tz_name WHERE us IS NOT NULL),
@@ -134,6 +189,25 @@ SQL = {
  ok AS (SELECT session_id, id FROM n WHERE NOT EXISTS (SELECT 1 FROM n p WHERE p.session_id = n.session_id AND p.id = n.parent_id)
   UNION SELECT n.session_id, n.id FROM n JOIN ok ON ok.session_id = n.session_id AND ok.id = n.parent_id)
  SELECT DISTINCT id FROM n WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.session_id = n.session_id AND ok.id = n.id)""",
+    "p1_micros": f"""WITH {STAMPS_SQL}
+ SELECT DISTINCT 'transcript_lines' AS tbl, id, us FROM transcript_lines LEFT JOIN sessions USING (session_id) LEFT JOIN stamps ON raw = event_timestamp AND tz IS NOT DISTINCT FROM tz_name
+ UNION SELECT 'episodes', id, us FROM episodes LEFT JOIN projects USING (project_id) LEFT JOIN stamps ON raw = created_at AND tz IS NOT DISTINCT FROM tz_name""",
+    # Preorder is the order of the ways from the root, siblings by seq and id.
+    "p3_hierarchy": f"""WITH RECURSIVE {_LINKS_SQL},
+ w AS (SELECT session_id, id, 0 AS depth, id AS root, [{{'o': ord, 'i': id}}] AS way, CASE WHEN above IS NULL THEN 'root' ELSE 'orphan' END AS link FROM n WHERE NOT there
+  UNION ALL SELECT n.session_id, n.id, w.depth + 1, w.root, list_append(w.way, {{'o': ord, 'i': n.id}}), 'child' FROM n JOIN w ON n.session_id = w.session_id AND n.above = w.id),
+ p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY way) - 1 AS range_start FROM w),
+ k AS (SELECT session_id, x.i AS id, count(*) - 1 AS below FROM (SELECT session_id, unnest(way) AS x FROM w) GROUP BY ALL),
+ stuck AS MATERIALIZED (SELECT * FROM n ANTI JOIN w USING (session_id, id)),
+ u AS (SELECT session_id, id, above AS at FROM stuck UNION SELECT u.session_id, u.id, s.above FROM u JOIN stuck s ON s.session_id = u.session_id AND s.id = u.at)
+ SELECT session_id, p.id, link, root, CAST(depth AS BIGINT) AS depth, CAST(range_start AS BIGINT) AS range_start, below AS n_descendants, array_to_string(list_transform(way, lambda x: x.i), '/') AS path FROM p JOIN k USING (session_id, id)
+ UNION ALL SELECT session_id, id, CASE WHEN EXISTS (SELECT 1 FROM u WHERE u.session_id = stuck.session_id AND u.id = stuck.id AND u.at = stuck.id) THEN 'cycle' ELSE 'below-cycle' END, NULL, NULL, NULL, NULL, NULL FROM stuck""",
+    "p3_descendants": f"""WITH RECURSIVE {_LINKS_SQL}, {_PLACED_SQL},
+ d AS (SELECT q.session_id, q.id, n.id AS descendant FROM q JOIN n ON n.session_id = q.session_id AND n.above = q.id UNION ALL SELECT d.session_id, d.id, n.id FROM d JOIN n ON n.session_id = d.session_id AND n.above = d.descendant)
+ SELECT * FROM d""",
+    "p3_ancestors": f"""WITH RECURSIVE {_LINKS_SQL}, {_PLACED_SQL},
+ a AS (SELECT q.session_id, q.id, n.above AS ancestor FROM q JOIN n ON n.session_id = q.session_id AND n.id = q.id WHERE n.there UNION ALL SELECT a.session_id, a.id, n.above FROM a JOIN n ON n.session_id = a.session_id AND n.id = a.ancestor WHERE n.there)
+ SELECT * FROM a""",
     "p5_found": """WITH f AS (SELECT DISTINCT stream_id, event_type, file_no, payload FROM rollout_records WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
  k AS (SELECT *, unnest(json_keys(payload)) AS field FROM f),
  v AS (SELECT stream_id, event_type, file_no, field, json_extract(payload, concat('$."', field, '"')) AS value FROM k),

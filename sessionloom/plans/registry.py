@@ -9,12 +9,17 @@ def queries() -> dict:
     return engine.QUERIES | {
         "p1_found": preparation.p1_found,
         "p1_instants": preparation.p1_instants,
+        "p1_micros": preparation.p1_micros,
         "p3_found": preparation.p3_found,
+        "p3_descendants": preparation.p3_descendants,
+        "p3_ancestors": preparation.p3_ancestors,
         "p3_hierarchy": preparation.p3_hierarchy,
         "p5_found": preparation.p5_found,
         "p5_unified": preparation.p5_unified,
         "p7_found": preparation.p7_found,
         "p7_messages": preparation.p7_messages,
+        "p7_tables": preparation.p7_tables,
+        "p7_columns": preparation.p7_columns,
         "p7_elements": preparation.p7_elements,
         "p7_tool_calls": preparation.p7_tool_calls,
     }

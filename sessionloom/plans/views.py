@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.operators import episodes as E
-from sessionloom.runtime import table
+from sessionloom.operators import recall as Q
+from sessionloom.operators import timestamps
+from sessionloom.plans import preparation
+from sessionloom.runtime import shared_path, shared_table, table
 
 #: The time of all queries: 1 June 2026, UTC, after the last row.
 AS_OF = 1780272000.0
 
-#: Created_at is spelt in many ways there (problem 1), so the clean updated_at stands for it.
-EPISODES = """e AS (SELECT * EXCLUDE (rn) REPLACE (updated_at AS created_at) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(access_count, -1) DESC, updated_at DESC) AS rn FROM episodes) WHERE rn = 1)"""
+#: One row per id, the most accessed copy; created_at is the stamp's instant (problem 1), and updated_at where none can be told.
+EPISODES = f"""{preparation.STAMPS_SQL},
+ e AS (SELECT o.* EXCLUDE (rn) REPLACE (coalesce(us / 1e6, updated_at) AS created_at) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(access_count, -1) DESC, updated_at DESC) AS rn FROM episodes) o
+  LEFT JOIN projects p ON p.project_id = o.project_id LEFT JOIN stamps ON raw = created_at AND tz IS NOT DISTINCT FROM p.tz_name WHERE rn = 1)"""
 
 LOG = """lg AS (SELECT event_id, concat('p', user_id % 10) AS project_id,
  CASE event_type WHEN 'click' THEN 'transcript' WHEN 'view' THEN 'git.commit' WHEN 'purchase' THEN 'transcript.classified' WHEN 'error' THEN 'transcript.failed' ELSE 'manual' END AS source_type,
@@ -26,9 +31,21 @@ def epoch(name: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST({name} AS TIMESTAMP_NTZ))") / 1e6
 
 
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = E.latest(table(spark, sf_dir, "episodes"))
+    zones = table(spark, sf_dir, "projects").groupBy("project_id").agg(F.first("tz_name", ignorenulls=True).alias("tz_name"))
+    timed = timestamps.normalise(once.join(zones, "project_id", "left"), "created_at", "tz_name", "episodes", preparation.dictionary(spark))
+    return timed.withColumn("created_at", F.coalesce(F.unix_micros("instant") / 1e6, "updated_at")).select(*once.columns)
+
+
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = E.latest(table(spark, sf_dir, "episodes"), copies_agree=True)  # they differ in access_count alone
-    return rows.withColumn("created_at", F.col("updated_at"))
+    """The store of episodes: one row per id with its parsed time, made once per session."""
+    return shared_table(spark, "episodes", f"{sf_dir}/episodes.parquet", lambda: _parsed(spark, sf_dir))
+
+
+def index(spark: SparkSession, sf_dir: str) -> Q.SearchIndex:
+    """The episodes' search index, made once per session."""
+    return Q.episode_index(episodes(spark, sf_dir), shared_path(spark, "episode-index", f"{sf_dir}/episodes.parquet"))
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:

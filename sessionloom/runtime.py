@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import io
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,6 +78,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a written table lies at ``path``, whole."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
+def shared_table(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table made once per session from the file or folder ``source`` as it is now, and read by all later queries."""
+    path = shared_path(spark, name, source)
+    if not exists(spark, path):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def shared_path(spark: SparkSession, name: str, source: str) -> str:
+    """Where this session keeps what it made of ``source``; another state of the source has another path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    changed = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime()
+    state = hashlib.sha256(f"{source}|{changed}".encode()).hexdigest()[:16]
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{state}"
+    plain = path.removeprefix("file://")
+    if os.path.isabs(plain) and plain not in _made:
+        _made.append(plain)
+    return path
+
+
 _shipped: set[str] = set()
 
 

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from pathlib import Path
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionloom import runtime
 from sessionloom.functions import text as T
 
 # The order of the head's keys.
@@ -73,5 +80,24 @@ def render(rows: DataFrame) -> DataFrame:
 
 
 def write(rendered: DataFrame, folder: str) -> None:
-    """One text file per episode and category folder; the path decides the name, so writing again changes nothing."""
-    rendered.select("subdir", F.col("text").alias("value")).write.mode("overwrite").partitionBy("subdir").text(folder)
+    """One text file ``folder/<subdir>/<file_name>`` per episode, written by the tasks to any file system that all of them reach.
+
+    The path decides the name, so writing again, or running a task twice,
+    writes the same file again. Two episodes of one path are written as one,
+    the one with the smaller id.
+    """
+    once = rendered.groupBy("subdir", "file_name").agg(F.min_by("text", "id").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        disk, root = fs.FileSystem.from_uri(folder if "://" in folder else Path(folder).absolute().as_uri())
+        for b in batches:
+            for subdir, name, text in zip(*(b.column(c).to_pylist() for c in ("subdir", "file_name", "text"))):
+                disk.create_dir(f"{root}/{subdir}", recursive=True)
+                part = f"{root}/{subdir}/.{uuid.uuid4().hex}"
+                with disk.open_output_stream(part) as out:
+                    out.write(text.encode())
+                disk.move(part, f"{root}/{subdir}/{name}")
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    runtime.ship(rendered.sparkSession)
+    once.mapInArrow(run, "n bigint").agg(F.sum("n")).collect()

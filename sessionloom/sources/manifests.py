@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SESSION_IDS = ("file_stem", "parent_dir", "kimi_session_dir")
@@ -101,3 +101,45 @@ def subagent_sessions(lines: DataFrame, key: str, first_lines: int = 20) -> Data
 def main_sessions(sessions: DataFrame, flagged: DataFrame, key: str) -> DataFrame:
     """Sessions to index: none started by another, and no sidecar files."""
     return sessions.where(~F.col("path").rlike(r"\.(events|conflicts)\.jsonl$")).join(flagged, key, "left_anti")
+
+
+def resolve(asked: DataFrame, sessions: DataFrame, shown: int = 5) -> DataFrame:
+    """(asked, session_id, outcome, candidates): each wanted id as the whole id or the only session that begins with it.
+
+    outcome is found, not found or ambiguous; of ambiguous ones the first
+    ``shown`` candidates by name are listed. A session offers its own prefixes
+    of the lengths asked for, so the two meet by equality.
+    """
+    wanted = asked.select("asked").where("asked <> ''").distinct()
+    lengths = F.broadcast(wanted.select(F.char_length("asked").alias("n")).distinct().agg(F.collect_set("n").alias("ns")))  # no more than an id has letters
+    ids = sessions.where("session_id is not null").select("session_id").distinct().join(lengths)
+    offered = ids.select("session_id", F.explode("ns").alias("n")).where(F.col("n") <= F.char_length("session_id")).select("session_id", F.left("session_id", F.col("n")).alias("asked"))
+    met = offered.join(wanted, "asked").withColumn("k", F.row_number().over(Window.partitionBy("asked").orderBy((F.col("session_id") != F.col("asked")), "session_id")))
+    first = met.where(F.col("k") <= shown + 1).groupBy("asked").agg(F.array_sort(F.collect_list("session_id")).alias("found"), F.max(F.col("session_id") == F.col("asked")).alias("exact"))
+    full, one = wanted.join(first, "asked", "left"), F.coalesce("exact", F.lit(False)) | (F.size("found") == 1)
+    return full.select(
+        "asked", F.when(F.col("exact"), F.col("asked")).when(F.size("found") == 1, F.col("found")[0]).alias("session_id"),
+        F.when(F.col("found").isNull(), "not found").when(one, "found").otherwise("ambiguous").alias("outcome"),
+        F.when(F.col("found").isNotNull() & ~one, F.slice("found", 1, shown)).alias("candidates"),
+    )
+
+
+def grok_subagents(summaries: DataFrame, key: str) -> DataFrame:
+    """Keys of sessions whose summary (column ``summary``, JSON) names a parent or a helper's task."""
+    get = lambda p: F.coalesce(F.get_json_object("summary", p), F.lit(""))
+    said = get("$.session_summary")
+    served = ~get("$.parent_session_id").isin("", "false", "0") | said.contains("Harness") | said.contains("Goal Plan Writer") | F.lower(said).contains("verifier")
+    return summaries.where(served).select(key).distinct()
+
+
+def files_of(spark: SparkSession, manifest: Manifest) -> DataFrame:
+    """(path, mtime, n_bytes) of the files that a manifest's globs name, from the file listing alone."""
+    found = None
+    for g in manifest.globs:
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", g.rsplit("/", 1)[-1])
+        folder = g.rsplit("/", 1)[0] if "/" in g else ""
+        deep = "**" in folder
+        base = "/".join(x for x in (manifest.base, folder.split("**")[0].rstrip("/")) if x)
+        part = listed.option("recursiveFileLookup", deep).load(base).select("path", F.unix_micros("modificationTime").alias("us"), F.col("length").alias("n_bytes"))
+        found = part if found is None else found.unionByName(part)
+    return found.select("path", (F.col("us") / 1e6).alias("mtime"), "n_bytes").distinct()

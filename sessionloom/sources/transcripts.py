@@ -5,9 +5,12 @@ from __future__ import annotations
 import ast
 import json
 from collections.abc import Iterator
+from itertools import islice
+from pathlib import Path
 
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,50 @@ def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return spark.read.text(paths).select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
 
 
+def read_delta(files: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """(path, at, line) of what was appended to each file of ``files`` (path, offset) since that byte.
+
+    ``at`` is the byte where the line begins. A last line without a line break
+    is still being written and waits for the next time. ``next_offsets`` gives
+    the offsets to go on from. A file shorter than its offset was replaced and
+    is read from its start; one that is gone has no lines. Files are read in blocks by
+    the tasks, so none has to fit into memory. Blank lines are left out.
+    """
+    runtime.require_columns(files, "path", "offset")
+    schema = pa.schema([("path", pa.string()), ("at", pa.int64()), ("line", pa.string())])
+
+    def lines_of(path: str, offset: int) -> Iterator[tuple[str, int, str]]:
+        disk, plain = fs.FileSystem.from_uri(path if ":/" in path else Path(path).absolute().as_uri())
+        info = disk.get_file_info(plain)
+        if info.type != fs.FileType.File:
+            return
+        with disk.open_input_file(plain) as f:
+            at = offset if 0 <= offset <= info.size else 0
+            f.seek(at)
+            rest = b""
+            while page := f.read(block):
+                *whole, rest = (rest + page).split(b"\n")
+                for raw in whole:
+                    if raw.strip():
+                        yield path, at, raw.decode("utf-8", "replace")
+                    at += len(raw) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, offset in zip(b.column("path").to_pylist(), b.column("offset").to_pylist()):
+                found = lines_of(path, offset or 0) if path else iter(())
+                while page := list(islice(found, 4096)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*page), schema)], schema=schema)
+
+    return files.select("path", F.col("offset").cast("bigint").alias("offset")).mapInArrow(run, "path string, at bigint, line string")
+
+
+def next_offsets(files: DataFrame, delta: DataFrame) -> DataFrame:
+    """(path, offset) to read from the next time."""
+    ends = delta.groupBy("path").agg(F.max(F.col("at") + F.octet_length("line") + 1).alias("end"))
+    return files.join(ends, "path", "left").select("path", F.coalesce("end", "offset").alias("offset"))
+
+
 def is_event(line: Column) -> Column:
     """Whether a line is a JSON object; other valid JSON is no event."""
     return F.coalesce(F.schema_of_variant(F.try_parse_json(line)).startswith("OBJECT"), F.lit(False))

@@ -75,6 +75,27 @@ def test_links(spark):
     assert elements["1.0.0"].parent_path == "1.0" and elements["1"].parent_path is None and elements["1.0.0"].node_value == "inner"
 
 
+def test_text_encoded_many_times(spark):
+    text = json.dumps({"content": ["a", "b"]})
+    for _ in range(9):
+        text = json.dumps(text)
+    assert found(spark, [text]) == {0: {"0", "1"}}
+    assert nested.decode(json.dumps("plain words")) == "plain words" and nested.decode("'5'") == 5
+
+
+def test_tables_link_every_row_to_the_row_above(spark):
+    record = {"role": "user", "n": 1, "o": {"k": True, "deep": {"x": None}}, "l": [[1, {"y": "z"}], {"m": []}, None], "e": []}
+    rows = spark.createDataFrame([("r", json.dumps(record)), ("s", "[[1], 2]"), ("t", "7"), ("u", "{")], "id string, message string")
+    got = {(r.id, r.node): r for r in nested.flat(nested.label(rows, "message", ["id"])).collect()}
+    seen = {(r.table_path, r.parent, r.place, repr(r.fields and dict(sorted(r.fields.items()))), r.node_value) for (i, _), r in got.items() if i == "r"}
+    assert seen == {
+        ("$", None, None, "{'n': '1', 'role': 'user'}", None), ("$.o", "", None, "{'k': 'true'}", None), ("$.o.deep", "2", None, "{'x': None}", None), ("$.l[][]", "", 0, "None", "1"),
+        ("$.l[][]", "", 1, "{'y': 'z'}", None), ("$.l[]", "", 1, "{}", None), ("$.l[]", "", 2, "None", None),
+    }
+    assert {(r.table_path, r.parent, r.place) for (i, _), r in got.items() if i == "s"} == {("$[][]", "", 0), ("$[]", "", 1)} and not [i for i, _ in got if i in "tu"]
+    assert all(r.parent is None or r.parent == "" or (i, r.parent) in got for (i, _), r in got.items())
+
+
 def test_empty(spark):
     rows = spark.createDataFrame([], "id string, message string")
     assert nested.content_elements(nested.label(rows, "message", ["id"])).count() == 0

@@ -135,3 +135,20 @@ def test_found_query_against_brute_force(spark, data):
             expected.add(("episodes", r.id))
     assert {tuple(r) for r in preparation.p1_found(spark, data).collect()} == expected
     assert table(spark, data, "episodes").count() > 0
+
+
+def test_texts_of_any_length(spark):
+    texts = [" " * 100_000 + "2026-01-17T23:04:06Z" + "\t" * 1000, "x" + " " * 200_000 + "y", "a/" * 100_000 + " ", "Z" * 300_000, "2026-01-17 23:04:06 " + "Europe/" * 50_000, "1 " * 100_000, "[a" * 100_000]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = [(r.instant, r.stamp_status) for r in ts.normalise(rows, "s", None, "x", ts.StampDictionary(spark)).orderBy(F.length("s").desc()).collect()]
+    assert sorted(s for _, s in got) == sorted(["iso"] + ["unreadable"] * 6) and sum(i is not None for i, _ in got) == 1
+
+
+def test_an_entry_that_was_written_twice_counts_once(spark):
+    rows = spark.createDataFrame([("2026-01-17T23:04:06Z",), (None,), (None,)], "s string")
+    d = ts.StampDictionary(spark)
+    ts.normalise(rows, "s", None, "x", d).count()
+    copy = d.read().collect()
+    spark.createDataFrame(copy, ts.DICTIONARY).write.mode("append").parquet(d.path)
+    got = ts.normalise(rows, "s", None, "x", d).collect()
+    assert len(got) == 3 and sorted(r.stamp_status for r in got) == ["iso", "missing", "missing"]
