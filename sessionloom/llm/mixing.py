@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from sessionloom import runtime
 
-#: A source's documents are walked in at least so many strands, or as many as there are shuffle partitions.
-STRANDS = 64
+#: A source's documents are walked in so many strands at least, and in as many that none has more than its share of documents.
+STRANDS, STRAND_ROWS = 64, 200_000
 #: Documents per source that are rounded together at the end.
 LAST = 14
 _EPS = 1e-9
@@ -136,16 +136,15 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 0, strands: int | None
     since each strand is sorted.
     """
     runtime.require_columns(sizes, "doc_id", "source", "n_tokens")
-    width = runtime.shuffle_width(sizes.sparkSession)
-    strands = strands or max(STRANDS, width)
+    spark, width = sizes.sparkSession, runtime.shuffle_width(sizes.sparkSession)
     wanted = [tuple(r) for r in targets.select("source_name", "target_share", "max_repeats").collect()]
-    usable = sizes.where("n_tokens > 0 and doc_id is not null").join(F.broadcast(targets.select(F.col("source_name").alias("source")).distinct()), "source")
-    totals = [tuple(r) for r in usable.groupBy("source").agg(F.sum("n_tokens")).collect()]
-    copies = plan(totals, wanted)
+    usable = sizes.where("n_tokens > 0 and doc_id is not null").join(targets.select(F.col("source_name").alias("source")).distinct(), "source")
+    totals = usable.groupBy("source").agg(F.sum("n_tokens"), F.count("*")).collect()  # a row per target
+    strands = strands or max(STRANDS, -(-max((r[2] for r in totals), default=0) // STRAND_ROWS))
+    copies = plan([(r[0], r[1]) for r in totals], wanted)
     if not copies:
         return usable.where("false").select("doc_id", "source", "n_tokens", F.lit(0).cast("bigint").alias("copies"))
-    expected = F.create_map(*(x for s, e in copies.items() for x in (F.lit(s), F.lit(float(e)))))
-    each = usable.withColumn("e", F.try_element_at(expected, F.col("source"))).where("e is not null")
+    each = usable.join(spark.createDataFrame([(s, float(e)) for s, e in copies.items()], "source string, e double"), "source")
     each = each.withColumn("base", F.floor(F.col("e") + _EPS)).select(
         "doc_id", "source", "n_tokens", "base", F.greatest(F.col("e") - F.col("base"), F.lit(0.0)).alias("p"), F.pmod(F.xxhash64("doc_id"), F.lit(strands)).cast("int").alias("strand")
     )

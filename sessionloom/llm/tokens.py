@@ -6,12 +6,15 @@ import base64
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom import runtime
 
-#: A vocabulary file that all executors can read: .tiktoken, .json (tokenizers) or .model (sentencepiece).
+# Fixed value: how byte-level vocabularies of that size split texts before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A vocabulary file of the driver's machine: .tiktoken, .json (tokenizers) or .model (sentencepiece). The session gives it to the workers.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -19,12 +22,11 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 def encoder(path: str):
     """A function from a list of texts to their lists of ids; one per worker and file."""
     if path.endswith(".tiktoken"):
-        import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         return lambda texts: [coder.encode_ordinary(t) for t in texts]
     if path.endswith(".json"):
         from tokenizers import Tokenizer
@@ -38,15 +40,28 @@ def encoder(path: str):
     return lambda texts: coder.encode(texts, num_threads=1)
 
 
+_given: set[tuple[str, str]] = set()
+
+
+def give(path: str) -> str:
+    """Ship the vocabulary file to all machines of the session, once; returns the name to find it by."""
+    context = SparkSession.active().sparkContext
+    if (context.applicationId, path) not in _given:
+        context.addFile(path)
+        _given.add((context.applicationId, path))
+    return path.rsplit("/", 1)[-1]
+
+
 def n_tokens(text: Column, path: str = VOCABULARY) -> Column:
     """The number of tokens; null for a null text, 0 for an empty one."""
+    name = give(path)
 
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
         values = texts.tolist()
         there = [i for i, t in enumerate(values) if isinstance(t, str)]
         sizes: list = [None] * len(values)
-        for i, ids in zip(there, encoder(path)([values[i] for i in there])):
+        for i, ids in zip(there, encoder(SparkFiles.get(name))([values[i] for i in there])):
             sizes[i] = len(ids)
         return pd.Series(sizes, dtype="Int64")
 
