@@ -194,6 +194,12 @@ def entity_index(episodes: DataFrame) -> DataFrame:
     return episodes.select(F.explode("entities").alias("e"), "id", "project_id").select(F.lower("e").alias("entity_lower"), "id", "project_id").distinct()
 
 
+def refresh_entities(index: DataFrame, changed: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """``index`` after the episodes in ``changed`` got new entities and those in ``removed`` (id) went."""
+    ids = changed.select("id") if removed is None else changed.select("id").unionByName(removed.select("id"))
+    return index.join(ids.distinct(), "id", "left_anti").select(*index.columns).unionByName(entity_index(changed).select(*index.columns))
+
+
 def entity_hits(episodes: DataFrame, query: str, where: Column) -> DataFrame:
     """A row for each entity of a visible episode that begins with a word of the query, in any case."""
     starts = F.lit(False)

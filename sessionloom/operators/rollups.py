@@ -133,3 +133,12 @@ def longest_prefix(paths: DataFrame, bases: DataFrame) -> DataFrame:
     above = F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.struct(i.alias("n"), F.array_join(F.slice(parts, 1, i), "/").alias("base")))).alias("x")
     met = paths.select("path", above).select("path", "x.*").join(bases, "base")
     return met.groupBy("path").agg(F.max_by("source_id", "n").alias("source_id"))
+
+
+def project_ids(projects: DataFrame) -> DataFrame:
+    """(root_path, project_id, clashes): the id given, if it is a valid name, else one made of the root; ``clashes`` where roots share an id."""
+    own = F.concat(F.lit("auto-"), F.left(F.sha2("root_path", 256), F.lit(10)))
+    valid = F.coalesce(F.col("project_id").rlike("^[a-z0-9][a-z0-9-]{0,31}$"), F.lit(False))
+    roots = projects.where("root_path is not null").select("root_path", F.when(valid, F.col("project_id")).otherwise(own).alias("project_id")).distinct()
+    shared = roots.groupBy("project_id").agg((F.count("*") > 1).alias("clashes"))
+    return roots.join(shared, "project_id").select("root_path", "project_id", "clashes")

@@ -550,6 +550,20 @@ def project_identity(spark, d) -> DataFrame:
     return table(spark, d, "projects").select("project_id", F.when(F.col("project_id").rlike("^[a-z0-9][a-z0-9-]{0,31}$"), F.col("project_id")).otherwise(fallback).alias("resolved"), fallback.alias("fallback"))
 
 
+@query("project_clashes", "WITH p AS (SELECT DISTINCT concat('/r/', session_id) AS root_path, CASE WHEN regexp_full_match(project_id, '[a-z0-9][a-z0-9-]{0,31}') THEN project_id ELSE concat('auto-', left(sha256(concat('/r/', session_id)), 10)) END AS project_id FROM sessions) SELECT root_path, project_id, count(*) OVER (PARTITION BY project_id) > 1 AS clashes FROM p")
+def project_clashes(spark, d) -> DataFrame:
+    """Sessions' folders taken for project roots: ids that several of them would share."""
+    return U.project_ids(table(spark, d, "sessions").select("project_id", F.concat(F.lit("/r/"), "session_id").alias("root_path")))
+
+
+@query("entity_refresh", f"WITH {V.EPISODES}, n AS (SELECT id, project_id, CASE WHEN kind = 'semantic' THEN list_append(entities, 'Added') ELSE entities END AS entities FROM e WHERE kind <> 'working') SELECT DISTINCT lower(x) AS entity_lower, id, project_id FROM (SELECT id, project_id, unnest(entities) AS x FROM n)")
+def entity_refresh(spark, d) -> DataFrame:
+    """The entity index after the semantic episodes got one more name and the working ones went."""
+    rows = V.episodes(spark, d)
+    changed = rows.where("kind = 'semantic'").withColumn("entities", F.concat(F.coalesce("entities", F.array().cast("array<string>")), F.array(F.lit("Added"))))
+    return Q.refresh_entities(Q.entity_index(rows), changed, rows.where("kind = 'working'").select("id"))
+
+
 @query("session_project_attribution", "SELECT s.session_id, coalesce(p.project_id, 'other') AS project FROM sessions s LEFT JOIN projects p ON p.project_id = s.project_id AND p.display_name IS NOT NULL")
 def session_project_attribution(spark, d) -> DataFrame:
     plan = table(spark, d, "projects").where("display_name is not null").select("project_id", F.col("project_id").alias("found"))

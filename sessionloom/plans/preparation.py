@@ -98,6 +98,17 @@ def p5_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.unify(records, log, ["rec_id", "stream_id", "event_type", "file_no", "line_no"], known)
 
 
+def p5_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unified table's filled cells by record and field; numbers as doubles, and of nested values the kind."""
+    wide = p5_unified(spark, sf_dir)
+    cells = F.explode(F.array(*(F.struct(F.lit(c[2:]).alias("field"), F.col(f"`{c}`").cast("string").alias("t")) for c in wide.columns if c.startswith("f_")))) if len(wide.columns) > 5 else None
+    if cells is None:
+        return wide.select("rec_id", F.lit("").alias("field"), F.lit(0.0).alias("number"), F.lit("").alias("words")).where("false")
+    number, first = F.col("x.t").try_cast("double"), F.left("x.t", F.lit(1))
+    words = F.when(number.isNull(), F.when(first.isin("{", "["), first).otherwise(F.col("x.t")))
+    return wide.select("rec_id", cells.alias("x")).where("x.t is not null").select("rec_id", "x.field", F.round(number, 6).alias("number"), words.alias("words"))
+
+
 def _message_nodes(spark: SparkSession, sf_dir: str, only: str | None = None) -> DataFrame:
     return nested.label(table(spark, sf_dir, "transcript_lines"), "message", ["id"], only)
 
@@ -178,6 +189,22 @@ _LINKS_SQL = """n0 AS MATERIALIZED (SELECT session_id, id, min({'o': seq, 'a': p
 _PLACED_SQL = """ok AS MATERIALIZED (SELECT session_id, id FROM n WHERE NOT there UNION ALL SELECT n.session_id, n.id FROM n JOIN ok ON ok.session_id = n.session_id AND ok.id = n.above),
  q AS (SELECT DISTINCT session_id, id FROM transcript_lines JOIN ok USING (session_id, id) WHERE line_id % 50 = 0)"""
 
+_DRIFT_SQL = """f AS (SELECT DISTINCT stream_id, event_type, file_no, payload FROM rollout_records WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+ k AS (SELECT *, unnest(json_keys(payload)) AS field FROM f),
+ v AS (SELECT stream_id, event_type, file_no, field, json_extract(payload, concat('$."', field, '"')) AS value FROM k),
+ t AS (SELECT *, CASE json_type(value) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS kind FROM v),
+ h AS (SELECT stream_id, event_type, file_no, field, string_agg(DISTINCT kind, '|' ORDER BY kind) AS kind FROM t GROUP BY ALL),
+ s AS (SELECT *, lag(file_no) OVER (PARTITION BY stream_id, event_type ORDER BY file_no) AS was FROM (SELECT DISTINCT stream_id, event_type, file_no FROM h) QUALIFY was IS NOT NULL),
+ o AS (SELECT s.*, h.field, h.kind FROM s JOIN h ON h.stream_id = s.stream_id AND h.event_type = s.event_type AND h.file_no = s.was),
+ n AS (SELECT s.*, h.field, h.kind FROM s JOIN h USING (stream_id, event_type, file_no)),
+ gone AS (SELECT * FROM o ANTI JOIN n USING (stream_id, event_type, file_no, field)),
+ come AS (SELECT * FROM n ANTI JOIN o USING (stream_id, event_type, file_no, field)),
+ pair AS (SELECT g.stream_id, g.event_type, g.file_no, g.field AS old_field, c.field AS new_field,
+   (SELECT count(*) FROM (SELECT CAST(value AS VARCHAR) FROM t WHERE t.stream_id = g.stream_id AND t.event_type = g.event_type AND t.file_no = g.was AND t.field = g.field AND kind IS NOT NULL INTERSECT
+    SELECT CAST(value AS VARCHAR) FROM t WHERE t.stream_id = g.stream_id AND t.event_type = g.event_type AND t.file_no = g.file_no AND t.field = c.field AND kind IS NOT NULL)) AS common
+  FROM gone g JOIN come c ON c.stream_id = g.stream_id AND c.event_type = g.event_type AND c.file_no = g.file_no AND c.kind = g.kind),
+ renamed AS (SELECT * FROM pair WHERE common > 0 QUALIFY row_number() OVER (PARTITION BY stream_id, event_type, file_no, old_field ORDER BY common DESC, new_field) = 1 AND row_number() OVER (PARTITION BY stream_id, event_type, file_no, new_field ORDER BY common DESC, old_field) = 1)"""
+
 SQL = {
     "p1_found": f"""WITH {STAMPS_SQL},
  l AS (SELECT DISTINCT session_id, seq, id, us FROM transcript_lines LEFT JOIN sessions USING (session_id) JOIN stamps ON raw = event_timestamp AND tz IS NOT DISTINCT FROM tz_name WHERE us IS NOT NULL),
@@ -208,23 +235,23 @@ SQL = {
     "p3_ancestors": f"""WITH RECURSIVE {_LINKS_SQL}, {_PLACED_SQL},
  a AS (SELECT q.session_id, q.id, n.above AS ancestor FROM q JOIN n ON n.session_id = q.session_id AND n.id = q.id WHERE n.there UNION ALL SELECT a.session_id, a.id, n.above FROM a JOIN n ON n.session_id = a.session_id AND n.id = a.ancestor WHERE n.there)
  SELECT * FROM a""",
-    "p5_found": """WITH f AS (SELECT DISTINCT stream_id, event_type, file_no, payload FROM rollout_records WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
- k AS (SELECT *, unnest(json_keys(payload)) AS field FROM f),
- v AS (SELECT stream_id, event_type, file_no, field, json_extract(payload, concat('$."', field, '"')) AS value FROM k),
- t AS (SELECT *, CASE json_type(value) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS kind FROM v),
- h AS (SELECT stream_id, event_type, file_no, field, string_agg(DISTINCT kind, '|' ORDER BY kind) AS kind FROM t GROUP BY ALL),
- s AS (SELECT *, lag(file_no) OVER (PARTITION BY stream_id, event_type ORDER BY file_no) AS was FROM (SELECT DISTINCT stream_id, event_type, file_no FROM h) QUALIFY was IS NOT NULL),
- o AS (SELECT s.*, h.field, h.kind FROM s JOIN h ON h.stream_id = s.stream_id AND h.event_type = s.event_type AND h.file_no = s.was),
- n AS (SELECT s.*, h.field, h.kind FROM s JOIN h USING (stream_id, event_type, file_no)),
- gone AS (SELECT * FROM o ANTI JOIN n USING (stream_id, event_type, file_no, field)),
- come AS (SELECT * FROM n ANTI JOIN o USING (stream_id, event_type, file_no, field)),
- pair AS (SELECT g.stream_id, g.event_type, g.file_no, g.field AS old_field, c.field AS new_field,
-   (SELECT count(*) FROM (SELECT CAST(value AS VARCHAR) FROM t WHERE t.stream_id = g.stream_id AND t.event_type = g.event_type AND t.file_no = g.was AND t.field = g.field AND kind IS NOT NULL INTERSECT
-    SELECT CAST(value AS VARCHAR) FROM t WHERE t.stream_id = g.stream_id AND t.event_type = g.event_type AND t.file_no = g.file_no AND t.field = c.field AND kind IS NOT NULL)) AS common
-  FROM gone g JOIN come c ON c.stream_id = g.stream_id AND c.event_type = g.event_type AND c.file_no = g.file_no AND c.kind = g.kind),
- renamed AS (SELECT * FROM pair WHERE common > 0 QUALIFY row_number() OVER (PARTITION BY stream_id, event_type, file_no, old_field ORDER BY common DESC, new_field) = 1 AND row_number() OVER (PARTITION BY stream_id, event_type, file_no, new_field ORDER BY common DESC, old_field) = 1)
+    "p5_found": f"""WITH {_DRIFT_SQL}
  SELECT stream_id, file_no, event_type, 'renamed' AS change_kind, old_field, new_field FROM renamed
  UNION ALL SELECT stream_id, file_no, event_type, 'removed', field, '' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.stream_id = g.stream_id AND r.event_type = g.event_type AND r.file_no = g.file_no AND r.old_field = g.field)
  UNION ALL SELECT stream_id, file_no, event_type, 'added', '', field FROM come g WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.stream_id = g.stream_id AND r.event_type = g.event_type AND r.file_no = g.file_no AND r.new_field = g.field)
  UNION ALL SELECT o.stream_id, o.file_no, o.event_type, 'retyped', o.field, o.field FROM o JOIN n USING (stream_id, event_type, file_no, field) WHERE o.kind <> n.kind""",
+    # Each field of each file is followed back through its renames; a name that comes again after it was renamed away is another field.
+    "p5_cells": f"""WITH RECURSIVE {_DRIFT_SQL},
+ i AS MATERIALIZED (SELECT stream_id, event_type, file_no AS s, new_field AS f, old_field AS o FROM renamed),
+ wk AS (SELECT DISTINCT stream_id, event_type, file_no, field, field AS f, file_no AS n FROM h
+  UNION ALL SELECT w.stream_id, w.event_type, w.file_no, w.field, i.o, i.s - 1 FROM wk w JOIN i ON i.stream_id = w.stream_id AND i.event_type = w.event_type AND i.f = w.f AND i.s <= w.n
+   WHERE NOT EXISTS (SELECT 1 FROM i j WHERE j.stream_id = w.stream_id AND j.event_type = w.event_type AND (j.f = w.f OR j.o = w.f) AND j.s > i.s AND j.s <= w.n)),
+ term AS (SELECT stream_id, event_type, file_no, field, arg_min(f, n) AS f, min(n) AS n FROM wk GROUP BY ALL),
+ ra AS (SELECT DISTINCT stream_id, event_type, o AS f, s FROM i WHERE NOT EXISTS (SELECT 1 FROM i p WHERE p.stream_id = i.stream_id AND p.event_type = i.event_type AND p.f = i.o AND p.s < i.s
+   AND NOT EXISTS (SELECT 1 FROM i j WHERE j.stream_id = i.stream_id AND j.event_type = i.event_type AND j.o = i.o AND j.s > p.s AND j.s < i.s))),
+ nm AS (SELECT term.*, (SELECT count(*) FROM ra WHERE ra.stream_id = term.stream_id AND ra.event_type = term.event_type AND ra.f = term.f AND ra.s <= term.n) AS c FROM term),
+ r AS (SELECT *, unnest(json_keys(payload)) AS field FROM rollout_records WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+ x AS (SELECT rec_id, concat(coalesce(nm.f, r.field), CASE WHEN c > 0 THEN concat('#', c + 1) END) AS field, json_extract(payload, concat('$."', r.field, '"')) AS j FROM r LEFT JOIN nm USING (stream_id, event_type, file_no, field)),
+ y AS (SELECT rec_id, field, CASE json_type(j) WHEN 'VARCHAR' THEN j->>'$' ELSE CAST(j AS VARCHAR) END AS t FROM x WHERE json_type(j) <> 'NULL')
+ SELECT rec_id, field, round(TRY_CAST(t AS DOUBLE), 6) AS number, CASE WHEN TRY_CAST(t AS DOUBLE) IS NULL THEN CASE WHEN t[1] IN ('{{', '[') THEN t[1] ELSE t END END AS words FROM y""",
 }

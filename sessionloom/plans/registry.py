@@ -16,6 +16,7 @@ def queries() -> dict:
         "p3_hierarchy": preparation.p3_hierarchy,
         "p5_found": preparation.p5_found,
         "p5_unified": preparation.p5_unified,
+        "p5_cells": preparation.p5_cells,
         "p7_found": preparation.p7_found,
         "p7_messages": preparation.p7_messages,
         "p7_tables": preparation.p7_tables,

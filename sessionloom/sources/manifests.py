@@ -111,9 +111,11 @@ def resolve(asked: DataFrame, sessions: DataFrame, shown: int = 5) -> DataFrame:
     of the lengths asked for, so the two meet by equality.
     """
     wanted = asked.select("asked").where("asked <> ''").distinct()
-    lengths = F.broadcast(wanted.select(F.char_length("asked").alias("n")).distinct().agg(F.collect_set("n").alias("ns")))  # no more than an id has letters
-    ids = sessions.where("session_id is not null").select("session_id").distinct().join(lengths)
-    offered = ids.select("session_id", F.explode("ns").alias("n")).where(F.col("n") <= F.char_length("session_id")).select("session_id", F.left("session_id", F.col("n")).alias("asked"))
+    ids = sessions.where("session_id is not null").select("session_id").distinct()
+    longest = ids.agg(F.max(F.char_length("session_id"))).first()[0] or 0
+    lengths = [r.n for r in wanted.select(F.char_length("asked").alias("n")).distinct().where(F.col("n") <= longest).collect()]  # no more than an id has letters
+    prefixes = F.array_distinct(F.transform(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: F.left("session_id", n)))
+    offered = ids.select("session_id", F.explode(prefixes).alias("asked"))
     met = offered.join(wanted, "asked").withColumn("k", F.row_number().over(Window.partitionBy("asked").orderBy((F.col("session_id") != F.col("asked")), "session_id")))
     first = met.where(F.col("k") <= shown + 1).groupBy("asked").agg(F.array_sort(F.collect_list("session_id")).alias("found"), F.max(F.col("session_id") == F.col("asked")).alias("exact"))
     full, one = wanted.join(first, "asked", "left"), F.coalesce("exact", F.lit(False)) | (F.size("found") == 1)

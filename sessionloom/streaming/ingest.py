@@ -67,43 +67,51 @@ def growth_gate(log: DataFrame) -> DataFrame:
 
 
 class EpisodeTable:
-    """Episodes as numbered parquet versions; each micro-batch makes the next.
+    """Episodes in buckets by id; each micro-batch writes the buckets that it touches as the next version.
 
-    A version is complete once its success file is there, and readers take the
-    highest complete one, so a lost executor or driver never shows half a
-    batch. A batch that is repeated writes its own number again.
+    A version is complete once its success file is there, and readers take of
+    each bucket the highest complete version that has it, so a lost executor or
+    driver never shows half a batch. A batch that is repeated writes its own
+    number again. Of each bucket the last ``keep`` versions stay.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keep: int = 2):
-        self.spark, self.path, self.keep = spark, path, keep
+    def __init__(self, spark: SparkSession, path: str, keep: int = 2, buckets: int = 32):
+        self.spark, self.path, self.keep, self.buckets = spark, path, keep, buckets
 
-    def _versions(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        done = [n for n in names if n.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted(int(n[1:]) for n in done)
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def read(self, before: int | None = None) -> DataFrame | None:
-        known = [v for v in self._versions() if before is None or v < before]
-        return self.spark.read.parquet(f"{self.path}/v{known[-1]}") if known else None
+    def _versions(self) -> dict[int, list[int]]:
+        """The complete versions of each bucket, rising."""
+        fs, root = self._fs(self.path)
+        found: dict[int, list[int]] = {}
+        if not fs.exists(root):
+            return found
+        for v in sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("v")):
+            if runtime.exists(self.spark, f"{self.path}/v{v}"):
+                for s in fs.listStatus(self._fs(f"{self.path}/v{v}")[1]):
+                    if s.getPath().getName().startswith("bucket="):
+                        found.setdefault(int(s.getPath().getName()[7:]), []).append(v)
+        return found
+
+    def read(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+        last = {b: [v for v in vs if before is None or v < before] for b, vs in self._versions().items() if buckets is None or b in buckets}
+        paths = [f"{self.path}/v{vs[-1]}/bucket={b}" for b, vs in sorted(last.items()) if vs]
+        return self.spark.read.parquet(*paths) if paths else None
 
     def merge(self, batch: DataFrame, number: int) -> None:
         """Upsert one row per id of a batch; of several the newest counts."""
-        incoming = episodes.latest(batch)
-        stored = self.read(before=number)
+        bucket = F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int")
+        incoming = runtime.materialise(episodes.latest(batch), "batch")
+        touched = sorted(r[0] for r in incoming.select(bucket).distinct().collect())  # at most as many as there are buckets
+        stored = self.read(number, touched)
         merged = incoming if stored is None else episodes.upsert(stored, incoming.select(*stored.columns))
-        merged.write.mode("overwrite").parquet(f"{self.path}/v{number}")
-        self._drop([v for v in self._versions() if v <= number][: -self.keep])
-
-    def _drop(self, versions: list[int]) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for v in versions:
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v}")
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        merged.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{number}")
+        for b, versions in self._versions().items():
+            for v in [v for v in versions if v <= number][: -self.keep]:
+                fs, p = self._fs(f"{self.path}/v{v}/bucket={b}")
+                fs.delete(p, True)
 
     def sink(self, stream: DataFrame, checkpoint: str, once: bool = False):
         """Start the query that feeds this table."""

@@ -1,4 +1,7 @@
+import random
+
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -105,3 +108,29 @@ def test_descendants(spark):
     places = h.nested_sets(spark.createDataFrame(TREE, SCHEMA), "g", "id", "p", "o")
     wanted = spark.createDataFrame([("s", "a"), ("s", "d"), ("s", "e")], "grp string, node string")
     assert {(r.node, r.descendant) for r in h.descendants(places, wanted).collect()} == {("a", "b"), ("a", "c"), ("a", "d"), ("e", "f")}
+
+
+def test_relations_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(g, f"n{i}", f"n{rng.randrange(max(1, i - 6), i)}" if i > 1 and rng.random() < 0.95 else None, i) for g in "ab" for i in range(1, 300)] + [("a", "self", "self", 0)]
+    places = h.nested_sets(spark.createDataFrame(rows, "g string, id string, up string, k int"), "g", "id", "up", "k").cache()
+    up = {(g, i): p for g, i, p, _ in rows if i != "self"}
+
+    def above(g, i):
+        while i := up[g, i]:
+            yield i
+
+    want = {(g, i, x) for g, i in up for x in above(g, i)}
+    asked = places.select("grp", "node")
+    assert {tuple(r) for r in h.ancestors(places, asked.unionAll(asked)).collect()} == want
+    assert {(r.grp, r.descendant, r.node) for r in h.descendants(places, asked).collect()} == want
+
+
+def test_both_ways_agree_above_the_bound(spark):
+    rng = random.Random(5)
+    n = h.GROUP_ROWS + 1
+    parent = [-1 if i < 40_000 else rng.randrange(max(0, i - 50_000), i) for i in range(n)]  # many roots
+    rows = spark.createDataFrame(pd.DataFrame({"g": "big", "id": [f"{i:07d}" for i in range(n)], "up": [None if p < 0 else f"{p:07d}" for p in parent], "k": range(n)}))
+    got = h.nested_sets(rows, "g", "id", "up", "k").orderBy("node").toPandas()
+    want = h.solve(np.array(parent))
+    assert (got["range_start"].to_numpy() == want["start"]).all() and (got["n_descendants"].to_numpy() + 1 == want["size"]).all() and (got["depth"].to_numpy() == want["depth"]).all()

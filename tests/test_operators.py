@@ -1,5 +1,6 @@
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -219,3 +220,105 @@ def test_extractor_without_a_model_and_notes(spark):
     r = n.note(spark, "p", "About GapEngine", "It works", 3.0).first()
     assert (r.confidence, r.source_type, r.entities, r.body, r.created_at, r.source_ref) == (1.0, "manual", ["GapEngine"], "It works", 3.0, None)
     assert n.note(spark, "p", "t", "b", 3.0, entities=["Own"]).first().entities == ["Own"]
+
+
+def test_the_archive_comes_back_as_it_was_written(spark, tmp_path):
+    cols = "id string, project_id string, kind string, source_type string, category string, title string, body string, confidence double, created_at double"
+    rows = spark.createDataFrame([(f"{i:08x}", "p", "working", "manual", c, t, b, 0.9, 1.7e9 + i) for i, (c, t, b) in enumerate([("decision", "Use tabs", "a\nb"), ("decision", "Use tabs", None), (None, "", "x"), ("bugfix", "Città è?", "---\nno: head\n---\n"), ("anti-pattern", "a" * 80, "y"), ("decision", "zwei/drei", "z")])], cols)
+    out = a.render(rows)
+    for _ in range(2):
+        a.write(out, str(tmp_path / "archive"))
+    got = {(r.category, r.path.rsplit("/", 1)[1]): r.text for r in a.read(spark, str(tmp_path / "archive")).collect()}
+    assert got == {(r.subdir, r.file_name): r.text for r in out.collect()} and len(got) == 6
+    assert sum(1 for f in (tmp_path / "archive").rglob("*") if f.is_file() and not f.name.endswith(".crc")) == 6
+    titles = {r.category: r.title for r in a.scan(a.read(spark, str(tmp_path / "archive"))).collect()}
+    assert titles["fix"] == "Città è?" and titles["neutral"] == ""
+
+
+def test_only_what_was_appended_is_read(spark, tmp_path):
+    one, two = tmp_path / "a.jsonl", tmp_path / "b.jsonl"
+    one.write_bytes("{\"n\": 1}\n\n{\"s\": \"è\"}\n{\"half".encode())
+    two.write_bytes(b"x" * 3_000_000 + b"\nlast\n")
+    files = spark.createDataFrame([(str(one), 0), (str(two), None), (str(tmp_path / "gone"), 5)], "path string, offset bigint")
+    delta = x.read_delta(files, block=1000)
+    got = sorted((Path(r.path).name, r.at, len(r.line)) for r in delta.collect())
+    assert got == [("a.jsonl", 0, 8), ("a.jsonl", 10, 10), ("b.jsonl", 0, 3_000_000), ("b.jsonl", 3_000_001, 4)]
+    ahead = {Path(r.path).name: r.offset for r in x.next_offsets(files, delta).collect()}
+    assert ahead == {"a.jsonl": 22, "b.jsonl": 3_000_006, "gone": 5}
+    one.write_bytes(one.read_bytes() + b" done\"}\n")
+    later = spark.createDataFrame([(str(one), 22), (str(two), 9_000_000)], "path string, offset bigint")
+    assert sorted((r.at, r.line[:9]) for r in x.read_delta(later).collect()) == [(0, "x" * 9), (22, "{\"half do"), (3_000_001, "last")]
+
+
+def test_commits_since_the_last_known(spark):
+    commits = spark.createDataFrame([("r", n, f"{n}abc", 1000.0 - n) for n in range(1, 6)] + [("s", n, f"{n}def", 5000.0 - 3000 * n) for n in range(1, 3)], "repo string, n int, sha string, committed_at double")
+    got = lambda known: sorted((r.repo, r.n) for r in l.since_last_known(commits, spark.createDataFrame(known, "repo string, sha string"), 3600.0).collect())
+    assert got([("r", "3a"), ("s", "2def")]) == [("r", 1), ("r", 2), ("s", 1)]
+    assert got([("r", "unknown")]) == [("r", n) for n in range(1, 6)] + [("s", 1)]
+
+
+LOG = "event_id bigint, project_id string, source_type string, source_ref string, captured_at double, payload string"
+
+
+def test_events_are_appended_and_found(spark):
+    log = spark.createDataFrame([(7, "p", "transcript", "s", 1.0, "{}"), (8, "p", "git.commit", None, 2.0, "{}")], LOG)
+    good = json.dumps({k: 1 for k in l.REQUIRED["transcript"]})
+    after, refused = l.append(log, spark.createDataFrame([(None, "p", "transcript", "t", 9.0, good), (None, "p", "transcript", "u", 3.0, good), (None, "", "transcript", "v", 3.0, good)], LOG))
+    assert sorted((r.event_id, r.source_ref) for r in after.collect()) == [(7, "s"), (8, None), (9, "u"), (10, "t")]
+    assert [r.problem for r in refused.collect()] == ["no project"]
+    empty = spark.createDataFrame([], LOG)
+    assert l.append(empty, empty)[0].count() == 0
+    asked = spark.createDataFrame([("p", "git.commit", None), ("p", "transcript", None), ("p", "transcript", "s")], "project_id string, source_type string, source_ref string")
+    assert {(r.source_type, r.source_ref): r.is_known for r in l.has_event(log, asked).collect()} == {("git.commit", None): True, ("transcript", None): False, ("transcript", "s"): True}
+
+
+def test_an_empty_session_gets_one_marker(spark):
+    log = spark.createDataFrame([(1, "p", l.DONE, "old", 1.0, "{}")], LOG)
+    counts = spark.createDataFrame([("p", "old", 0, 5), ("p", "new", 0, 9), ("p", "full", 3, 9)], "project_id string, session string, total_events int, bytes bigint")
+    got = l.empty_markers(counts, log, 4.0).collect()
+    assert [(r.source_ref, json.loads(r.payload)) for r in got] == [("new", {"episodes_written": 0, "empty": True, "transcript_bytes": 9})]
+
+
+def test_kinds_pins_and_forgetting(spark):
+    rows = spark.createDataFrame([("a", "working", True, None, 1.0), ("b", "working", None, None, 1.0), ("c", "working", False, 3.0, 1.0)], "id string, kind string, pinned boolean, expires_at double, updated_at double")
+    ids = spark.createDataFrame([("a",), ("b",), ("b",), ("z",), (None,)], "id string")
+    left, outcome = e.forget(rows, ids, 9.0)
+    assert {r.id: r.outcome for r in outcome.collect()} == {"a": "pinned", "b": "forgotten", "z": "unknown"}
+    assert {r.id: r.expires_at for r in left.collect()} == {"a": None, "b": 9.0, "c": 3.0}
+    assert {r.id: r.kind for r in e.set_kind(rows, ids, "semantic", 5.0).collect()} == {"a": "semantic", "b": "semantic", "c": "working"}
+    assert {r.id: r.pinned for r in e.pin(rows, ids, False).collect()} == {"a": False, "b": False, "c": False}
+    with pytest.raises(ValueError):
+        e.set_kind(rows, ids, "other", 5.0)
+
+
+def test_files_by_age_and_place(spark):
+    files = spark.createDataFrame([("p", f, m) for f, m in [("src/a.py", 99.0), ("src/node_modules/b.py", 99.0), ("docs/c.md", 99.0), ("src/d.exe", 99.0), ("src/e.vue", 10.0), ("a.py", 99.0), ("tests/x/y.env", 80.0)]], "project_id string, path string, mtime double")
+    assert {r.path for r in u.recent_files(files, 100.0, 50.0).collect()} == {"src/a.py", "tests/x/y.env"}
+    links = spark.createDataFrame([("/l/1", "/r/1", 5.0), ("/r/1", "/r/1", 5.0), ("/r/2", "/r/2", 9.0), ("/r/3", "/r/3", 1.0)], "path string, real_path string, mtime double")
+    assert {(r.real_path, r.path, r.mtime) for r in u.newest_files(links, 10.0, 8.0).collect()} == {("/r/1", "/r/1", 5.0), ("/r/2", "/r/2", 9.0)}
+    sized = spark.createDataFrame([("new", 5000, 1_000_000.0), ("small", 10, 999_000.0), ("ok", 5000, 999_000.0), ("old", 5000, 1.0)], "id string, n_bytes bigint, mtime double")
+    assert {r.id for r in u.candidates(sized, 1_000_100.0).collect()} == {"ok"}
+    text = spark.createDataFrame([("\n".join(map(str, range(30))) + "\n",), ("one",), ("",), (None,)], "t string")
+    assert [r[0] for r in text.select(u.last_lines(F.col("t"), 3)).collect()] == ["27\n28\n29", "one", "", None]
+
+
+def test_sessions_by_prefix(spark):
+    ids = spark.createDataFrame([("abc",), ("abcd",), ("abd",), ("x1",), (None,)], "session_id string")
+    asked = spark.createDataFrame([("abc",), ("abcd",), ("ab",), ("x",), ("nope",), ("longer than any",), ("",), (None,)], "asked string")
+    got = {r.asked: (r.session_id, r.outcome, r.candidates) for r in m.resolve(asked, ids).collect()}
+    assert got == {"abc": ("abc", "found", None), "abcd": ("abcd", "found", None), "ab": (None, "ambiguous", ["abc", "abcd", "abd"]), "x": ("x1", "found", None), "nope": (None, "not found", None), "longer than any": (None, "not found", None)}
+
+
+def test_helpers_of_other_sessions(spark):
+    said = [{"parent_session_id": "p"}, {"session_summary": "Goal Plan Writer run"}, {"session_summary": "the Verifier"}, {"session_summary": "plain"}, {}]
+    rows = spark.createDataFrame([(str(i), json.dumps(v)) for i, v in enumerate(said)] + [("bad", "{"), ("none", None)], "s string, summary string")
+    assert {r.s for r in m.grok_subagents(rows, "s").collect()} == {"0", "1", "2"}
+
+
+def test_a_manifest_lists_its_files(spark, tmp_path):
+    for f in ("sessions/a/one.jsonl", "sessions/two.jsonl", "sessions/b/c/three.jsonl", "archived_sessions/four.jsonl", "sessions/skip.txt"):
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f).write_text("{}")
+    codex = next(x for x in m.builtin("/home/x", codex=str(tmp_path)) if x.id == "codex")
+    got = m.files_of(spark, codex).collect()
+    assert sorted(r.path.rsplit("/", 1)[1] for r in got) == ["four.jsonl", "one.jsonl", "three.jsonl", "two.jsonl"] and {r.n_bytes for r in got} == {2}
