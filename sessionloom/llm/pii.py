@@ -90,7 +90,8 @@ _CUED_ID = re.compile(rf"(?i:\b(?:{ID_CUE}|{TAX_CUE}))(?P<v>[A-Z]{{0,3}}[- ]?\d(
 #: What the patterns of numbers need at least; a text without it is spared them.
 _DATE_FORM = r"(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4}|\d{1,2}(?:\.|st|nd|rd|th|º)? (?:de |of )?[^\W\d_]{3,10}\.? (?:de |del )?\d{4}|[^\W\d_]{3,10}\.? \d{1,2}(?:st|nd|rd|th)?,? \d{4})"
 _BIRTH = re.compile(rf"(?i)\b{BIRTH_CUE}[\s:,=]{{1,3}}(?P<v>{_DATE_FORM})(?!\w)")
-_BIRTH_HINT = re.compile(r"(?i)bi?rth|born|d\.?o\.?b|geb|nasc|nat[oa] il|naci")
+#: Every cue before a birth date, in lower case, has one of these.
+_BIRTH_HINTS = ("birth", "born", "dob", "d.o", "do.b", "gebo", "geburts", "geb.", "nascita", "nato il", "nata il", "nacimiento", "nacido el", "nacida el")
 _DATE_PART = re.compile(r"\d+|[^\W\d_]{3,10}")
 _SEVEN_DIGITS = re.compile(r"\d(?:[ .\-/()]{0,3}\d){6}")
 _ID_CORE = re.compile(r"[A-Z]{2} ?\d\d ?\d\d ?\d\d|[A-Z]{6}\d")
@@ -124,7 +125,8 @@ ANCHORS = (
     rf"(?m)^-- ?\n(?:(?:{TITLES})\.? )?({_PART})(?: \p{{Lu}}\.)?,? ({_PART})(?:-\p{{Lu}}\p{{Ll}}+)?$",
     rf"\b(?:{TITLES})\.? ({_PART})(?: \p{{Lu}}\.)? ({_PART})\b",
 )
-_OWN_HINT = re.compile(rf"^-- ?\n|\b(?:{TITLES})\.? [A-ZÀ-Þ]", re.M)
+#: Every title begins with one of these, and every signature with one of the last two.
+_OWN_HINTS = ("Mr", "Ms", "Mx", "Miss", "Dr", "Prof", "Ing", "Sig", "Dott", "Avv", "Frau", "Herr", "Sr", "Do", "-- \n", "--\n")
 #: The same signatures and titles within one record, in Python's spelling.
 _OWN = re.compile(rf"^-- ?\n(?:(?:{TITLES})\.? )?(?P<a>{_WORD})(?: [A-ZÀ-Þ]\.)?,? (?P<b>{_WORD})(?:-(?P<c>{_WORD}))?$|\b(?:{TITLES})\.? (?P<d>{_WORD})(?: [A-ZÀ-Þ]\.)? (?P<e>{_WORD})(?:-(?P<f>{_WORD}))?(?!\w)", re.M)
 
@@ -256,7 +258,8 @@ def spans(text: str, parts) -> list[tuple[int, int, str, str]]:
             v = m.group("v").rstrip(" .-/")
             if sum(c.isdigit() for c in v) >= 5:
                 found.append((m.start("v"), m.start("v") + len(v), "national_id", v))
-    if _BIRTH_HINT.search(text):
+    low = text.lower()
+    if any(map(low.__contains__, _BIRTH_HINTS)):
         for m in _BIRTH.finditer(text):
             if date_of(m["v"]):
                 found.append((m.start("v"), m.end("v"), "birth_date", m["v"]))
@@ -264,7 +267,7 @@ def spans(text: str, parts) -> list[tuple[int, int, str, str]]:
         for m in _ADDRESS.finditer(text):
             v = m.group().rstrip(" ,\n")
             found.append((m.start(), m.start() + len(v), "street_address", v))
-    if _OWN_HINT.search(text):
+    if any(map(text.__contains__, _OWN_HINTS)):
         own = {fold(x) for m in _OWN.finditer(text) for g in m.groups() if g for x in g.split("-")}
         parts = parts | own if parts else own
     if parts:

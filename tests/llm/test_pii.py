@@ -156,3 +156,11 @@ def test_empty_and_clashing(spark):
     rows = spark.createDataFrame([], "pii int, t string, part string")
     assert pii.pseudonymise(rows, "t", KEY, pii.name_parts(rows, "t")).count() == 0
     random.seed(1)
+
+
+def test_hints_are_in_all_that_they_spare():
+    titles = pii.TITLES.replace("\\", "").split("|")
+    assert all(any(h in t for h in pii._OWN_HINTS) for t in titles)
+    cues = ["date of birth", "birthdate", "Birthday", "born", "born on", "d.o.b.", "DOB", "do.b", "d.ob", "geburtsdatum", "geboren am", "geb.", "data di nascita", "nato il", "Nata il", "fecha de nacimiento", "nacido el", "nacida el"]
+    for c in cues:
+        assert pii._BIRTH.search(f"{c} 1.2.1980") and any(h in c.lower() for h in pii._BIRTH_HINTS), c
