@@ -9,10 +9,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_PEM = "(?:RSA |EC |DSA |OPENSSH |PGP |)PRIVATE KEY-----"
 # Kind and pattern of each pass, in the order of the passes (an earlier one may leave text that a later one matches).
 PATTERNS: list[tuple[str, str]] = [
-    ("private-key-pem", rf"(?s)-----BEGIN {_PEM}.*?-----END {_PEM}"),
+    ("private-key-pem", r"(?s)-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP |)PRIVATE KEY-----.*?-----END (?:RSA |EC |DSA |OPENSSH |PGP |)PRIVATE KEY-----"),
     ("aws-access-key-id", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
     ("aws-secret", r"(?i)aws(_|-)?(secret|access(_|-)?key|session(_|-)?token)\b[\"\s'=:]*\b([A-Za-z0-9/+=]{40})\b"),
     ("github-token", r"\bgh[pousr]_[A-Za-z0-9]{36,255}\b"),

@@ -22,11 +22,19 @@ WRITER = ["stream_id", "event_type"]
 _KEYS = [*WRITER, "file_no"]
 
 
-def json_type(form: Column) -> Column:
-    """number, string, boolean, object, array or null, by a variant's schema."""
+# Types as bits, so that those of a field are one number. Whole numbers within 53 bits are those that a double holds exactly.
+NULL, STRING, BOOLEAN, OBJECT, ARRAY, INT53, BIGINT, DECIMAL, DOUBLE = (1 << i for i in range(9))
+NUMBER = INT53 | BIGINT | DECIMAL | DOUBLE
+#: The types of a report, by name.
+KINDS = {"array": ARRAY, "boolean": BOOLEAN, "number": NUMBER, "object": OBJECT, "string": STRING}
+
+
+def json_type(value: Column, form: Column) -> Column:
+    """The bit of a variant's type; ``form`` is its schema."""
+    small = F.try_variant_get(value, "$", "bigint").between(-(1 << 53), 1 << 53)
     return (
-        F.when(form.isNull() | (form == "VOID"), "null").when(form == "STRING", "string").when(form == "BOOLEAN", "boolean")
-        .when(form.startswith("OBJECT"), "object").when(form.startswith("ARRAY"), "array").otherwise("number")
+        F.when(form.isNull() | (form == "VOID"), NULL).when(form == "STRING", STRING).when(form == "BOOLEAN", BOOLEAN).when(form.startswith("OBJECT"), OBJECT).when(form.startswith("ARRAY"), ARRAY)
+        .when(form.startswith("DECIMAL"), DECIMAL).when(form == "BIGINT", F.when(small, INT53).otherwise(BIGINT)).otherwise(DOUBLE)
     )
 
 
@@ -35,30 +43,29 @@ def _read(records: DataFrame) -> DataFrame:
 
 
 def fields(records: DataFrame, wanted: str | None = None) -> DataFrame:
-    """One row per top-level field of each readable record: keys, ``field``, ``kind``, ``form`` (of a number) and ``value`` (a variant).
+    """One row per top-level field of each readable record: keys, ``field``, ``code`` (the bit of its type), ``form`` (its schema) and ``value`` (a variant).
 
     ``wanted`` names a column with the list of fields to give; the others don't leave the parser.
     """
     runtime.require_columns(records, *_KEYS, "payload")
-    read, own = _read(records).where("__v is not null"), ("field", "kind", "form", "value", "payload", wanted)
+    read, own = _read(records).where("__v is not null"), ("field", "code", "form", "value", "payload", wanted)
     found = F.col("__v") if wanted is None else F.map_filter("__v", lambda k, _: F.array_contains(F.col(wanted), k))
-    spread = read.select(*[c for c in records.columns if c not in own], F.explode(found).alias("field", "value")).withColumn("form", F.schema_of_variant("value"))
-    # Whole numbers within 53 bits are those that a double holds exactly.
-    small = F.try_variant_get("value", "$", "bigint").between(-(1 << 53), 1 << 53)
-    form = F.when(F.col("form") == "BIGINT", F.when(small, "INT53").otherwise("BIGINT")).when(F.col("kind") == "number", F.col("form"))
-    return spread.withColumn("kind", json_type(F.col("form"))).withColumn("form", form)
+    spread = read.select(*[c for c in records.columns if c not in own], F.explode(found).alias("field", "value"))
+    return spread.withColumn("form", F.schema_of_variant("value")).withColumn("code", json_type(F.col("value"), F.col("form")))
 
 
-def promote(kinds: Column) -> Column:
-    """The type of a set of types: the only one besides null, else ``mixed`` with its members; null alone has none."""
-    known = F.array_sort(F.array_remove(kinds, "null"))
+def promote(codes: Column) -> Column:
+    """The type of a field with these bits: the only one besides null, else ``mixed`` with its members; null alone has none."""
+    known = F.filter(F.array(*(F.when(codes.bitwiseAND(bits) != 0, name) for name, bits in KINDS.items())), lambda x: x.isNotNull())
     return F.when(F.size(known) == 1, known.getItem(0)).when(F.size(known) > 1, F.concat(F.lit("mixed "), F.array_join(known, "|")))
 
 
 def headers(members: DataFrame) -> DataFrame:
-    """Each file's fields with their types, the forms of their numbers, and the promoted type (null where all values are)."""
-    found = members.groupBy(*_KEYS, "field").agg(F.collect_set("kind").alias("kinds"), F.collect_set("form").alias("forms"))
-    return found.withColumn("kind", promote(F.col("kinds")))
+    """Each file's fields with the bits of their types, the digits of their decimals, and the promoted type (null where all values are)."""
+    size = lambda n: F.max(F.when(F.col("code") == DECIMAL, F.regexp_extract("form", r"(\d+),(\d+)", n).cast("int")))
+    whole = F.max(F.when(F.col("code") == DECIMAL, F.regexp_extract("form", r"(\d+),", 1).cast("int") - F.regexp_extract("form", r",(\d+)", 1).cast("int")))
+    found = members.groupBy(*_KEYS, "field").agg(F.bit_or("code").alias("codes"), whole.alias("whole"), size(1).alias("digits"), size(2).alias("scale"))
+    return found.withColumn("kind", promote(F.col("codes")))
 
 
 def _belongs(df: DataFrame) -> DataFrame:
@@ -76,7 +83,9 @@ def changes(records: DataFrame, known: DataFrame | None = None) -> DataFrame:
     stream, file or event type belong to no file. Repeated rows change nothing.
     ``known`` are the records' ``headers`` where they are there already.
     """
-    known = runtime.materialise(headers(fields(records.select(*_KEYS, "payload"))), "headers") if known is None else known
+    if known is None:
+        codes = fields(_belongs(records.select(*_KEYS, "payload"))).groupBy(*_KEYS, "field").agg(F.bit_or("code").alias("codes"))
+        known = runtime.materialise(codes.withColumn("kind", promote(F.col("codes"))), "headers")
     known = _belongs(known).select(*_KEYS, "field", "kind")
     files = known.select(*_KEYS).distinct().withColumn("writer", F.struct(*WRITER))
     files = ordering.with_previous(files, "writer", ["file_no"], "file_no", "before", F.floor(F.col("file_no") / ordering.BLOCK_ROWS))
@@ -93,8 +102,8 @@ def changes(records: DataFrame, known: DataFrame | None = None) -> DataFrame:
     may_go = gone.join(kinds, [*_KEYS, "kind"], "left_semi").join(steps, _KEYS).select(*WRITER, F.col("before").alias("file_no"), "field")
     may_come = come.join(kinds, [*_KEYS, "kind"], "left_semi").select(*_KEYS, "field")
     looked_at = may_go.unionByName(may_come).groupBy(*_KEYS).agg(F.collect_set("field").alias("__wanted"))
-    valued = fields(records.select(*_KEYS, "payload").join(looked_at, _KEYS), "__wanted").where("kind <> 'null'")
-    valued = runtime.materialise(valued.select(*_KEYS, "field", F.sha2(F.concat("kind", F.lit(":"), F.to_json("value")), 256).alias("mark")).distinct(), "values")
+    valued = fields(records.select(*_KEYS, "payload").join(looked_at, _KEYS), "__wanted").where(F.col("code") != NULL)
+    valued = runtime.materialise(valued.select(*_KEYS, "field", F.sha2(F.concat(promote(F.col("code")), F.lit(":"), F.to_json("value")), 256).alias("mark")).distinct(), "values")
     old = gone.join(steps, _KEYS).join(valued.withColumnRenamed("file_no", "before"), [*WRITER, "before", "field"]).select(*_KEYS, F.col("field").alias("old_field"), "kind", "mark")
     new = come.join(valued, [*_KEYS, "field"]).select(*_KEYS, F.col("field").alias("new_field"), "kind", "mark")
     pairs = old.join(new, [*_KEYS, "kind", "mark"]).groupBy(*_KEYS, "old_field", "new_field").agg((-F.count("*")).alias("rank"))
@@ -175,20 +184,23 @@ def names_by_file(known: DataFrame, chains: DataFrame) -> DataFrame:
     return dated.groupBy("k.stream_id", "k.event_type", "file_no").agg(F.map_from_entries(F.collect_list(F.struct("k.field", "since"))).alias("lineage_of"))
 
 
-def column_type(kinds: set[str], forms: set[str]) -> str:
-    """The lattice: whole numbers, then decimals that hold all digits, then doubles; text where none holds all values."""
-    known = kinds - {"null"}
-    if known == {"boolean"}:
+def column_type(codes: int, whole: int | None, digits: int | None, scale: int | None) -> str:
+    """The lattice: whole numbers, then decimals that hold all digits, then doubles; text where none holds all values.
+
+    Of the field's decimals, ``whole`` and ``scale`` are the most digits before
+    and after the point, ``digits`` the most in all.
+    """
+    known = codes & ~NULL
+    if known == BOOLEAN:
         return "boolean"
-    if known != {"number"}:
+    if not known or known & ~NUMBER:
         return "string"
-    whole, scaled = forms & {"INT53", "BIGINT"}, [tuple(map(int, f[8:-1].split(","))) for f in forms if f.startswith("DECIMAL")]
-    if forms - whole == set():
+    if known & DOUBLE:  # numbers with an exponent
+        return "double" if not known & BIGINT and (digits or 0) <= 15 else "string"
+    if not known & DECIMAL:
         return "bigint"
-    if any(not f.startswith("DECIMAL") for f in forms - whole):  # numbers with an exponent
-        return "double" if "BIGINT" not in forms and all(p <= 15 for p, _ in scaled) else "string"
-    digits, scale = max([p - s for p, s in scaled] + [19] * bool(whole)), max(s for _, s in scaled)
-    return f"decimal({digits + scale},{scale})" if digits + scale <= 38 else "string"
+    whole = max(whole, 19 if known & (INT53 | BIGINT) else 0)
+    return f"decimal({whole + scale},{scale})" if whole + scale <= 38 else "string"
 
 
 #: Lineages with a column of their own; the JSON column f_rest holds all others.
@@ -215,8 +227,8 @@ def unify(records: DataFrame, renames: DataFrame, keys: list[str], known: DataFr
     known = runtime.materialise(headers(fields(records.select(*_KEYS, "payload"))), "headers") if known is None else known
     named = runtime.materialise(names_by_file(known, runtime.materialise(lineages(renames), "chains")), "names")
     by_name = known.join(named, _KEYS, "left").withColumn("name", F.coalesce(F.try_element_at("lineage_of", F.col("field")), "field"))
-    forms = by_name.groupBy("name").agg(F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("kinds"), F.array_distinct(F.flatten(F.collect_set("forms"))).alias("forms"), F.count("*").alias("n"))
-    union = forms.orderBy(F.col("n").desc(), "name").limit(max_columns + 1).collect()
+    folded = by_name.groupBy("name").agg(F.bit_or("codes").alias("codes"), F.max("whole").alias("whole"), F.max("digits").alias("digits"), F.max("scale").alias("scale"), F.count("*").alias("n"))
+    union = folded.orderBy(F.col("n").desc(), "name").limit(max_columns + 1).collect()
     own, taken, columns = sorted(union[:max_columns], key=lambda r: r["name"]), {k.lower() for k in keys} | {"f_rest"}, []
     for r in own:  # Spark's columns differ in more than case
         column, n = f"f_{r['name']}", 2
@@ -236,7 +248,7 @@ def unify(records: DataFrame, renames: DataFrame, keys: list[str], known: DataFr
         form = F.schema_of_variant(value)
         return F.when(form == "STRING", F.try_variant_get(value, "$", "string")).when(form != "VOID", F.to_json(value))
 
-    cells = [cell(r["name"], column_type(set(r["kinds"]), set(r["forms"]))).alias(c) for r, c in zip(own, columns)]
+    cells = [cell(r["name"], column_type(r["codes"], r["whole"], r["digits"], r["scale"])).alias(c) for r, c in zip(own, columns)]
     if len(union) > max_columns:
         names = [r["name"] for r in own]
         cells.append(F.to_json(F.map_filter("__m", lambda k, _: ~k.isin(names))).alias("f_rest"))

@@ -83,20 +83,22 @@ class SearchIndex:
     def _statistics(self) -> DataFrame:
         return self._read("statistics", "generation int, n bigint, words bigint")
 
-    def generation(self) -> int:
-        """The newest complete generation, -1 before the first."""
-        return self._statistics().agg(F.max("generation")).first()[0] if runtime.exists(self.spark, f"{self.path}/statistics") else -1
+    def generations(self) -> list[int]:
+        """The complete generations: one for each refresh since the index was made."""
+        return sorted(r.generation for r in self._statistics().select("generation").collect())
 
     def refresh(self, docs: DataFrame, key: str, text: Column, removed: DataFrame | None = None) -> "SearchIndex":
         """Index ``docs`` (one row per ``key``), in place of what was known of those keys; forget the keys in ``removed`` (id)."""
-        now = self.generation() + 1
+        complete = self.generations()
+        begun = self._read("lengths", "id string, length int, generation int").agg(F.max("generation")).first()[0]
+        now = max([-1 if begun is None else begun, *complete]) + 1  # what a broken refresh left keeps its own number
         cut = runtime.materialise(docs.select(F.col(key).cast("string").alias("id"), T.tokens(text).alias("words")).select("id", "words", F.size("words").alias("length")), "words")
         spread = cut.select("id", "length", F.posexplode("words").alias("pos", "term"))
         posts = spread.groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"), F.first("length").alias("length"))
         posts = posts.withColumns({"generation": F.lit(now), "bucket": _bucket(F.col("term"), self.buckets)})
         gone = cut.select("id") if removed is None else cut.select("id").unionByName(removed.select(F.col("id").cast("string").alias("id")))
         old_n, old_words = 0, 0
-        if now:
+        if complete:
             # What the living rows of those ids had, from the lengths that each generation notes.
             old = self._living(self._read("lengths", "id string, length int, generation int")).join(gone.distinct(), "id", "left_semi").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
             old_n, old_words = old
@@ -109,11 +111,11 @@ class SearchIndex:
 
     def _living(self, rows: DataFrame) -> DataFrame:
         """Rows of complete generations that no later one replaces. What was replaced is a table of changed ids only."""
-        newest = self.generation()
-        late = self._read("superseded", "id string, before int").where(F.col("before") <= newest).groupBy("id").agg(F.max("before").alias("before"))
-        rows = rows.where(F.col("generation") <= newest)
-        if newest < 1:
+        complete = self.generations()
+        rows = rows.where(F.col("generation").isin(complete))
+        if len(complete) < 2:
             return rows
+        late = self._read("superseded", "id string, before int").where(F.col("before").isin(complete)).groupBy("id").agg(F.max("before").alias("before"))
         return rows.join(late, "id", "left").where("before is null or generation >= before").drop("before")
 
     def postings(self, terms: list[str]) -> DataFrame:
@@ -137,13 +139,14 @@ class SearchIndex:
         one = found.groupBy("id").agg(F.first("length").alias("length"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
         none = F.array().cast("array<int>")
         at = lambda p: F.coalesce(F.try_element_at("at", F.lit(p)), none)
+        ahead = lambda places, k: F.transform(places, lambda i: i - k)
 
         def count(ps: list[str]) -> Column:
             if not ps:
                 return F.lit(0)
             starts = at(ps[0])
             for k, p in enumerate(ps[1:], 1):
-                starts = F.array_intersect(starts, F.transform(at(p), lambda i, k=k: i - k))
+                starts = F.array_intersect(starts, ahead(at(p), k))
             return F.size(starts)
 
         return one.select("id", "length", *(count(ps).alias(f"f{i}") for i, ps in enumerate(parts)))
@@ -178,7 +181,7 @@ def episode_index(episodes: DataFrame, path: str | None = None) -> SearchIndex:
     """The index of title, body and category at ``path``, made if it isn't there."""
     spark = episodes.sparkSession
     index = SearchIndex(spark, path or runtime.scratch_path(spark, "index"))
-    return index if index.generation() >= 0 else index.refresh(episodes, "id", F.concat_ws(" ", "title", "body", "category"))
+    return index if index.generations() else index.refresh(episodes, "id", F.concat_ws(" ", "title", "body", "category"))
 
 
 def bm25(docs: DataFrame, key: str, text: Column, query: str, combine: str = "AND", where: Column | None = None) -> DataFrame:

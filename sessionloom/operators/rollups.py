@@ -54,9 +54,9 @@ def recent_files(files: DataFrame, as_of: float, age: float = 86400, folders: li
 MAX_AGE, MIN_BYTES, QUIET, PER_TICK = 7 * 86400, 4096, 600, 8
 
 
-def candidates(files: DataFrame, as_of: float) -> DataFrame:
-    """Rows of ``files`` (n_bytes, mtime) that are young, large and quiet enough. A tick takes the newest ``PER_TICK`` that no gate skips."""
-    return files.where((F.col("mtime") > as_of - MAX_AGE) & (F.col("mtime") <= as_of - QUIET) & (F.col("n_bytes") >= MIN_BYTES))
+def candidates(files: DataFrame, as_of: float, max_age: float = MAX_AGE) -> DataFrame:
+    """Rows of ``files`` (n_bytes, mtime) that are young, large and quiet enough. A tick takes the newest ``PER_TICK`` that no gate skips; a backfill widens ``max_age``."""
+    return files.where((F.col("mtime") > as_of - max_age) & (F.col("mtime") <= as_of - QUIET) & (F.col("n_bytes") >= MIN_BYTES))
 
 
 def newest_files(files: DataFrame, as_of: float, max_age: float) -> DataFrame:
@@ -142,3 +142,27 @@ def project_ids(projects: DataFrame) -> DataFrame:
     roots = projects.where("root_path is not null").select("root_path", F.when(valid, F.col("project_id")).otherwise(own).alias("project_id")).distinct()
     shared = roots.groupBy("project_id").agg((F.count("*") > 1).alias("clashes"))
     return roots.join(shared, "project_id").select("root_path", "project_id", "clashes")
+
+
+def by_workspace(sessions: DataFrame, projects: DataFrame) -> DataFrame:
+    """``sessions`` (with ``label``) and the project whose root's last folder is that label, in any case; of several the first by ``place``, else null.
+
+    ``projects`` has project_id, root_path and place, the order in which they are listed.
+    """
+    name = F.lower(F.element_at(F.split(F.regexp_replace("root_path", "/+$", ""), "/"), -1))
+    first = projects.where("root_path is not null").groupBy(name.alias("_name")).agg(F.min_by("project_id", F.struct("place", "project_id")).alias("found_project"))
+    label = F.nullif(F.lower(F.trim("label")), F.lit(""))
+    return sessions.withColumn("_label", F.when(label != "unknown", label)).join(first, F.col("_label") == F.col("_name"), "left").drop("_label", "_name")
+
+
+def run_report(runs: DataFrame) -> DataFrame:
+    """(measure, name, n, mean_seconds) of runs (status, project_id, duration): how many by status and by project, and their mean duration."""
+    each = F.array(F.struct(F.lit("status").alias("measure"), F.col("status").alias("name")), F.struct(F.lit("project").alias("measure"), F.coalesce("project_id", F.lit("?")).alias("name")))
+    return runs.select(F.explode(each).alias("x"), "duration").groupBy("x.measure", "x.name").agg(F.count("*").alias("n"), F.avg("duration").alias("mean_seconds"))
+
+
+def cleanup_report(total: DataFrame, removed: DataFrame) -> DataFrame:
+    """One row: files before, removed by each reason, and kept."""
+    by = removed.agg(*(F.count_if(F.col("reason") == r).alias(f"removed_{r.replace('-', '_')}") for r in ("generic", "duplicate", "low-confidence")), F.count("*").alias("total_removed"))
+    both = total.agg(F.count("*").alias("total_before")).unionByName(by, allowMissingColumns=True).agg(*(F.max(c).alias(c) for c in ("total_before", *by.columns)))
+    return both.withColumn("kept", F.col("total_before") - F.col("total_removed"))

@@ -606,6 +606,38 @@ def cron_tick(spark, d) -> DataFrame:
     return U.candidates(files, now).orderBy(F.col("mtime").desc(), F.col("session_id").desc()).limit(U.PER_TICK).select("session_id", "n_bytes")
 
 
+_LABELLED = "w AS (SELECT s.*, lower(split_part(cwd, '/', -1)) AS label FROM sessions s), b AS (SELECT lower(split_part(root_path, '/', -1)) AS name, min(project_id) AS found_project FROM projects GROUP BY ALL), h AS (SELECT w.*, found_project FROM w LEFT JOIN b ON b.name = w.label WHERE n_bytes >= 4096)"
+
+
+def _labelled(spark, d) -> DataFrame:
+    label = F.element_at(F.split("cwd", "/"), -1)
+    sessions = table(spark, d, "sessions").where("n_bytes >= 4096").withColumn("label", label)
+    return U.by_workspace(sessions, table(spark, d, "projects").select("project_id", "root_path", F.lit(0).alias("place")))
+
+
+@query("harvest_plan", f"WITH {_LABELLED} SELECT session_id, found_project, first_received_at FROM h ORDER BY first_received_at DESC, session_id DESC LIMIT 200")
+def harvest_plan(spark, d) -> DataFrame:
+    """The newest 200 large sessions with the project that their workspace names: a report of bounded length."""
+    return _labelled(spark, d).orderBy(F.col("first_received_at").desc(), F.col("session_id").desc()).limit(200).select("session_id", "found_project", "first_received_at")
+
+
+@query("harvest_distribution", f"WITH {_LABELLED} SELECT found_project, count(*) AS n FROM h GROUP BY found_project")
+def harvest_distribution(spark, d) -> DataFrame:
+    return _labelled(spark, d).groupBy("found_project").agg(F.count("*").alias("n"))
+
+
+_RUNS = "r AS (SELECT CASE WHEN n_bytes IS NULL THEN 'missing' WHEN n_bytes < 4096 THEN 'skipped' ELSE 'ok' END AS status, coalesce(project_id, '?') AS project_id, CASE WHEN n_bytes >= 4096 THEN n_bytes / 1e6 END AS duration FROM sessions)"
+
+
+@query("validation_report", f"WITH {_RUNS} SELECT 'status' AS measure, status AS name, count(*) AS n, round(avg(duration), 6) AS mean_seconds FROM r GROUP BY status UNION ALL SELECT 'project', project_id, count(*), round(avg(duration), 6) FROM r GROUP BY project_id")
+def validation_report(spark, d) -> DataFrame:
+    """Sessions taken for runs: their status by size, a duration in proportion to it."""
+    n = F.col("n_bytes")
+    status = F.when(n.isNull(), "missing").when(n < 4096, "skipped").otherwise("ok")
+    runs = table(spark, d, "sessions").select(status.alias("status"), "project_id", F.when(n >= 4096, n / 1e6).alias("duration"))
+    return U.run_report(runs).withColumn("mean_seconds", F.round("mean_seconds", 6))
+
+
 @query("newest_session", "SELECT vendor, arg_max(session_id, {'a': first_received_at, 'b': session_id}) AS session_id FROM sessions GROUP BY vendor")
 def newest_session(spark, d) -> DataFrame:
     return table(spark, d, "sessions").groupBy("vendor").agg(F.max_by("session_id", F.struct("first_received_at", "session_id")).alias("session_id"))
@@ -719,9 +751,16 @@ def budget_window(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.newest_window(F.col("text"), 500).alias("shown"))
 
 
-@query("chunk_transcript")
+@query(
+    "chunk_transcript",
+    """WITH RECURSIVE s AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL),
+ u AS (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i, len(p) AS k FROM s),
+ l AS MATERIALIZED (SELECT doc_id, i, x || CASE WHEN i < k THEN chr(10) ELSE '' END AS line FROM u WHERE i < k OR x <> '' OR k = 1),
+ r AS (SELECT doc_id, i, CAST(0 AS INTEGER) AS chunk_no, length(line) AS size FROM l WHERE i = 1
+  UNION ALL SELECT l.doc_id, l.i, CASE WHEN r.size + length(line) > 800 THEN chunk_no + 1 ELSE chunk_no END, CASE WHEN r.size + length(line) > 800 THEN length(line) ELSE r.size + length(line) END FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i + 1)
+ SELECT doc_id, chunk_no, string_agg(line, '' ORDER BY i) AS chunk FROM r JOIN l USING (doc_id, i) GROUP BY doc_id, chunk_no""",
+)
 def chunk_transcript(spark, d) -> DataFrame:
-    """No SQL: greedy gathering of lines depends on all lines before. Tests rebuild the text from the chunks."""
     return table(spark, d, "documents").select("doc_id", F.posexplode(X.chunks(F.col("text"), 800)).alias("chunk_no", "chunk"))
 
 
@@ -788,6 +827,12 @@ def archive_cleanup(spark, d) -> DataFrame:
     return U.to_remove(_files(spark, d)).select("path", "reason")
 
 
+@query("cleanup_report", f"WITH {_FILES}, g AS (SELECT *, row_number() OVER (PARTITION BY body_hash ORDER BY category, path) AS k FROM f), r AS (SELECT CASE WHEN confidence = 'low' THEN 'l' WHEN title = 'INSIGHT — Auto-captured' AND length(trim(regexp_replace(regexp_replace(body, '(?m)^# .+$', '', 'g'), '(?s)## Context.*', ''))) < 100 THEN 'g' WHEN k > 1 THEN 'd' END AS r FROM g) SELECT count(*) AS total_before, count(*) FILTER (r = 'g') AS removed_generic, count(*) FILTER (r = 'd') AS removed_duplicate, count(*) FILTER (r = 'l') AS removed_low_confidence, count(r) AS total_removed, count(*) - count(r) AS kept FROM r")
+def cleanup_report(spark, d) -> DataFrame:
+    files = _files(spark, d)
+    return U.cleanup_report(files, U.to_remove(files))
+
+
 @query("archive_scan", "SELECT doc_id, regexp_extract(text, '(?s)^---\\n(.*?)\\n---\\n', 1) <> '' AS has_head, nullif(trim(regexp_extract(regexp_extract(text, '(?s)^---\\n(.*?)\\n---\\n', 1), '(?m)^project:(.*)$', 1)), '') AS project FROM documents")
 def archive_scan(spark, d) -> DataFrame:
     files = table(spark, d, "documents").select("doc_id", "text", "category", F.col("doc_id").cast("string").alias("path"))

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.operators import drift, hierarchy, nested, ordering, timestamps
-from sessionloom.runtime import materialise, shared_dir, table
+from sessionloom.runtime import materialise, session_path, table
 
 
 def dictionary(spark: SparkSession) -> timestamps.StampDictionary:
     """The dictionary of stamps that all queries of a session share and extend."""
-    return timestamps.StampDictionary(spark, f"{shared_dir(spark).rstrip('/')}/stamp-dictionary-{spark.sparkContext.applicationId}")
+    return timestamps.StampDictionary(spark, session_path(spark, "stamp-dictionary"))
 
 
 def line_instants(spark: SparkSession, sf_dir: str, stamps: timestamps.StampDictionary, *extra: str) -> DataFrame:

@@ -96,8 +96,12 @@ def shared_path(spark: SparkSession, name: str, source: str) -> str:
     """Where this session keeps what it made of ``source``; another state of the source has another path."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
     changed = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime()
-    state = hashlib.sha256(f"{source}|{changed}".encode()).hexdigest()[:16]
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{state}"
+    return session_path(spark, f"{name}-{hashlib.sha256(f'{source}|{changed}'.encode()).hexdigest()[:16]}")
+
+
+def session_path(spark: SparkSession, name: str) -> str:
+    """The one path of that name that all queries of a session share."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{spark.sparkContext.applicationId}"
     plain = path.removeprefix("file://")
     if os.path.isabs(plain) and plain not in _made:
         _made.append(plain)

@@ -45,7 +45,7 @@ def test_empty_tables(spark, empty, name):
     assert registry.queries()[name](spark, empty).count() == 0
 
 
-def test_episode_entities_equal_brute_force(spark, tmp_path):
+def test_heuristic_entities_equal_brute_force(spark, tmp_path):
     from sessionloom.functions.text import STOPWORDS
     from sessionloom.plans import views
 
@@ -64,7 +64,7 @@ def test_episode_entities_equal_brute_force(spark, tmp_path):
     rows = spark.createDataFrame([(str(i), "p", t, b, 1.0) for i, (t, b) in enumerate(texts)], ", ".join(f"{k} {v}" for k, v in cols.items()))
     with pytest.MonkeyPatch.context() as m:
         m.setattr(views, "episodes", lambda spark, d: rows)
-        got = {r.id: list(r.entities) for r in registry.queries()["episode_entities"](spark, "").collect()}
+        got = {r.id: r.entities.split("|") for r in registry.queries()["heuristic_entities"](spark, "").collect()}
     assert got == want and "Main Street" in got["0"] and got["1"] == ["Die Ursache"] and "2" not in got
 
 

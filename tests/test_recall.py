@@ -88,25 +88,30 @@ def test_inverted_index(spark):
     assert {(r.term, r.id, r.tf, tuple(r.positions)) for r in q.inverted_index(docs, "id", F.col("t")).collect()} == {("uno", "a", 2, (0, 2)), ("due", "a", 1, (1,))}
 
 
-TEXT = F.concat_ws(" ", "title", "body", "category")
+def text():
+    return F.concat_ws(" ", "title", "body", "category")
 
 
 def test_the_index_is_kept_up_by_id(spark, tmp_path):
     schema = "id string, title string, body string, category string"
-    index = q.SearchIndex(spark, str(tmp_path / "index"), buckets=8).refresh(spark.createDataFrame(DOCS, schema), "id", TEXT)
-    index.refresh(spark.createDataFrame([("d2", "channel", "of needles", None), ("d9", "new channel", "foo_bar again", "x")], schema), "id", TEXT)
-    index.refresh(spark.createDataFrame([("d2", "threshold", "again and again", None)], schema), "id", TEXT, removed=spark.createDataFrame([("d0",), ("nowhere",)], "id string"))
+    index = q.SearchIndex(spark, str(tmp_path / "index"), buckets=8).refresh(spark.createDataFrame(DOCS, schema), "id", text())
+    index.refresh(spark.createDataFrame([("d2", "channel", "of needles", None), ("d9", "new channel", "foo_bar again", "x")], schema), "id", text())
+    index.refresh(spark.createDataFrame([("d2", "threshold", "again and again", None)], schema), "id", text(), removed=spark.createDataFrame([("d0",), ("nowhere",)], "id string"))
+    # A refresh that broke off before its statistics leaves rows that count for nothing.
+    spark.createDataFrame([("d1", 99, 3)], "id string, length int, generation int").write.mode("append").parquet(str(tmp_path / "index" / "lengths"))
+    spark.createDataFrame([("d1", 3)], "id string, before int").write.mode("append").parquet(str(tmp_path / "index" / "superseded"))
+    index.refresh(spark.createDataFrame([("d2", "threshold", "again and again", None)], schema), "id", text())
     left = [d for d in DOCS if d[0] not in ("d0", "d2")] + [("d2", "threshold", "again and again", None), ("d9", "new channel", "foo_bar again", "x")]
     fresh = spark.createDataFrame(left, schema)
     again = q.SearchIndex(spark, str(tmp_path / "index"), buckets=8)
-    assert again.totals() == q.SearchIndex(spark, str(tmp_path / "fresh")).refresh(fresh, "id", TEXT).totals()
+    assert again.totals() == q.SearchIndex(spark, str(tmp_path / "fresh")).refresh(fresh, "id", text()).totals()
     for query, combine in [("channel threshold", "OR"), ("foo_bar", "AND"), ("again needle", "OR"), ("qualita", "AND")]:
         got = {r.id: round(r.bm25, 9) for r in q.bm25_of(again, query, combine).collect()}
-        assert got == {r.id: round(r.bm25, 9) for r in q.bm25(fresh, "id", TEXT, query, combine).collect()}
+        assert got == {r.id: round(r.bm25, 9) for r in q.bm25(fresh, "id", text(), query, combine).collect()}
 
 
 def test_a_search_reads_its_own_buckets(spark, tmp_path):
-    index = q.SearchIndex(spark, str(tmp_path), buckets=8).refresh(spark.createDataFrame(DOCS, "id string, title string, body string, category string"), "id", TEXT)
+    index = q.SearchIndex(spark, str(tmp_path), buckets=8).refresh(spark.createDataFrame(DOCS, "id string, title string, body string, category string"), "id", text())
     plan = index.postings(["channel"])._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan and "PushedFilters" in plan
     assert len({r[0] for r in index.postings(["channel"]).selectExpr("input_file_name()").collect()}) == 1
