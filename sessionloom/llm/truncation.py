@@ -1,7 +1,8 @@
 """Texts cut off by a field limit or a broken transfer.
 
-One pass over the distinct texts gathers a vocabulary of words, one of lines,
-and each text's end. Both become a trie, held in sorted order: the entries
+One pass gathers each text's end, and one over the distinct texts a vocabulary
+of words and one of lines, of which only those are kept that begin like an open
+end. Both become a trie, held in sorted order: the entries
 below a node are the range of keys that begin with it, so what lies below all
 ends' last words and lines is counted by one running sum over the sorted keys
 and ends, however long they are. A text is cut where its final word is an
@@ -31,6 +32,8 @@ MIN_CLOSERS = 3
 #: A length is a limit where its count exceeds the mean of its neighbours by so many standard deviations.
 PEAK = 8.0
 NEIGHBOURS = 10
+#: Beginnings of open ends up to this number are sent to every task (some 20 MB), which then drops all other lines at once; with more, all lines are sorted.
+HEADS = 200_000
 #: Characters of distinct words and lines held by a task before it sends their counts on.
 HELD_CHARS = 32 << 20
 
@@ -67,7 +70,7 @@ def _unmarked(body: str) -> tuple[str, bool]:
 
 
 def ending(text: str) -> dict:
-    """What the end of a text shows; see ``_scan`` for the fields."""
+    """What the end of a text shows, by the fields of ``_ENDS``."""
     body, marked = _unmarked(text.rstrip())
     ellipsis = body.endswith(("…", "..."))
     line = body[body.rfind("\n") + 1 :].strip()
@@ -82,58 +85,73 @@ def ending(text: str) -> dict:
     return {
         "marked": marked, "ellipsis": ellipsis, "open_block": opened or unclosed, "closed": closed,
         "line": shape(line), "bare_line": shape(plain), "n_words": len(plain.split()),
-        "word": word_shape(raw), "dotted": _DIGITS.sub("9", _HEX.sub("H", raw.lstrip(_EDGE))) if raw.endswith(".") else None,
+        "head": "" if closed or marked else head(line, plain), "word": word_shape(raw), "dotted": _DIGITS.sub("9", _HEX.sub("H", raw.lstrip(_EDGE))) if raw.endswith(".") else None,
     }
 
 
-_FIELDS = ["marked", "ellipsis", "open_block", "closed", "line", "bare_line", "n_words", "word", "dotted"]
-_ARROW = pa.schema(
-    [("what", pa.string()), ("key", pa.string()), ("n", pa.int64()), ("text_key", pa.binary())]
-    + [(f, pa.bool_()) for f in _FIELDS[:4]]
-    + [("line", pa.string()), ("bare_line", pa.string()), ("n_words", pa.int64()), ("word", pa.string()), ("dotted", pa.string())]
-)
-_SCHEMA = (
-    "what string, key string, n bigint, text_key binary, marked boolean, ellipsis boolean, open_block boolean, closed boolean, "
-    "line string, bare_line string, n_words bigint, word string, dotted string"
-)
+def _first(tokens: list[str]) -> list[str]:
+    return [shape(t) for t in tokens[:2]]
 
 
-def _batch(columns: dict[str, list]) -> pa.RecordBatch:
-    n = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _ARROW], schema=_ARROW)
+def head(line: str, plain: str) -> str:
+    """How all lines begin that go on after an end: its first two words as far as they are whole, else its first character.
 
+    Masks never reach over white space, so a line's first words tell it before the line is masked.
+    """
+    tokens = (plain or line).split(None, 2)
+    if len(tokens) > 1:
+        return "\x1f".join(_first(tokens[: len(tokens) - 1]))
+    return "\x1e" + shape(tokens[0])[:1] if tokens else ""
+
+
+def _begins(line: str, heads: frozenset) -> bool:
+    a, *rest = _first(line.split(None, 2))
+    return a in heads or "\x1e" + a[:1] in heads or bool(rest) and f"{a}\x1f{rest[0]}" in heads
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of three kinds: the end of each text (doc), and counts of words and inner lines by text."""
-    words, lines, held = Counter(), Counter(), 0
 
-    def counts() -> pa.RecordBatch:
-        merged: Counter = Counter()
-        for token, n in words.items():
-            if s := word_shape(token):
-                merged["word", s] += n
-        for line, n in lines.items():
-            merged["line", shape(line)] += n
-        words.clear()
-        lines.clear()
-        return _batch({"what": [a for a, _ in merged], "key": [b for _, b in merged], "n": list(merged.values())})
+_FIELDS = ["marked", "ellipsis", "open_block", "closed", "line", "bare_line", "n_words", "word", "dotted", "head"]
+_ENDS = pa.schema([("text_key", pa.binary())] + [(f, pa.bool_()) for f in _FIELDS[:4]] + [("line", pa.string()), ("bare_line", pa.string()), ("n_words", pa.int64()), ("word", pa.string()), ("dotted", pa.string()), ("head", pa.string())])
+_ENDS_DDL = "text_key binary, marked boolean, ellipsis boolean, open_block boolean, closed boolean, line string, bare_line string, n_words bigint, word string, dotted string, head string"
+_COUNTS = pa.schema([("what", pa.string()), ("key", pa.string()), ("n", pa.int64())])
 
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out: dict[str, list] = {k: [] for k in ("text_key", *_FIELDS)}
-        for key, text in zip(*(b.column(k).to_pylist() for k in ("text_key", "text"))):
-            for k, v in (("text_key", key), *ending(text).items()):
-                out[k].append(v)
-            inner = text.rstrip().split("\n")[:-1]
-            words.update(set(text.split()[:-1]))
-            lines.update({s for x in inner if (s := x.strip())})
-            held += len(text)
-            if held > HELD_CHARS:
-                yield counts()
-                held = 0
-        yield _batch({"what": ["doc"] * len(out["text_key"]), **out})
-    if words or lines:
+        found = [ending(t) for t in b.column("text").to_pylist()]
+        columns = [pa.array([f[k] for f in found], _ENDS.field(k).type) for k in _FIELDS]
+        yield pa.RecordBatch.from_arrays([b.column("text_key"), *columns], schema=_ENDS)
+
+
+def _counter(heads):
+    """The function that counts words and inner lines by text; ``heads`` (a broadcast set, or None) says which lines may matter."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, lines, held, kept = Counter(), Counter(), 0, heads.value if heads is not None else None
+
+        def counts() -> pa.RecordBatch:
+            merged: Counter = Counter()
+            for token, n in words.items():
+                if s := word_shape(token):
+                    merged["word", s] += n
+            for line, n in lines.items():
+                merged["line", shape(line)] += n
+            words.clear()
+            lines.clear()
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in merged], pa.string()), pa.array([k for _, k in merged], pa.string()), pa.array(list(merged.values()), pa.int64())], schema=_COUNTS)
+
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                words.update(set(text.split()[:-1]))
+                inner = {s for x in text.rstrip().split("\n")[:-1] if (s := x.strip())}
+                lines.update(inner if kept is None else [s for s in inner if _begins(s, kept)])
+                held += len(text)
+                if held > HELD_CHARS:
+                    yield counts()
+                    held = 0
         yield counts()
 
+    return scan
+
 
 def limits(rows: DataFrame) -> DataFrame:
     """(source, unit, size): lengths in chars or bytes that a source has far more often than their neighbours, over distinct texts."""
@@ -173,7 +191,7 @@ def below(known: DataFrame, nodes: DataFrame) -> DataFrame:
 _WORD, _LINE = "w\x1f", "l\x1f"
 
 
-def detect(docs: DataFrame) -> DataFrame:
+def detect(docs: DataFrame, heads: int = HEADS) -> DataFrame:
     """(doc_id, source, truncated, evidence, at_limit) of each row of ``docs`` (doc_id, text, source).
 
     ``evidence`` is the first that holds: marker (a note of the cut or half a
@@ -186,15 +204,19 @@ def detect(docs: DataFrame) -> DataFrame:
     vouches for another. Words and lines count whole, whatever their length. A
     null text isn't truncated and has no row; an empty one has a row and isn't.
     Repeated rows repeat theirs; a null source has no limits. Other columns
-    aren't read.
+    aren't read. ``heads`` bounds what is broadcast and makes no difference.
     """
     runtime.require_columns(docs, "doc_id", "text", "source")
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("source").cast("string")).where("text is not null")
     text_key = F.unhex(F.md5("text")).alias("text_key")
     size = lambda f, name: f("text").cast("bigint").alias(name)
     rows = runtime.materialise(docs.select("doc_id", "source", size(F.char_length, "n_chars"), size(F.octet_length, "n_bytes"), text_key), "rows")
-    scanned = runtime.materialise(docs.select("text").distinct().select(text_key, "text").mapInArrow(_scan, _SCHEMA), "ends")
-    ends = scanned.where("what = 'doc'").drop("what", "key", "n")
+    # A text's end is looked at once per row, and once kept per text; its words and lines are counted once per text.
+    ends = docs.select(text_key, "text").mapInArrow(_ends, _ENDS_DDL).groupBy("text_key").agg(F.first(F.struct(*_FIELDS)).alias("e")).select("text_key", "e.*")
+    ends = runtime.materialise(ends, "ends")
+    some = ends.where("head <> ''").select("head").distinct().limit(heads + 1).toPandas()["head"]
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(some)) if len(some) <= heads else None
+    scanned = runtime.materialise(docs.select("text").distinct().mapInArrow(_counter(shared), "what string, key string, n bigint"), "counts")
     key = lambda mark, c: F.when(F.col(c) != "", F.concat(F.lit(mark), c))
     words = scanned.where("what = 'word'").groupBy(key(_WORD, "key").alias("key")).agg(F.sum("n").alias("inner")).where(F.col("inner") >= MIN_TEXTS)
     entry = lambda df, inner, final: df.select("key", inner.cast("bigint").alias("inner"), final.cast("bigint").alias("final"))
