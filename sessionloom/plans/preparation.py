@@ -98,13 +98,16 @@ def p5_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.unify(records, log, ["rec_id", "stream_id", "event_type", "file_no", "line_no"], known)
 
 
+_NUMBER = r"^[+-]?[0-9]+(\.[0-9]+)?(E-?[0-9]+)?$"
+
+
 def p5_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The unified table's filled cells by record and field; numbers as doubles, and of nested values the kind."""
     wide = p5_unified(spark, sf_dir)
     cells = F.explode(F.array(*(F.struct(F.lit(c[2:]).alias("field"), F.col(f"`{c}`").cast("string").alias("t")) for c in wide.columns if c.startswith("f_")))) if len(wide.columns) > 5 else None
     if cells is None:
         return wide.select("rec_id", F.lit("").alias("field"), F.lit(0.0).alias("number"), F.lit("").alias("words")).where("false")
-    number, first = F.col("x.t").try_cast("double"), F.left("x.t", F.lit(1))
+    number, first = F.when(F.col("x.t").rlike(_NUMBER), F.col("x.t").try_cast("double")), F.left("x.t", F.lit(1))  # Java's own reading takes 80e1f for a number
     words = F.when(number.isNull(), F.when(first.isin("{", "["), first).otherwise(F.col("x.t")))
     return wide.select("rec_id", cells.alias("x")).where("x.t is not null").select("rec_id", "x.field", F.round(number, 6).alias("number"), words.alias("words"))
 
@@ -252,6 +255,6 @@ SQL = {
  nm AS (SELECT term.*, (SELECT count(*) FROM ra WHERE ra.stream_id = term.stream_id AND ra.event_type = term.event_type AND ra.f = term.f AND ra.s <= term.n) AS c FROM term),
  r AS (SELECT *, unnest(json_keys(payload)) AS field FROM rollout_records WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
  x AS (SELECT rec_id, concat(coalesce(nm.f, r.field), CASE WHEN c > 0 THEN concat('#', c + 1) END) AS field, json_extract(payload, concat('$."', r.field, '"')) AS j FROM r LEFT JOIN nm USING (stream_id, event_type, file_no, field)),
- y AS (SELECT rec_id, field, CASE json_type(j) WHEN 'VARCHAR' THEN j->>'$' ELSE CAST(j AS VARCHAR) END AS t FROM x WHERE json_type(j) <> 'NULL')
- SELECT rec_id, field, round(TRY_CAST(t AS DOUBLE), 6) AS number, CASE WHEN TRY_CAST(t AS DOUBLE) IS NULL THEN CASE WHEN t[1] IN ('{{', '[') THEN t[1] ELSE t END END AS words FROM y""",
+ y AS (SELECT *, CASE WHEN regexp_matches(t, '{_NUMBER}') THEN TRY_CAST(t AS DOUBLE) END AS v FROM (SELECT rec_id, field, CASE json_type(j) WHEN 'VARCHAR' THEN j->>'$' ELSE CAST(j AS VARCHAR) END AS t FROM x WHERE json_type(j) <> 'NULL'))
+ SELECT rec_id, field, round(v, 6) AS number, CASE WHEN v IS NULL THEN CASE WHEN t[1] IN ('{{', '[') THEN t[1] ELSE t END END AS words FROM y""",
 }
