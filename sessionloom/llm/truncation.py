@@ -18,11 +18,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom import runtime
-from sessionloom.operators import ordering
 
 #: A word or line is known where so many texts have it.
 MIN_TEXTS = 2
@@ -145,6 +146,21 @@ def limits(rows: DataFrame) -> DataFrame:
     return by.withColumn("mean", mean).where(F.col("count") - F.col("mean") > PEAK * F.sqrt(F.col("mean") + 1)).select("source", "unit", "size")
 
 
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Running sums of a sorted task: those at the rows with a key, and with rank -1 the task's total."""
+    block, i, f = TaskContext.get().partitionId(), 0, 0
+    names = ["block", "key", "rank", "i", "f"]
+    for b in batches:
+        sums = [pc.add(pc.cumulative_sum(b.column(c)), at) for c, at in (("inner", i), ("final", f))]
+        if b.num_rows:
+            i, f = (s[-1].as_py() for s in sums)
+        there = b.column("key").is_valid()
+        rows = pa.RecordBatch.from_arrays([pa.array([block] * b.num_rows, pa.int32()), b.column("key"), b.column("rank"), *sums], names).filter(there)
+        if rows.num_rows:
+            yield rows
+    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([None], pa.string()), pa.array([-1], pa.int32()), pa.array([i], pa.int64()), pa.array([f], pa.int64())], names)
+
+
 def below(known: DataFrame, nodes: DataFrame) -> DataFrame:
     """(key, inner, final, below) of each node: the counts of its own entry, and of all entries that go on after it.
 
@@ -156,13 +172,13 @@ def below(known: DataFrame, nodes: DataFrame) -> DataFrame:
     at, zero = F.col("key").cast("binary"), F.lit(0).cast("bigint")
     entries = known.select(at.alias("at"), F.lit(1).alias("rank"), F.lit(None).cast("string").alias("key"), "inner", "final")
     edge = lambda where, rank: nodes.distinct().select(where.alias("at"), F.lit(rank).alias("rank"), "key", zero.alias("inner"), zero.alias("final"))
-    sorted_rows = ordering.cut_by_range(entries.unionByName(edge(at, 0)).unionByName(edge(at, 2)).unionByName(edge(F.concat(at, F.lit(bytearray(b"\xff"))), 3)), "at", ["rank"], "block")
+    every = entries.unionByName(edge(at, 0)).unionByName(edge(at, 2)).unionByName(edge(F.concat(at, F.lit(bytearray(b"\xff"))), 3))
+    ranged = every.repartitionByRange(runtime.shuffle_width(known.sparkSession), "at", "rank").sortWithinPartitions("at", "rank")
+    # The sum runs through each sorted task; only nodes and a total per task leave it, and the keys not even enter.
+    summed = runtime.materialise(ranged.select("key", "rank", "inner", "final").mapInArrow(_running, "block int, key string, rank int, i bigint, f bigint"), "sums")
     ahead = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
-    totals = sorted_rows.groupBy("block").agg(F.sum("inner").alias("i"), F.sum("final").alias("f"))
-    base = totals.select("block", F.coalesce(F.sum("i").over(ahead), zero).alias("base_i"), F.coalesce(F.sum("f").over(ahead), zero).alias("base_f"))
-    so_far = Window.partitionBy("block").orderBy("at", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = sorted_rows.withColumns({"i": F.sum("inner").over(so_far), "f": F.sum("final").over(so_far)}).where("key is not null")
-    summed = summed.join(F.broadcast(base), "block").select("key", "rank", (F.col("i") + F.col("base_i")).alias("i"), (F.col("f") + F.col("base_f")).alias("f"))
+    totals = summed.where("rank = -1").select("block", F.coalesce(F.sum("i").over(ahead), zero).alias("base_i"), F.coalesce(F.sum("f").over(ahead), zero).alias("base_f"))
+    summed = summed.where("key is not null").join(F.broadcast(totals), "block").select("key", "rank", (F.col("i") + F.col("base_i")).alias("i"), (F.col("f") + F.col("base_f")).alias("f"))
     pick = lambda c, rank: F.max(F.when(F.col("rank") == rank, F.col(c)))
     return summed.groupBy("key").agg(
         (pick("i", 2) - pick("i", 0)).alias("inner"), (pick("f", 2) - pick("f", 0)).alias("final"), (pick("i", 3) - pick("i", 2) + pick("f", 3) - pick("f", 2)).alias("below")
