@@ -301,16 +301,16 @@ def _doubled_paths(linked: DataFrame, rooted: DataFrame, separator: str) -> Data
     return now.select("grp", "node", "path")
 
 
-def descendants(places: DataFrame, wanted: DataFrame) -> DataFrame:
-    """All (grp, node, descendant) of the nodes in ``wanted`` (grp, node), by their ranges.
+def descendants(places: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """All (grp, node, descendant) of the nodes in ``wanted`` (grp, node), or of all nodes, by their ranges.
 
     The ranges are cut into blocks of the numbering, so the join is an
     equi-join on (grp, block) with a filter.
     """
     block = 1024
+    own = places if wanted is None else places.join(wanted.select("grp", "node").distinct(), ["grp", "node"], "left_semi")
     heads = (
-        places.join(wanted.select("grp", "node").distinct(), ["grp", "node"], "left_semi")
-        .where("n_descendants > 0")
+        own.where("n_descendants > 0")
         .select("grp", "node", "range_start", (F.col("range_start") + F.col("n_descendants")).alias("range_end"))
         .withColumn("block", F.explode(F.sequence(F.floor(F.col("range_start") / block), F.floor(F.col("range_end") / block))))
     )

@@ -76,15 +76,25 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All descendants of the records asked for."""
+    """All descendants of the records asked for; p3_all_descendants has those of all records."""
     return hierarchy.descendants(_places(spark, sf_dir), _asked(spark, sf_dir)).withColumnsRenamed({"grp": "session_id", "node": "id"})
 
 
 def p3_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ancestors of the records asked for."""
+    """All ancestors of the records asked for; p3_all_ancestors has those of all records."""
     return hierarchy.ancestors(_places(spark, sf_dir), _asked(spark, sf_dir)).withColumnsRenamed({"grp": "session_id", "node": "id"})
 
 
+def p3_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descendants of every record."""
+    return hierarchy.descendants(_places(spark, sf_dir)).withColumnsRenamed({"grp": "session_id", "node": "id"})
+
+
+def p3_all_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ancestors of every record: the same pairs, read from below."""
+    return hierarchy.descendants(_places(spark, sf_dir)).select(F.col("grp").alias("session_id"), F.col("descendant").alias("id"), F.col("node").alias("ancestor"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every change of the payload's fields between consecutive files of a stream."""
     return drift.changes(table(spark, sf_dir, "rollout_records"))
@@ -191,6 +201,9 @@ _LINKS_SQL = """n0 AS MATERIALIZED (SELECT session_id, id, min({'o': seq, 'a': p
  n AS MATERIALIZED (SELECT *, EXISTS (SELECT 1 FROM n0 p WHERE p.session_id = n1.session_id AND p.id = n1.above) AS there FROM n1)"""
 _PLACED_SQL = """ok AS MATERIALIZED (SELECT session_id, id FROM n WHERE NOT there UNION ALL SELECT n.session_id, n.id FROM n JOIN ok ON ok.session_id = n.session_id AND ok.id = n.above),
  q AS (SELECT DISTINCT session_id, id FROM transcript_lines JOIN ok USING (session_id, id) WHERE line_id % 50 = 0)"""
+#: Every record that hangs from a root, with each record above it.
+_ABOVE_SQL = """ok AS MATERIALIZED (SELECT session_id, id FROM n WHERE NOT there UNION ALL SELECT n.session_id, n.id FROM n JOIN ok ON ok.session_id = n.session_id AND ok.id = n.above),
+ a AS (SELECT session_id, id, above AS ancestor FROM n JOIN ok USING (session_id, id) WHERE there UNION ALL SELECT a.session_id, a.id, n.above FROM a JOIN n ON n.session_id = a.session_id AND n.id = a.ancestor WHERE n.there)"""
 
 _DRIFT_SQL = """f AS (SELECT DISTINCT stream_id, event_type, file_no, payload FROM rollout_records WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
  k AS (SELECT *, unnest(json_keys(payload)) AS field FROM f),
@@ -237,6 +250,10 @@ SQL = {
  SELECT * FROM d""",
     "p3_ancestors": f"""WITH RECURSIVE {_LINKS_SQL}, {_PLACED_SQL},
  a AS (SELECT q.session_id, q.id, n.above AS ancestor FROM q JOIN n ON n.session_id = q.session_id AND n.id = q.id WHERE n.there UNION ALL SELECT a.session_id, a.id, n.above FROM a JOIN n ON n.session_id = a.session_id AND n.id = a.ancestor WHERE n.there)
+ SELECT * FROM a""",
+    "p3_all_descendants": f"""WITH RECURSIVE {_LINKS_SQL}, {_ABOVE_SQL}
+ SELECT session_id, ancestor AS id, id AS descendant FROM a""",
+    "p3_all_ancestors": f"""WITH RECURSIVE {_LINKS_SQL}, {_ABOVE_SQL}
  SELECT * FROM a""",
     "p5_found": f"""WITH {_DRIFT_SQL}
  SELECT stream_id, file_no, event_type, 'renamed' AS change_kind, old_field, new_field FROM renamed

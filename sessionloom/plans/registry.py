@@ -13,6 +13,8 @@ def queries() -> dict:
         "p3_found": preparation.p3_found,
         "p3_descendants": preparation.p3_descendants,
         "p3_ancestors": preparation.p3_ancestors,
+        "p3_all_descendants": preparation.p3_all_descendants,
+        "p3_all_ancestors": preparation.p3_all_ancestors,
         "p3_hierarchy": preparation.p3_hierarchy,
         "p5_found": preparation.p5_found,
         "p5_unified": preparation.p5_unified,

@@ -134,3 +134,17 @@ def test_both_ways_agree_above_the_bound(spark):
     got = h.nested_sets(rows, "g", "id", "up", "k").orderBy("node").toPandas()
     want = h.solve(np.array(parent))
     assert (got["range_start"].to_numpy() == want["start"]).all() and (got["n_descendants"].to_numpy() + 1 == want["size"]).all() and (got["depth"].to_numpy() == want["depth"]).all()
+
+
+def test_relations_of_all_records(spark, tmp_path):
+    from sessionloom.plans import registry
+
+    rows = [(n, *r) for n, r in enumerate(TREE, 1)]  # no line's number is divisible by 50
+    spark.createDataFrame(rows, "line_id bigint, session_id string, id string, parent_id string, seq bigint").write.parquet(str(tmp_path / "transcript_lines.parquet"))
+    want = set()
+    for s in "stu":
+        for node, (_, _, _, _, path) in brute([r for r in TREE if r[0] == s]).items():
+            want |= {(s, above, node) for above in (path or "").split("/")[:-1]}
+    got = {n: registry.queries()[n](spark, str(tmp_path)).collect() for n in ("p3_all_descendants", "p3_all_ancestors")}
+    below, above = ([(r.session_id, r.id, r.descendant) for r in got["p3_all_descendants"]], [(r.session_id, r.ancestor, r.id) for r in got["p3_all_ancestors"]])
+    assert sorted(below) == sorted(above) == sorted(want) and ("s", "a", "d") in want
